@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from ravelin.llm import simhash
+from ravelin.llm import bpe, secrets, simhash, substring, urls
 
 
 def queries() -> dict:
     return {
         "op1_simhash_near_dedup": simhash.query,
+        "op3_substring_dedup": substring.query,
+        "op4_secret_scan": secrets.query,
+        "op5_bpe_round_trip": bpe.query,
+        "op6_url_filter": urls.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_secret_scan": secrets.sql(),
+        "op6_url_filter": urls.sql(),
+    }
