@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from ravelin.llm import bpe, secrets, simhash, substring, urls
+from ravelin.llm import bpe, mixing, secrets, simhash, substring, toxicity, urls
 
 
 def queries() -> dict:
     return {
         "op1_simhash_near_dedup": simhash.query,
+        "op2_toxicity": toxicity.query,
         "op3_substring_dedup": substring.query,
         "op4_secret_scan": secrets.query,
         "op5_bpe_round_trip": bpe.query,
         "op6_url_filter": urls.query,
+        "op9_mix_sources": mixing.query,
     }
 
 
