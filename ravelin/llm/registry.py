@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ravelin.llm import bpe, mixing, secrets, simhash, substring, toxicity, urls
+from ravelin.llm import bpe, fertility, mixing, secrets, simhash, substring, toxicity, urls
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_secret_scan": secrets.query,
         "op5_bpe_round_trip": bpe.query,
         "op6_url_filter": urls.query,
+        "op7_tokeniser_fertility": fertility.query,
         "op9_mix_sources": mixing.query,
     }
 
