@@ -80,7 +80,6 @@ class _Measures:
         self.tokens: list[int] = []
         self.ids: list[list[int]] = []
         self.scripts: list[int] = []
-        self.arrays = None
 
     def learn(self, words: set[bytes]) -> None:
         new = [w for w in words if w not in self.number]
@@ -94,14 +93,6 @@ class _Measures:
         self.ids += self.pieces.encode(texts, num_threads=1)
         first = np.array([next((ord(c) for c in t if c.isalpha()), -1) for t in texts])
         self.scripts += np.where(first < 0, -1, np.array(SCRIPT_OF)[np.searchsorted(RANGES, np.maximum(first, 0), side="right")]).tolist()
-        self.arrays = None
-
-    def table(self):
-        if self.arrays is None:
-            n = np.array([len(x) for x in self.ids], np.int64)
-            flat = np.concatenate([np.array(x, np.int32) for x in self.ids]) if self.ids else np.zeros(0, np.int32)
-            self.arrays = np.array(self.chars), np.array(self.tokens), np.array(self.scripts), n, np.r_[0, np.cumsum(n)], flat
-        return self.arrays
 
 
 def repeated_words(local: np.ndarray, kinds: int) -> int:
@@ -151,7 +142,7 @@ def _measure(folder: str | None):
                 known.learn(set(words))
                 at = np.fromiter(map(known.number.__getitem__, words), np.int64, n)
                 kinds, local, times = np.unique(at, return_inverse=True, return_counts=True)
-                chars, tokens, scripts, n_ids, starts, flat = _view(known, kinds)
+                chars, tokens, scripts, n_ids, flat = _view(known, kinds)
                 word_chars, n_tokens, n_pieces = int((chars * times).sum()), int((tokens * times).sum()), int((n_ids * times).sum())
                 weight = np.repeat(times, n_ids)
                 ids, where = np.unique(flat, return_inverse=True)
@@ -174,7 +165,7 @@ def _view(known: _Measures, kinds: np.ndarray):
     n = np.fromiter(map(len, ids), np.int64, len(ids))
     flat = np.fromiter((x for own in ids for x in own), np.int32, int(n.sum()))
     pick = lambda values: np.fromiter(map(values.__getitem__, k), np.int64, len(k))
-    return pick(known.chars), pick(known.tokens), pick(known.scripts), n, None, flat
+    return pick(known.chars), pick(known.tokens), pick(known.scripts), n, flat
 
 
 def measures(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
