@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ravelin.llm import bpe, fertility, mixing, secrets, simhash, substring, toxicity, urls
+from ravelin.llm import bpe, fertility, gif, mixing, secrets, simhash, substring, toxicity, urls
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_bpe_round_trip": bpe.query,
         "op6_url_filter": urls.query,
         "op7_tokeniser_fertility": fertility.query,
+        "op8_gif_media": gif.query,
         "op9_mix_sources": mixing.query,
     }
 
