@@ -58,10 +58,10 @@ class Frame:
 
 
 def _widths(bits: int) -> np.ndarray:
-    """Widths of the codes after a clear code, as far as the table fills up,
-    and the last again: code i + 1 is read with a table of 2^bits + 2 + i."""
-    size = (1 << bits) + 2 + np.maximum(np.arange(4096 - (1 << bits)) - 1, -1) + 1
-    return np.minimum(12, np.maximum(bits + 1, np.floor(np.log2(np.maximum(size, 1))).astype(np.int64) + 1))
+    """Widths of the codes after a clear code, until the table is full. Each
+    code but the first completes an entry; a width is that of the next one."""
+    entry = (1 << bits) + 2 + np.maximum(np.arange(4096 - (1 << bits)) - 1, 0)
+    return np.minimum(12, np.floor(np.log2(entry)).astype(np.int64) + 1)
 
 
 _SCHEDULES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
