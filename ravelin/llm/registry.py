@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ravelin.llm import bpe, fertility, gif, mixing, secrets, simhash, substring, toxicity, urls
+from ravelin.llm import bpe, fertility, gif, html_extract, mixing, secrets, simhash, substring, toxicity, urls
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_tokeniser_fertility": fertility.query,
         "op8_gif_media": gif.query,
         "op9_mix_sources": mixing.query,
+        "op10_html_main_text": html_extract.query,
     }
 
 
