@@ -120,19 +120,29 @@ def coerce(text: Column, how: str) -> Column:
         part = F.substring(F.rpad(F.regexp_extract(t, r"^(\d{1,12})(?:\.(\d+))?$", 2), 3, "0"), 1, 3)
         return F.when(whole != "", whole.try_cast("bigint") * 1000 + part.try_cast("bigint"))
     if how == "ip":
-        return F.when(T.ipv4_number(t).isNotNull() | is_ipv6(t), t)
+        return F.when(t.rlike(IPV4) | t.rlike(IPV6), t)
     raise DefinitionError(f"{how} gives no scalar")
 
 
-def is_ipv6(col: Column) -> Column:
-    """Is a text an IPv6 address? By shape, in built-in functions: at most one
-    gap, up to eight groups, an embedded IPv4 address counts as two."""
-    v4 = T.ipv4_number(F.regexp_extract(col, r"([^:]*)$", 1)).isNotNull()
-    plain = F.when(v4, F.regexp_replace(col, r"[^:]*$", "0:0")).otherwise(col)
-    groups = F.size(F.filter(F.split(plain, ":"), lambda g: g != ""))
-    gaps = F.size(F.split(plain, "::", -1)) - 1
-    good = plain.rlike("^[0-9a-fA-F:]+$") & ~plain.rlike("[0-9a-fA-F]{5}|:::") & ~plain.rlike("^:[^:]|[^:]:$") & plain.contains(":")
-    return F.coalesce(good & F.when(gaps == 0, groups == 8).otherwise((gaps == 1) & (groups <= 7)), F.lit(False))
+_V4 = r"(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+
+
+def _v6() -> str:
+    """The shapes of an IPv6 address: eight groups, or fewer around one gap; an
+    IPv4 address at the end stands for two groups."""
+    h = "[0-9a-fA-F]{1,4}"
+    ways = [f"(?:{h}:){{7}}{h}", f"(?:{h}:){{6}}{_V4}"]
+    for left in range(8):
+        head = f"(?:{h}(?::{h}){{{left - 1}}})?" if left == 1 else f"{h}(?::{h}){{{left - 1}}}" if left else ""
+        if left <= 6:
+            ways.append(f"{head}::(?:{h}(?::{h}){{0,{6 - left}}})?")
+        if left <= 5:
+            ways.append(f"{head}::(?:{h}:){{0,{5 - left}}}{_V4}")
+    ways.append(f"{h}(?::{h}){{6}}::")
+    return "^(?:" + "|".join(ways) + ")$"
+
+
+IPV4, IPV6 = f"^{_V4}$", _v6()
 
 
 def fingerprints(col: Column) -> Column:

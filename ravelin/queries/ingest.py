@@ -127,8 +127,8 @@ def _context(spark, d):
     return feeds.context_rows(rows, "names", ";", F.col("rank")).select("s_suppkey", F.explode("ids").alias("name"), "criticality", feeds.flag(F.col("is_active")).alias("active"))
 
 
-def _coerced(how: str, col):
-    return lambda spark, d: events(spark, d).select("id", N.coerce(col, how).alias("v"))
+def _coerced(how: str, make):
+    return lambda spark, d: events(spark, d).select("id", N.coerce(make(), how).alias("v"))
 
 
 def _iso(offset: str):
@@ -158,12 +158,12 @@ QUERIES = {
     "nil_values": (lambda spark, d: _normalized(spark, d).filter("kind = 'buy'").select("id", F.get_json_object("event", "$.evidences[0].data").alias("note")), f"{OUT_SQL} SELECT id, CASE WHEN id % 4 <> 0 THEN 'n' || k END AS note FROM o WHERE stage IS NULL AND source = 'purchase'"),
     "dead_letters": (lambda spark, d: _normalized(spark, d).filter("stage is not null").groupBy("stage", "error").agg(F.count("*").alias("n")), f"{OUT_SQL} SELECT stage, CASE stage WHEN 'decoding' THEN 'not JSON' ELSE 'no kind fits' END AS error, count(*) AS n FROM o WHERE stage IS NOT NULL GROUP BY ALL"),
     "outcome_rows": (lambda spark, d: dedupe(_normalized(spark, d).join(events(spark, d).select("id", "time", "received"), "id").filter("stage is null").withColumn("time", F.coalesce("time", "received"))).select("id", "class_uid", "time"), f"{OUT_SQL} SELECT id, CASE source WHEN 'error' THEN 2004 WHEN 'view' THEN 6003 ELSE 1007 END::INT AS class_uid, time FROM o WHERE stage IS NULL"),
-    "coerce_string": (_coerced("string", F.col("k").cast("string")), f"{EV} SELECT id, k::VARCHAR AS v FROM ev"),
-    "coerce_integer": (_coerced("integer", F.when(F.col("id") % 3 == 0, F.concat(F.lit("0x"), F.lower(F.hex("id")))).when(F.col("id") % 3 == 1, F.concat(F.lit(" "), F.col("id").cast("string"))).otherwise("1.5")), f"{EV} SELECT id, CASE WHEN id % 3 < 2 THEN id END AS v FROM ev"),
-    "coerce_timestamp": (_coerced("timestamp", _iso("+01:00")), f"{EV} SELECT id, CASE WHEN id % 3 <> 0 THEN time - 3600000 END AS v FROM ev"),
-    "coerce_utc_timestamp": (_coerced("utc-timestamp", _iso("-02:00")), f"{EV} SELECT id, CASE WHEN id % 3 <> 0 THEN time + 7200000 ELSE time END AS v FROM ev"),
-    "coerce_unix_seconds": (_coerced("unix-seconds", F.concat(F.floor(F.col("time") / 1000).cast("string"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("."), F.lpad((F.col("time") % 1000).cast("string"), 3, "0"), F.lit("999"))).otherwise(".5"))), f"{EV} SELECT id, CASE WHEN id % 2 = 0 THEN time ELSE time // 1000 * 1000 + 500 END AS v FROM ev"),
-    "coerce_ip": (_coerced("ip", F.element_at(F.array(F.col("src_ip"), F.concat(F.lit("2001:db8::"), F.lower(F.hex("k"))), F.concat("src_ip", F.lit(".1")), F.lit("1:2:3:4:5:6:7:8:9")), (F.col("id") % 4 + 1).cast("int"))), f"{EV} SELECT id, CASE id % 4 WHEN 0 THEN src_ip WHEN 1 THEN '2001:db8::' || lower(to_hex(k)) END AS v FROM ev"),
+    "coerce_string": (_coerced("string", lambda: F.col("k").cast("string")), f"{EV} SELECT id, k::VARCHAR AS v FROM ev"),
+    "coerce_integer": (_coerced("integer", lambda: F.when(F.col("id") % 3 == 0, F.concat(F.lit("0x"), F.lower(F.hex("id")))).when(F.col("id") % 3 == 1, F.concat(F.lit(" "), F.col("id").cast("string"))).otherwise("1.5")), f"{EV} SELECT id, CASE WHEN id % 3 < 2 THEN id END AS v FROM ev"),
+    "coerce_timestamp": (_coerced("timestamp", lambda: _iso("+01:00")), f"{EV} SELECT id, CASE WHEN id % 3 <> 0 THEN time - 3600000 END AS v FROM ev"),
+    "coerce_utc_timestamp": (_coerced("utc-timestamp", lambda: _iso("-02:00")), f"{EV} SELECT id, CASE WHEN id % 3 <> 0 THEN time + 7200000 ELSE time END AS v FROM ev"),
+    "coerce_unix_seconds": (_coerced("unix-seconds", lambda: F.concat(F.floor(F.col("time") / 1000).cast("string"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("."), F.lpad((F.col("time") % 1000).cast("string"), 3, "0"), F.lit("999"))).otherwise(".5"))), f"{EV} SELECT id, CASE WHEN id % 2 = 0 THEN time ELSE time // 1000 * 1000 + 500 END AS v FROM ev"),
+    "coerce_ip": (_coerced("ip", lambda: F.element_at(F.array(F.col("src_ip"), F.concat(F.lit("2001:db8::"), F.lower(F.hex("k"))), F.concat("src_ip", F.lit(".1")), F.lit("1:2:3:4:5:6:7:8:9")), (F.col("id") % 4 + 1).cast("int"))), f"{EV} SELECT id, CASE id % 4 WHEN 0 THEN src_ip WHEN 1 THEN '2001:db8::' || lower(to_hex(k)) END AS v FROM ev"),
     "fingerprints": (lambda spark, d: table(spark, d, "part").select("p_partkey", F.explode(N.fingerprints(F.concat(F.lit("MD5="), F.md5("p_name"), F.lit(", sha256="), F.sha2("p_name", 256), F.lit(",junk")))).alias("f")).select("p_partkey", "f.*"), "SELECT p_partkey, 'MD5' AS algorithm, md5(p_name) AS value FROM part UNION ALL SELECT p_partkey, 'SHA256', sha256(p_name) FROM part"),
     "derive_uids": (lambda spark, d: events(spark, d).select("id", "category_uid", "type_uid"), f"{EV} SELECT id, category_uid, type_uid FROM ev"),
     "validate_event": (lambda spark, d: events(spark, d).select("id", N.validate(F.col("time"), F.col("class_uid"), F.col("activity_id"), F.when(F.col("id") % 9 == 0, 1).otherwise(F.col("type_uid")), F.col("category_uid"), F.col("k"), F.when(F.col("id") % 2 == 0, 50)).alias("good")), f"{EV} SELECT id, id % 9 <> 0 AND (id % 2 = 1 OR k <= 50) AS good FROM ev"),
