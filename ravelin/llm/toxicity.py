@@ -133,13 +133,16 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
 
 
 TOP = 4
+#: The margin of what is too short to be a word, which counts for nothing.
+SHORT = -999.0
 
 
 def summary(margins: np.ndarray, bias: float) -> np.ndarray:
     """What the final logistic function sees of a text's distinct words: the
     highest margins, how much stands out, and that against the words' number."""
+    margins = margins[margins > SHORT]
     n = len(margins)
-    top = np.full(TOP, bias)
+    top = np.full(TOP, min(bias, -1.0))
     if n:
         best = np.sort(np.partition(margins, max(0, n - TOP))[max(0, n - TOP) :])[::-1]
         top[: len(best)] = best
@@ -155,9 +158,9 @@ class Model:
         self.weights, self.bias, self.final = weights, bias, np.zeros(TOP + 4)
 
     def margins(self, words: list[str]) -> np.ndarray:
-        out = np.full(len(words), self.bias, np.float32)
+        out = np.full(len(words), SHORT, np.float32)
         for part, seen, weight in features(words):
-            out[part] += self.weights[seen] @ weight
+            out[part] = self.bias + self.weights[seen] @ weight
         return out
 
     def probability(self, margins: np.ndarray) -> float:
@@ -250,6 +253,7 @@ def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS) -> Mo
     """A model from labelled texts; None without texts of both classes."""
     bags = [sorted(tokens(t)) for t in texts]
     kept = _distinct(bags)
+    whole = [[_strip(w) for w in words_of(texts[i])] for i in kept]
     bags, y = [bags[i] for i in kept], np.array([labels[i] for i in kept])
     if not (y == 1).any() or not (y == 0).any():
         return None
@@ -322,7 +326,7 @@ def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS) -> Mo
         for b in toxic:  # a text in which nothing stands out is taken for a wrong label
             m = model.margins(b)
             picks += [w for w, x in zip(b, m.tolist(), strict=True) if w in proven or x > 0.5 and not in_clean.get(w)]
-    model.final = _logistic(np.array([summary(model.margins(b), model.bias) for b in bags]), y)
+    model.final = _logistic(np.array([summary(model.margins(w), model.bias) for w in whole]), y)
     return model
 
 
