@@ -235,11 +235,13 @@ def images(data: bytes):
         if kind == 0x3B:
             return
         if kind == 0x21:
-            label = data[at + 1]
+            label = data[at + 1] if at + 1 < len(data) else 0
             body, at = _sub_blocks(data, at + 2)
             if label == 0xF9 and len(body) >= 4:
                 control = (body[0] >> 2 & 7, body[1] | body[2] << 8, body[3] if body[0] & 1 else None)
         elif kind == 0x2C:
+            if at + 10 > len(data):
+                raise ValueError("cut short")
             left, top, w, h, own = struct.unpack("<HHHHB", data[at + 1 : at + 10])
             at += 10
             palette = shared
