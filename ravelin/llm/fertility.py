@@ -41,7 +41,7 @@ MAX_REPEAT = 50
 BANDS = {"bpe_chars": (6.0, 9.0, 0.10), "piece_chars": (6.0, 9.0, 0.12), "entropy": (9.0, 9.0, 0.25)}
 #: Byte-fallback pieces: the median's share plus this.
 MAX_FALLBACK = 0.10
-CACHE = 120_000
+CACHE = 300_000
 #: Language codes that have bands of their own; texts of other or no language have their script's.
 LANGS = ("en", "de", "fr", "es", "it", "pt", "nl", "pl", "ru", "uk", "ar", "he", "hi", "ja", "zh", "ko", "tr", "el", "vi", "cs")
 SYMBOLS = b"#*$%&|<>"
@@ -64,14 +64,15 @@ def _vocabularies(folder: str | None):
     bpe = tiktoken.Encoding("ravelin-bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     pieces = sentencepiece.SentencePieceProcessor(model_file=vocabulary(PIECES, folder))
     fallback = np.array([pieces.IsByte(i) for i in range(pieces.GetPieceSize())])
-    return bpe, pieces, fallback
+    begins = np.array([x.startswith(b" ") for x in bpe.decode_tokens_bytes(range(bpe.n_vocab))])
+    return bpe, pieces, fallback, begins
 
 
 class _Measures:
     """Per word: its number, characters, BPE tokens and pieces."""
 
     def __init__(self, folder: str | None):
-        self.bpe, self.pieces, self.fallback = _vocabularies(folder)
+        self.bpe, self.pieces, self.fallback, self.begins = _vocabularies(folder)
         self.clear()
 
     def clear(self) -> None:
@@ -89,7 +90,10 @@ class _Measures:
         for w in new:
             self.number[w] = len(self.number)
         self.chars += map(len, texts)
-        self.tokens += map(len, self.bpe.encode_ordinary_batch([" " + t for t in texts], num_threads=1))
+        # one call for all: each word, with its blank, is split from its neighbours, and only its first token begins with a blank
+        starts = self.begins[np.array(self.bpe.encode_ordinary("".join(" " + t for t in texts)), np.int64)]
+        edges = np.flatnonzero(starts)
+        self.tokens += np.diff(np.r_[edges, len(starts)]).tolist()
         self.ids += self.pieces.encode(texts, num_threads=1)
         first = np.array([next((ord(c) for c in t if c.isalpha()), -1) for t in texts])
         self.scripts += np.where(first < 0, -1, np.array(SCRIPT_OF)[np.searchsorted(RANGES, np.maximum(first, 0), side="right")]).tolist()
