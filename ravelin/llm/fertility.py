@@ -25,6 +25,7 @@ results; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,7 @@ BANDS = {"bpe_chars": (6.0, 9.0, 0.10), "piece_chars": (6.0, 9.0, 0.12), "entrop
 #: Byte-fallback pieces: the median's share plus this.
 MAX_FALLBACK = 0.10
 CACHE = 300_000
+TEXTS_AT_ONCE = 256
 #: Language codes that have bands of their own; texts of other or no language have their script's.
 LANGS = ("en", "de", "fr", "es", "it", "pt", "nl", "pl", "ru", "uk", "ar", "he", "hi", "ja", "zh", "ko", "tr", "el", "vi", "cs")
 SYMBOLS = b"#*$%&|<>"
@@ -68,35 +70,53 @@ def _vocabularies(folder: str | None):
     return bpe, pieces, fallback, begins
 
 
+class _Numbers(dict):
+    """Numbers words in the order they are met, and lists the new ones."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
 class _Measures:
-    """Per word: its number, characters, BPE tokens and pieces."""
+    """Per word, by its number: characters, BPE tokens, script and pieces."""
 
     def __init__(self, folder: str | None):
         self.bpe, self.pieces, self.fallback, self.begins = _vocabularies(folder)
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.chars: list[int] = []
-        self.tokens: list[int] = []
-        self.ids: list[list[int]] = []
-        self.scripts: list[int] = []
-
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.number]
+        self.number = _Numbers()
+        self.chars, self.tokens, self.scripts, self.flat = (np.zeros(0, t) for t in (np.int64, np.int64, np.int8, np.int32))
+        self.starts = np.zeros(1, np.int64)
+
+    def learn(self) -> None:
+        """Measure the words that were numbered since the last time."""
+        new, self.number.new = self.number.new, []
         if not new:
             return
         texts = [w.decode("utf-8", "replace") for w in new]
-        for w in new:
-            self.number[w] = len(self.number)
-        self.chars += map(len, texts)
         # one call for all: each word, with its blank, is split from its neighbours, and only its first token begins with a blank
         starts = self.begins[np.array(self.bpe.encode_ordinary("".join(" " + t for t in texts)), np.int64)]
-        edges = np.flatnonzero(starts)
-        self.tokens += np.diff(np.r_[edges, len(starts)]).tolist()
-        self.ids += self.pieces.encode(texts, num_threads=1)
+        ids = self.pieces.encode(texts, num_threads=1)
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
         first = np.array([next((ord(c) for c in t if c.isalpha()), -1) for t in texts])
-        self.scripts += np.where(first < 0, -1, np.array(SCRIPT_OF)[np.searchsorted(RANGES, np.maximum(first, 0), side="right")]).tolist()
+        scripts = np.where(first < 0, -1, np.array(SCRIPT_OF)[np.searchsorted(RANGES, np.maximum(first, 0), side="right")])
+        self.chars = np.concatenate([self.chars, np.fromiter(map(len, texts), np.int64, len(texts))])
+        self.tokens = np.concatenate([self.tokens, np.diff(np.r_[np.flatnonzero(starts), len(starts)])])
+        self.scripts = np.concatenate([self.scripts, scripts.astype(np.int8)])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum()))])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(n)])
+
+    def of(self, kinds: np.ndarray):
+        """(characters, tokens, scripts, pieces' number, pieces one after the other)."""
+        a, n = self.starts[kinds], self.starts[kinds + 1] - self.starts[kinds]
+        at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return self.chars[kinds], self.tokens[kinds], self.scripts[kinds], n, self.flat[at]
 
 
 def repeated_words(local: np.ndarray, kinds: int) -> int:
@@ -129,32 +149,37 @@ def duplicate_lines(data: bytes) -> int:
 COLUMNS = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, bpe_chars double, piece_chars double, fallback double, entropy double"
 
 
+def _row(known: _Measures, doc_id, lang, data: bytes, at: np.ndarray) -> tuple:
+    """The measures of a text whose words have the numbers ``at``."""
+    n = len(at)
+    lines, symbols = duplicate_lines(data), sum(map(data.count, (bytes([x]) for x in SYMBOLS)))
+    if not n:
+        return (doc_id, lang, 0, 0, symbols, lines, 0, "other", None, None, None, None)
+    kinds, local, times = np.unique(at, return_inverse=True, return_counts=True)
+    chars, tokens, scripts, n_ids, flat = known.of(kinds)
+    word_chars, n_tokens, n_pieces = int((chars * times).sum()), int((tokens * times).sum()), int((n_ids * times).sum())
+    counts = np.bincount(flat, weights=np.repeat(times, n_ids), minlength=len(known.fallback))
+    share = counts[counts > 0] / n_pieces
+    lettered = scripts >= 0
+    script = int(np.bincount(scripts[lettered], weights=(chars * times)[lettered], minlength=len(SCRIPTS)).argmax()) if lettered.any() else len(SCRIPTS) - 1
+    return (doc_id, lang, n, word_chars, symbols, lines, repeated_words(local.reshape(-1), len(kinds)), SCRIPTS[script], word_chars / n_tokens, word_chars / n_pieces, float(counts[known.fallback].sum() / n_pieces), float(-(share * np.log2(share)).sum()))
+
+
 def _measure(folder: str | None):
     def run(batches):
         known = _Measures(folder)
         for rb in batches:
             out = []
-            for doc_id, data, lang in zip(*(c.to_pylist() for c in rb.columns), strict=True):
-                words = data.split()
-                n = len(words)
-                lines, symbols = duplicate_lines(data), sum(map(data.count, (bytes([x]) for x in SYMBOLS)))
-                if not n:
-                    out.append((doc_id, lang, 0, 0, symbols, lines, 0, "other", None, None, None, None))
-                    continue
+            for s in range(0, rb.num_rows, TEXTS_AT_ONCE):
                 if len(known.number) > CACHE:
                     known.clear()
-                known.learn(set(words))
-                at = np.fromiter(map(known.number.__getitem__, words), np.int64, n)
-                kinds, local, times = np.unique(at, return_inverse=True, return_counts=True)
-                chars, tokens, scripts, n_ids, flat = _view(known, kinds)
-                word_chars, n_tokens, n_pieces = int((chars * times).sum()), int((tokens * times).sum()), int((n_ids * times).sum())
-                weight = np.repeat(times, n_ids)
-                ids, where = np.unique(flat, return_inverse=True)
-                counts = np.bincount(where.reshape(-1), weights=weight)
-                p = counts / n_pieces
-                lettered = scripts >= 0
-                script = int(np.bincount(scripts[lettered], weights=(chars * times)[lettered], minlength=len(SCRIPTS)).argmax()) if lettered.any() else len(SCRIPTS) - 1
-                out.append((doc_id, lang, n, word_chars, symbols, lines, repeated_words(local.reshape(-1), len(kinds)), SCRIPTS[script], word_chars / n_tokens, word_chars / n_pieces, float(counts[known.fallback[ids]].sum() / n_pieces), float(-(p * np.log2(p)).sum())))
+                rows = list(zip(*(c.slice(s, TEXTS_AT_ONCE).to_pylist() for c in rb.columns), strict=True))
+                numbers = []
+                for _, data, _ in rows:
+                    words = data.split()
+                    numbers.append(np.fromiter(map(known.number.__getitem__, words), np.int64, len(words)))
+                known.learn()
+                out += [_row(known, doc_id, lang, data, at) for (doc_id, data, lang), at in zip(rows, numbers, strict=True)]
             cols = list(zip(*out, strict=True)) if out else [()] * 12
             kinds_ = [pa.int64(), pa.string()] + [pa.int64()] * 5 + [pa.string()] + [pa.float64()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds_, strict=True)], [x.split()[0] for x in COLUMNS.split(", ")])
@@ -162,16 +187,6 @@ def _measure(folder: str | None):
     return run
 
 
-def _view(known: _Measures, kinds: np.ndarray):
-    """The measures of these words, with their pieces one after the other."""
-    k = kinds.tolist()
-    ids = [known.ids[i] for i in k]
-    n = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter((x for own in ids for x in own), np.int32, int(n.sum()))
-    pick = lambda values: np.fromiter(map(values.__getitem__, k), np.int64, len(k))
-    return pick(known.chars), pick(known.tokens), pick(known.scripts), n, flat
-
-
 def measures(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """A row of measures for every row of ``docs``; ``lang_col`` may be missing."""
     lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
