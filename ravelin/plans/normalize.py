@@ -111,7 +111,8 @@ def coerce(text: Column, how: str) -> Column:
         hexed = F.conv(F.when(t.rlike("^0[xX][0-9a-fA-F]{1,15}$"), F.substring(t, 3, 16)), 16, 10).try_cast("bigint")
         return F.coalesce(F.when(t.rlike(r"^[+-]?\d+$"), t.try_cast("bigint")), hexed)
     if how == "timestamp":
-        return F.when(t.rlike(r"^\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]\d\d:\d\d)$"), F.unix_millis(F.try_to_timestamp(F.upper(t))))
+        colon = F.regexp_replace(t, r"([+-]\d\d)(\d\d)$", "$1:$2")  # some products leave it out
+        return F.when(colon.rlike(r"^\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]\d\d:\d\d)$"), F.unix_millis(F.try_to_timestamp(F.upper(colon))))
     if how == "utc-timestamp":
         civil = T.epoch_ms(F.when(t.rlike(r"^\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d:\d\d(\.\d+)?$"), t).try_cast("timestamp_ntz"))
         return F.coalesce(coerce(text, "timestamp"), civil)
