@@ -16,7 +16,9 @@ clean texts are negative, the hardest ones always; copies of the positives
 with inserted characters make it tolerant. A text's score is a logistic
 function, fitted on the sample, of its highest word margins and of how much
 stands out among its words: one plain insult is enough, while a doubtful word
-counts with others.
+counts with others. Words of more than ``MAX_WORD`` letters (texts without
+blanks, addresses) are judged by their pieces, the highest of which counts, so
+every character is scored.
 
 A margin is linear in the subsequence counts, so the trained machine collapses
 to one weight per subsequence: scoring looks weights up and never compares a
@@ -64,6 +66,7 @@ THRESHOLD = 0.3
 #: Log likelihood ratios asked of a word where the sample is too small to prove any against chance.
 SURE = (5.0, 3.0, 0.5)
 CACHE = 300_000
+#: Letters that are judged as one word; a longer word is judged by its pieces.
 MAX_WORD = 64
 #: Stands before and after each word, so that a subsequence can tell its ends.
 EDGE = "\x01"
@@ -71,6 +74,7 @@ SEED = 7
 
 #: Letter codes: a-z, digits, and the rest of the alphabet by code point.
 CODES = 64
+_MARKS = re.compile(r"[\W_]+")
 _SPELLED = re.compile(r"(?<!\S)\S(?:\s\S){3,}(?!\S)")
 
 
@@ -92,18 +96,32 @@ def _places(n: int) -> tuple[np.ndarray, np.ndarray]:
     return at, (weight / np.sqrt((weight**2).sum()) if len(at) else weight).astype(np.float32)
 
 
+def pieces(word: str) -> list[str]:
+    """A long word cut into windows that overlap by SPAN letters, so that no
+    subsequence is lost, and into the parts between its marks, which are words
+    of their own; other words as they are."""
+    if len(word) <= MAX_WORD:
+        return [word]
+    parts = [x for x in _MARKS.split(word) if len(x) >= 3]
+    step = MAX_WORD - SPAN
+    found = [x for x in parts if len(x) <= MAX_WORD]
+    for long in dict.fromkeys([word, *(x for x in parts if len(x) > MAX_WORD)]):
+        found += [long[a : a + MAX_WORD] for a in range(0, len(long) - MAX_WORD, step)] + [long[-MAX_WORD:]]
+    return list(dict.fromkeys(found))
+
+
 def features(words: list[str]):
     """Groups of words of one length: (positions, subsequences, weights)."""
     by: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         if len(w) >= 3:
-            by.setdefault(min(len(w), MAX_WORD) + 2, []).append(i)
+            by.setdefault(len(w) + 2, []).append(i)
     table_ = _code_table()
     for n, own in by.items():
         at, weight = _places(n)
         for s in range(0, len(own), 4096):
             part = own[s : s + 4096]
-            letters = np.frombuffer("".join(f"{EDGE}{words[i][: n - 2]}{EDGE}" for i in part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), n)
+            letters = np.frombuffer("".join(f"{EDGE}{words[i]}{EDGE}" for i in part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), n)
             c = table_[np.minimum(letters, len(table_) - 1)]
             yield np.array(part), (c[:, at[:, 0]] * CODES + c[:, at[:, 1]]) * CODES + c[:, at[:, 2]], weight
 
@@ -158,10 +176,14 @@ class Model:
         self.weights, self.bias, self.final = weights, bias, np.zeros(TOP + 4)
 
     def margins(self, words: list[str]) -> np.ndarray:
-        out = np.full(len(words), SHORT, np.float32)
-        for part, seen, weight in features(words):
+        """Of each word; the highest of its pieces stands for a long one."""
+        cut = [(i, x) for i, w in enumerate(words) if len(w) > MAX_WORD for x in pieces(w)]
+        judged = [w if len(w) <= MAX_WORD else "" for w in words] + [x for _, x in cut]
+        out = np.full(len(judged), SHORT, np.float32)
+        for part, seen, weight in features(judged):
             out[part] = self.bias + self.weights[seen] @ weight
-        return out
+        np.maximum.at(out, np.array([i for i, _ in cut], np.int64), out[len(words) :])
+        return out[: len(words)]
 
     def probability(self, margins: np.ndarray) -> float:
         z = float(np.r_[summary(margins, self.bias), 1.0] @ self.final)
@@ -187,7 +209,7 @@ def _strip(word: str) -> str:
 
 
 def tokens(text: str) -> set[str]:
-    return {w for x in words_of(text) if len(w := _strip(x)) >= 3}
+    return {p for x in words_of(text) if len(w := _strip(x)) >= 3 for p in pieces(w)}
 
 
 def _noised(word: str, rng) -> list[str]:

@@ -122,6 +122,22 @@ def test_toxicity_on_held_out_texts():
         assert score(f"{clean} {insult} {insult} {clean}") > 3 * score(clean)
 
 
+def test_toxicity_reads_words_to_their_end():
+    texts, labels = made_toxic(600, 3)
+    model = toxicity.train(texts, labels)
+    insult = max((w for t, v in zip(texts, labels, strict=True) if v for w in toxicity.tokens(t)), key=lambda w: model.margins([w])[0])
+    for mark in "-_.,/":
+        clean = mark.join(["kalo"] * 60)
+        assert model.margins([f"{clean}{mark}{insult}"])[0] >= model.margins([insult])[0] > model.margins([clean])[0]
+    clean = "kalo" * 60
+    assert all(model.margins([clean[:at] + insult + clean[at:]])[0] > model.margins([clean])[0] for at in range(0, 241, 20))
+    rng = random.Random(4)
+    for n in (64, 65, 123, 124, 1000):
+        word = "".join(rng.choice("abcdefghij-.") for _ in range(n))
+        cut = toxicity.pieces(word)
+        assert max(map(len, cut)) <= 64 and all(any(word[a : a + toxicity.SPAN] in x for x in cut) for a in range(n))
+
+
 def test_kernel_is_a_dot_product_of_shared_subsequences():
     k = toxicity.kernel(["idiot", "idxiot", "table", "ab"], ["idiot"])[:, 0]
     assert np.isclose(k[0], 1.0, atol=0.4) and k[0] > k[1] > k[2] >= 0 and k[3] == 0
