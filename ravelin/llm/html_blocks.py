@@ -52,7 +52,7 @@ def _marks(attrs: str) -> tuple[str, ...]:
                 found.append("hidden")
         else:
             found += [x for x in re.split(r"[\s_\-]+", html.unescape(value)) if x]
-    return tuple(found[:12])
+    return tuple(dict.fromkeys(found))
 
 
 def blocks(page: str) -> list[Block]:

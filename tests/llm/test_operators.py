@@ -454,6 +454,13 @@ def test_long_pages_lose_nothing():
     assert html.unescape("&amp;") == "&"
 
 
+def test_marks_after_many_classes_count():
+    many = "flex items-center justify-between px-4 py-2 text-sm text-gray-500 rounded-lg shadow-md mt-8"
+    for late, mark in (('id="comments"', "comments"), ("hidden", "hidden"), ('style="display:none"', "hidden"), ('role="navigation"', "navigation")):
+        (block,) = html_blocks.blocks(f'<div class="{many} w-full" {late}>x</div>')
+        assert mark in block.path[0][1] and {"flex", "full"} <= set(block.path[0][1])
+
+
 # The pipeline
 
 
