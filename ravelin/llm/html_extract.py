@@ -9,8 +9,10 @@ block with that context. Blocks it calls main are joined by one space.
 The labeller is trained here, on pages made from a seed with known main
 blocks; weights are about 30,000 numbers and travel in the task.
 
-Scale: map-only; a page is on its own. Very long pages are labelled in
-overlapping stretches of blocks, and no text is dropped or capped.
+Scale: map-only; a page is on its own. Very long pages are read in
+stretches of blocks, and both directions hand their states on from one to the
+next, so every block is labelled in the context of the whole page; no text is
+dropped or capped.
 
 Defined results: null and empty pages, and pages without main blocks, give an
 empty text of 0 characters; equal rows give equal results; null ids and urls

@@ -21,9 +21,8 @@ EPOCHS = 8
 BATCH = 24
 SEED = 11
 SECTIONS = frozenset("article main section nav aside header footer form body".split())
-#: Longest stretch of blocks that is labelled at once; longer pages are cut with an overlap, of which the outer halves are dropped.
+#: Blocks whose vectors are in memory as one array; the states of both directions are handed on from stretch to stretch.
 STRETCH = 512
-OVERLAP = 64
 
 
 # Features
@@ -109,11 +108,10 @@ class Labeller:
         self.p["v"] = rng.uniform(-k, k, (2 * HIDDEN, 1)).astype(np.float32)
         self.p["c"] = np.zeros(1, np.float32)
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool):
-        """States of one direction over (steps, pages, features); masked steps
-        hand the state on."""
-        h = np.zeros((x.shape[1], HIDDEN), np.float32)
-        c = np.zeros_like(h)
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool, start=None):
+        """States of one direction over (steps, pages, features), from ``start``
+        (h and c) or zero, and where they end; masked steps hand the state on."""
+        h, c = start or (np.zeros((x.shape[1], HIDDEN), np.float32),) * 2
         pre = x @ self.p[f"w{d}"] + self.p[f"b{d}"]
         states, tape = np.zeros((*x.shape[:2], HIDDEN), np.float32), []
         for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
@@ -128,10 +126,18 @@ class Labeller:
             h = m * (o * tc) + (1 - m) * h
             c = m * c_new + (1 - m) * c
             states[t] = h
-        return states, tape
+        return states, tape, (h, c)
 
-    def logits(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        both = np.concatenate([self._run(x, mask, d, False)[0] for d in ("f", "r")], axis=2)
+    def logits(self, pages: list[np.ndarray]) -> np.ndarray:
+        """Of whole pages, (steps, pages): each direction reads stretch by
+        stretch and hands its state on."""
+        starts = range(0, max(map(len, pages)), STRETCH)
+        both = np.zeros((max(map(len, pages)), len(pages), 2 * HIDDEN), np.float32)
+        for k, d in enumerate(("f", "r")):
+            at = None
+            for a in starts if d == "f" else reversed(starts):
+                states, _, at = self._run(*_padded([p[a : a + STRETCH] for p in pages]), d, False, at)
+                both[a : a + len(states), :, k * HIDDEN : (k + 1) * HIDDEN] = states
         return (both @ self.p["v"])[..., 0] + self.p["c"][0]
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict:
@@ -172,25 +178,17 @@ def _padded(pages: list[np.ndarray]):
 
 
 def label(model: Labeller, pages: list[np.ndarray]) -> list[np.ndarray]:
-    """Is each block main text, for each page."""
-    stretches, back = [], []
-    for k, p in enumerate(pages):
-        for a in range(0, max(1, len(p)), STRETCH - OVERLAP):
-            if a and a + OVERLAP >= len(p):
-                break
-            stretches.append(p[a : a + STRETCH])
-            back.append((k, a))
+    """Is each block main text, for each page; pages of like length go together."""
     out = [np.zeros(len(p), bool) for p in pages]
-    order = sorted((i for i in range(len(stretches)) if len(stretches[i])), key=lambda i: len(stretches[i]))
-    for s in range(0, len(order), 64):
-        part = order[s : s + 64]
-        x, mask = _padded([stretches[i] for i in part])
-        got = model.logits(x, mask) > 0
-        for j, i in enumerate(part):
-            k, a = back[i]
-            n = len(stretches[i])
-            skip = OVERLAP // 2 if a else 0
-            out[k][a + skip : a + n] = got[skip:n, j]
+    order = sorted((k for k in range(len(pages)) if len(pages[k])), key=lambda k: len(pages[k]))
+    while order:
+        n = 1
+        while n < min(64, len(order)) and len(pages[order[n]]) * (n + 1) <= 64 * STRETCH:
+            n += 1
+        part, order = order[:n], order[n:]
+        got = model.logits([pages[k] for k in part]) > 0
+        for j, k in enumerate(part):
+            out[k][:] = got[: len(pages[k]), j]
     return out
 
 

@@ -454,6 +454,32 @@ def test_long_pages_lose_nothing():
     assert html.unescape("&amp;") == "&"
 
 
+def test_labels_see_the_whole_page():
+    long = np.concatenate([x for x, _ in html_model.training_pages(150, 98)])
+    keen = html_model.Labeller(np.random.default_rng(1))
+    for d in "fr":  # forgets hardly anything
+        keen.p[f"b{d}"][html_model.HIDDEN : 2 * html_model.HIDDEN] = 7
+    pages = [long, long[:700], long[:5], long[:0]]
+    assert len(long) > 1500
+    for model in (keen, html_model.trained()):
+        for p in pages[:3]:
+            states = [model._run(p[:, None], np.ones((len(p), 1), np.float32), d, False)[0][:, 0] for d in "fr"]
+            z = np.hstack(states) @ model.p["v"][:, 0]
+            model.p["c"][0] = -np.median(z) if model is keen else model.p["c"][0]
+            z += model.p["c"][0]
+            clear = np.abs(z) > 1e-4
+            got = (html_model.label(model, [p])[0], html_model.label(model, [p, *pages])[0])
+            assert all(np.array_equal(q[clear], (z > 0)[clear]) for q in got)
+    assert not len(html_model.label(keen, pages)[3])
+
+
+def test_long_pages_keep_every_character():
+    model = html_model.trained()
+    texts = [f"Paragraph number {i} with some words." for i in range(1500)]
+    page = "<body><nav><a>Home</a></nav><article>" + "".join(f"<p>{t}</p>" for t in texts) + "</article>"
+    assert html_extract.main_texts(model, [page]) == [" ".join(texts)]
+
+
 def test_marks_after_many_classes_count():
     many = "flex items-center justify-between px-4 py-2 text-sm text-gray-500 rounded-lg shadow-md mt-8"
     for late, mark in (('id="comments"', "comments"), ("hidden", "hidden"), ('style="display:none"', "hidden"), ('role="navigation"', "navigation")):
