@@ -246,9 +246,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``."""
     fps = materialize(fingerprints(docs, id_col, text_col), "fps")
-    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).filter("rep is not null"), "distinct")
-    comp = components(links(distinct))
-    named = distinct.join(comp, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    comp = components(links(distinct.select("fp", F.col("fp").alias("rep"))))  # nodes are fingerprints, as ids may be null
+    grouped = distinct.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    grouped = materialize(grouped, "grouped")
+    named = grouped.join(grouped.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component_id")
     return fps.join(named, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

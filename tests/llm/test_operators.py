@@ -92,6 +92,16 @@ def test_near_duplicates_of_odd_input(spark):
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 0, 1, 5, 6, 7]
 
 
+def test_null_ids_link_texts(spark, monkeypatch):
+    # 9 and 4 are near only the fingerprint of a row without an id; a pair without ids stays null
+    fps = [(9, 0), (None, 0b111), (4, 0b111111), (7, -1), (None, 0xFFFF << 20), (None, 0xFFFF << 20 | 1), (None, -2), (3, 0xFF << 50)]
+    made = spark.createDataFrame(fps, "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *a: made)
+    got = {(r.doc_id, int(r.fingerprint, 16)): r.component_id for r in simhash.near_duplicates(made).collect()}
+    want = [4, 4, 4, 7, None, None, 7, 3]
+    assert got == {(i, f % 2**64): w for (i, f), w in zip(fps, want, strict=True)}
+
+
 # 2
 
 
