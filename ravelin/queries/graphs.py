@@ -26,8 +26,15 @@ def _links(spark, d):
 
 
 def _edges(spark, d):
-    """A sparse part of the graph, for walks: one nation's customers."""
-    li = table(spark, d, "lineitem").filter("l_orderkey % 40 = 0 and l_quantity > 44")
+    """A sparse part of the graph, as the SQL has it: large lines of every 40th order."""
+    return _supplied(table(spark, d, "lineitem").filter("l_orderkey % 40 = 0 and l_quantity > 44"))
+
+
+def _all_edges(spark, d):
+    return _supplied(table(spark, d, "lineitem"))
+
+
+def _supplied(li):
     return li.groupBy(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst")).agg(F.count("*").alias("events"), F.min("l_orderkey").alias("first_seen"), F.max("l_orderkey").alias("last_seen")).withColumn("link", F.lit("supplied"))
 
 
@@ -61,9 +68,9 @@ def _members(spark, d):
     return table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("identifier"), F.concat(F.lit("brand:"), "p_brand").alias("entity"))
 
 
-def _cannot(spark, d):
+def _cannot(spark, d, total=_small):
     """Entities while some pairs must stay apart: rows only."""
-    small = _small(spark, d)
+    small = total(spark, d)
     apart = spark.createDataFrame([("c0", "c1"), ("c6", "c7"), ("c12", "c13")], "a string, b string")
     return graph.resolve(small, None, apart)
 
@@ -103,8 +110,8 @@ def _attack(spark, d):
     return attack_techniques(bundles.select("bundle"))
 
 
-def _path(spark, d):
-    e = _edges(spark, d)
+def _path(spark, d, edges=_edges):
+    e = edges(spark, d)
     return spark.createDataFrame([(a, b, graph.path_length(e, a, b)) for a, b in (("s1", "s2"), ("s3", "s30"))], "a string, b string, links int")
 
 
@@ -132,3 +139,28 @@ QUERIES = {
     "attack_verdicts": (lambda spark, d: _verdicts(spark, d).groupBy("verdict").agg(F.count("*").alias("n")), f"{COVER_SQL} SELECT verdict, count(*) AS n FROM v GROUP BY 1"),
     "navigator_layer": (lambda spark, d: graph.navigator_layer(_verdicts(spark, d)), f"""{COVER_SQL} SELECT technique, '{{"techniqueID":"' || technique || '","score":' || (CASE verdict WHEN 'detected' THEN 100 WHEN 'blind' THEN 50 WHEN 'collected' THEN 25 ELSE 0 END) || ',"comment":"' || verdict || '"}}' AS entry FROM v"""),
 }
+
+
+def _whole(name: str) -> str:
+    """The SQL of a query without the cuts of its rows."""
+    return QUERIES[name][1].replace(" WHERE l_orderkey % 40 = 0 AND l_quantity > 44", "")
+
+
+def _all_entities(spark, d):
+    return graph.resolve(_total(spark, d))
+
+
+#: The same over all of lineitem and all claims. Walks with hubs, paths and components of this size have no SQL; they are tested by brute force.
+QUERIES |= {
+    "graph_degree_all": (lambda spark, d: graph.degree(_all_edges(spark, d)), _whole("graph_degree")),
+    "graph_edges_all": (lambda spark, d: graph.both_ways(_all_edges(spark, d)).join(_members(spark, d), F.col("other") == F.col("identifier"), "left").select("node", "other", "direction", "entity"), _whole("graph_edges")),
+    "graph_held_all": (lambda spark, d: _all_edges(spark, d).select(F.col("src").alias("node")).union(_members(spark, d).filter("identifier like 'p1%'").select("identifier")).distinct(), _whole("graph_held")),
+    "neighbours_all": (lambda spark, d: graph.neighbours(_all_edges(spark, d), _members(spark, d), ["s1", "s2", "s3"], 50), _whole("neighbours")),
+    "neighbours_anti_all": (lambda spark, d: _all_edges(spark, d).select("dst").distinct().join(_members(spark, d).filter("entity like '%#1%'"), F.col("dst") == F.col("identifier"), "left_anti"), _whole("neighbours_anti")),
+    "graph_walk_all": (lambda spark, d: graph.walk(_all_edges(spark, d), ["s5"], 2).select("node", "level"), None),
+    "graph_path_all": (lambda spark, d: _path(spark, d, _all_edges), None),
+    "graph_entities_all": (_all_entities, None),
+    "graph_entities_cannot_link_all": (lambda spark, d: _cannot(spark, d, _total), None),
+    "graph_entity_all": (lambda spark, d: _all_entities(spark, d).groupBy("entity").agg(F.count("*").alias("identifiers")), None),
+    "resolution_summary_all": (lambda spark, d: _all_entities(spark, d).agg(F.countDistinct("entity").alias("entities"), F.count("*").alias("identifiers"), F.sum((F.col("entity") == F.col("identifier")).cast("bigint")).alias("names")), None),
+}
