@@ -157,3 +157,14 @@ def _quantiles(spark, d):
     edges = F.array(*[F.lit(x) for x in (5.0, 20.0, 50.0, 100.0, 100000.0)])
     b = e.select("source", "value", F.explode(edges).alias("upper")).groupBy("source", "upper").agg(F.sum((F.col("value") <= F.col("upper")).cast("bigint")).alias("count"))
     return health.quantile(b, 0.95, "source").select("source", F.round("value", 6).alias("value"))
+
+
+def _customer_runs(spark, d):
+    """Every order as a range of days of its customer, with gaps between them."""
+    at = F.floor(T.epoch_ms(F.col("o_orderdate")) / DAY).cast("bigint")
+    return table(spark, d, "orders").select(F.col("o_custkey").alias("who"), at.alias("lo"), (at + F.col("o_orderkey") % 60 + 1).alias("hi"))
+
+
+QUERIES |= {
+    "merge_ranges_all": (lambda spark, d: overview.merge_ranges(_customer_runs(spark, d), "who"), f"WITH x AS (SELECT o_custkey AS who, epoch_ms(o_orderdate) // {DAY} AS lo, epoch_ms(o_orderdate) // {DAY} + o_orderkey % 60 + 1 AS hi FROM orders), m AS (SELECT *, max(hi) OVER (PARTITION BY who ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM x), g AS (SELECT *, sum(CASE WHEN reach IS NULL OR lo > reach THEN 1 ELSE 0 END) OVER (PARTITION BY who ORDER BY lo, hi) AS island FROM m) SELECT who, min(lo) AS lo, max(hi) AS hi FROM g GROUP BY who, island"),
+}

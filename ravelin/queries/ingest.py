@@ -64,17 +64,19 @@ def _csv_lines(spark, d):
     return p.select("p_partkey", F.when(F.col("p_partkey") % 100 == 0, F.concat(line, F.lit(',1,"open'))).otherwise(line).alias("line"))
 
 
-def _audit(spark, d):
+def _audit(spark, d, whole=False):
     """Two lines an event that come apart, and a line without a key."""
-    e = events(spark, d).filter("id < 3000")
+    e = events(spark, d)
+    far = e.agg(F.max("id")).first()[0] + 1 if whole else 10_000
+    e = e if whole else e.filter("id < 3000")
     key = F.concat(F.lit("msg=audit("), F.floor(F.col("time") / 1000).cast("string"), F.lit(".123:"), F.col("id").cast("string"), F.lit("): "))
     one = F.concat(F.lit("type=SYSCALL "), key, F.lit("exe="), F.hex("user_name"), F.lit(" uid="), F.col("k").cast("string"), F.lit(' comm="'), F.col("source"), F.lit('"'))
     two = F.concat(F.lit("type=PATH "), key, F.lit("item=0 name="), F.hex("host"))
-    return e.select((F.col("id") % 10).alias("file"), F.explode(F.array(F.struct(F.col("id").alias("pos"), one.alias("line")), F.struct((F.col("id") + 10_000).alias("pos"), two.alias("line")), F.struct((F.col("id") + 20_000).alias("pos"), F.when(F.col("id") % 100 == 0, "junk").alias("line")))).alias("x")).select("file", "x.*").filter("line is not null")
+    return e.select((F.col("id") % 10).alias("file"), F.explode(F.array(F.struct(F.col("id").alias("pos"), one.alias("line")), F.struct((F.col("id") + far).alias("pos"), two.alias("line")), F.struct((F.col("id") + 2 * far).alias("pos"), F.when(F.col("id") % 100 == 0, "junk").alias("line")))).alias("x")).select("file", "x.*").filter("line is not null")
 
 
-def _audit_decoded(spark, d):
-    rows = D.frame_audit(_audit(spark, d), "file").filter("dead is null").withColumn("j", D.decode_auditd(F.col("record")))
+def _audit_decoded(spark, d, whole=False):
+    rows = D.frame_audit(_audit(spark, d, whole), "file").filter("dead is null").withColumn("j", D.decode_auditd(F.col("record")))
     g = lambda p: F.get_json_object("j", p)
     return rows.select(g("$.serial").cast("bigint").alias("id"), g("$.SYSCALL.exe").alias("exe"), g("$.SYSCALL.comm").alias("comm"), g("$.SYSCALL.uid").cast("bigint").alias("uid"), g("$['PATH.0'].name").alias("path"))
 
@@ -172,3 +174,9 @@ QUERIES = {
     "feed_stix": (lambda spark, d: feeds.feed_stix(_stix(spark, d)).select("kind", "value", "confidence"), "SELECT 'domain' AS kind, 'n' || p_partkey || '.example' AS value, p_size::INT AS confidence FROM part WHERE p_size % 5 <> 0 AND p_size <> 7 UNION ALL SELECT 'sha256', sha256(p_name), p_size::INT FROM part WHERE p_size % 5 <> 0 AND p_size <> 7"),
     "context_load": (_context, "SELECT s_suppkey, unnest([s_name, 'alias' || s_suppkey]) AS name, (CASE s_suppkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 3 END)::INT AS criticality, CASE s_suppkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS active FROM supplier"),
 }
+
+#: The same over every event.
+QUERIES |= {
+    "frame_audit_all": (lambda spark, d: D.frame_audit(_audit(spark, d, True), "file").groupBy("file").agg(F.count("record").alias("records"), F.count("dead").alias("dead")), QUERIES["frame_audit"][1].replace(" WHERE id < 3000", "")),
+    "decode_auditd_all": (lambda spark, d: _audit_decoded(spark, d, True), QUERIES["decode_auditd"][1].replace(" WHERE id < 3000", "")),
+}

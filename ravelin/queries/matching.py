@@ -94,9 +94,10 @@ NET_SQL = """n(lo, prefix, record) AS (VALUES (167772160, 22, 'n0'), (167772416,
   m AS (SELECT id, src_ip, prefix, record FROM x, n WHERE number >= lo AND number < lo + (1 << (32 - prefix)))"""
 
 
-def _records(spark, d):
+def _records(spark, d, whole=False):
     """Context records of customers: each order is one, valid for some days."""
-    o = table(spark, d, "orders").filter("o_custkey < 100")
+    o = table(spark, d, "orders")
+    o = o if whole else o.filter("o_custkey < 100")
     day = F.floor(T.epoch_ms(F.col("o_orderdate")) / DAY).cast("bigint")
     return o.select(F.col("o_custkey").alias("who"), F.col("o_orderkey").alias("record"), F.col("o_orderpriority").alias("source"), day.alias("valid_from"), (day + 30 + F.col("o_orderkey") % 60).alias("valid_until"))
 
@@ -111,6 +112,19 @@ def _asks(spark, d):
 ASK_SQL = EV + ", a AS (SELECT id, id % 100 AS who, 9000 + id * 7 AS moment FROM ev WHERE id < 400), " + REC_SQL
 
 
+def _all_asks(spark, d):
+    """Every event asks about a customer, at a day of the orders' years."""
+    n = table(spark, d, "customer").count()
+    return events(spark, d).select("id", (F.col("id") % n).alias("who"), (F.lit(8000) + F.col("id") * 7 % 2600).alias("moment"))
+
+
+ALL_ASK_SQL = EV + ", a AS (SELECT id, id % (SELECT count(*) FROM customer) AS who, 8000 + id * 7 % 2600 AS moment FROM ev), " + REC_SQL.replace(" WHERE o_custkey < 100", "")
+
+
+def _all_found(spark, d):
+    return _all_asks(spark, d).join(_records(spark, d, True), "who")
+
+
 def _found(spark, d):
     return _asks(spark, d).join(_records(spark, d), "who")
 
@@ -177,3 +191,17 @@ QUERIES = {
     "enrich_groups": (lambda spark, d: _asks(spark, d).join(_groups(spark, d), "who").select("id", "group"), f"{EV}, a AS (SELECT id, id % 100 AS who FROM ev WHERE id < 400), c AS (SELECT c_custkey AS who, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) SELECT id, n_name AS \"group\" FROM a JOIN c USING (who) UNION ALL SELECT id, r_name FROM a JOIN c USING (who)"),
     "enrichments_cap": (lambda spark, d: intel.cap(_found(spark, d), ["id"], ["source", "record"], 5).select("id", "record"), f"{ASK_SQL} SELECT id, record FROM a JOIN r USING (who) QUALIFY row_number() OVER (PARTITION BY id ORDER BY source, record) <= 5"),
 }
+
+
+def _whole(name: str) -> str:
+    """The SQL of a query with all asks and records."""
+    return QUERIES[name][1].replace(ASK_SQL, ALL_ASK_SQL).replace("id % 100 AS who FROM ev WHERE id < 400", "id % (SELECT count(*) FROM customer) AS who FROM ev")
+
+
+#: The same for every event against every order's record.
+QUERIES |= {
+    "enrich_id_all": (lambda spark, d: intel.holding(_all_found(spark, d), F.col("moment")).select("id", "record", "source"), _whole("enrich_id")),
+    "enrich_asof_ended_all": (lambda spark, d: intel.with_ended(_all_found(spark, d), ["id"], F.col("moment")).select("id", "record", "source", "holds"), _whole("enrich_asof_ended")),
+    "enrich_groups_all": (lambda spark, d: _all_asks(spark, d).join(_groups(spark, d), "who").select("id", "group"), _whole("enrich_groups")),
+    "enrichments_cap_all": (lambda spark, d: intel.cap(_all_found(spark, d), ["id"], ["source", "record"], 5).select("id", "record"), _whole("enrichments_cap")),
+}

@@ -71,3 +71,9 @@ def test_entities_are_of_all_claims(spark):
     assert sum(r.identifiers for r in run(spark, "graph_entity_all")) == len(want)
     apart = {r.identifier: r.entity for r in run(spark, "graph_entities_cannot_link_all")}
     assert set(apart) == set(want) and all(apart[a] != apart[b] for a, b in (("c0", "c1"), ("c6", "c7"), ("c12", "c13")) if a in apart and b in apart)
+
+
+def test_every_event_is_framed_and_asks(spark):
+    n = spark.read.parquet(f"{SF}/events.parquet").count()
+    assert sum(r.records for r in run(spark, "frame_audit_all")) == n
+    assert len({r.id for r in run(spark, "enrich_groups_all")}) > 0.9 * n
