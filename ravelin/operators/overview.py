@@ -52,6 +52,12 @@ def received_between(events: DataFrame, from_ms: int, to_ms: int) -> DataFrame:
     return events.filter((F.col("received") >= from_ms) & (F.col("received") < to_ms))
 
 
+def lookup(events: DataFrame, cursors: DataFrame) -> DataFrame:
+    """Each cursor (time, id) with the event there; the event's columns are null
+    where there is none. Equal cursors and copies of an event count once."""
+    return cursors.select("time", "id").distinct().join(events.dropDuplicates(["time", "id"]), ["time", "id"], "left")
+
+
 def latest_per(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The newest row of each group, by an aggregate that combines map-side."""
     return rows.groupBy(*keys).agg(F.max(F.struct(order, *[c for c in rows.columns if c not in (*keys, order)])).alias("r")).select(*keys, "r.*")

@@ -101,6 +101,19 @@ def _platform(spark, d):
     return per.select("source", "reporting", "failing", state.alias("state"))
 
 
+def _customer_runs(spark, d):
+    """Every order as a range of days of its customer, with gaps between them."""
+    at = F.floor(T.epoch_ms(F.col("o_orderdate")) / DAY).cast("bigint")
+    return table(spark, d, "orders").select(F.col("o_custkey").alias("who"), at.alias("lo"), (at + F.col("o_orderkey") % 60 + 1).alias("hi"))
+
+
+def _by_cursor(spark, d):
+    """The first event of each user by its place, and a place without an event."""
+    first = events(spark, d).groupBy("user_name").agg(F.min(F.struct("time", "id")).alias("c")).select("c.*")
+    none = spark.createDataFrame([(7, 1)], "time long, id long")
+    return overview.lookup(events(spark, d), first.unionByName(none)).select("id", "time", "source", "severity_id")
+
+
 QUERIES = {
     "search_time_range": _search([], "", None, (5, 8)),
     "search_class": _search([], "", [2004, 4002]),
@@ -118,7 +131,7 @@ QUERIES = {
     "search_page": (lambda spark, d: page(events(spark, d), PAGE).select("id", "time"), f"{EV} SELECT * FROM ({PAGE_SQL})"),
     "search_next_page": (_next_page, f"{EV} SELECT * FROM ({PAGE_SQL} OFFSET 50)"),
     "findings_queue": (lambda spark, d: findings_queue(events(spark, d)).select("id", "severity_id", "time"), f"{EV} SELECT id, severity_id, time FROM ev WHERE class_uid = 2004 ORDER BY severity_id DESC, time DESC, id DESC LIMIT 100"),
-    "event_by_cursor": (lambda spark, d: events(spark, d).filter("time % 1000 = 0 and id between 500 and 900").select("id", "time", "source"), f"{EV} SELECT id, time, source FROM ev WHERE time % 1000 = 0 AND id BETWEEN 500 AND 900"),
+    "event_by_cursor": (_by_cursor, f"{EV}, c AS (SELECT user_name, min({{'time': time, 'id': id}}) AS c FROM ev GROUP BY 1) SELECT id, time, source, severity_id FROM ev JOIN c ON c.time = time AND c.id = id UNION ALL SELECT 1, 7, NULL, NULL"),
     "range_scan_received": (lambda spark, d: overview.received_between(events(spark, d), START + DAY, START + 3 * DAY).select("id", "received"), f"{EV} SELECT id, received FROM ev WHERE received >= {START + DAY} AND received < {START + 3 * DAY}"),
     "severity_facets": (lambda spark, d: events(spark, d).groupBy("severity_id").agg(F.count("*").alias("n")), f"{EV} SELECT severity_id, count(*) AS n FROM ev GROUP BY 1"),
     "top_classes": (lambda spark, d: overview.top(events(spark, d), "class_uid", 3), f"{EV} SELECT class_uid, count(*) AS n FROM ev GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3"),
@@ -135,7 +148,7 @@ QUERIES = {
     "retention": (lambda spark, d: overview.retain(events(spark, d), NOW, 7).select("id"), f"{EV} SELECT id FROM ev WHERE received // {DAY} * {DAY} >= {NOW // DAY * DAY - 7 * DAY}"),
     "latest_per_group": (lambda spark, d: overview.latest_per(events(spark, d).withColumn("at", F.struct("time", "id")), ["source", "host"], "at").select("source", "host", "at.time", "at.id"), f"{EV} SELECT source, host, time, id FROM ev QUALIFY row_number() OVER (PARTITION BY source, host ORDER BY time DESC, id DESC) = 1"),
     "newest_version": (lambda spark, d: overview.newest_version(table(spark, d, "lineitem").withColumn("version", F.col("l_orderkey") % 5).select("version", "l_partkey")).groupBy("version").agg(F.count("*").alias("n"), F.sum("l_partkey").alias("s")), "SELECT l_orderkey % 5 AS version, count(*) AS n, sum(l_partkey)::BIGINT AS s FROM lineitem WHERE l_orderkey % 5 = (SELECT max(l_orderkey % 5) FROM lineitem) GROUP BY 1"),
-    "merge_ranges": (lambda spark, d: overview.merge_ranges(_runs(spark, d).select("role", F.col("started").alias("lo"), (F.col("received") + 1).alias("hi")).filter("lo % 17 < 6"), "role"), f"WITH {RUNS_SQL}, x AS (SELECT role, started AS lo, received + 1 AS hi FROM r WHERE started % 17 < 6), m AS (SELECT *, max(hi) OVER (PARTITION BY role ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM x), g AS (SELECT *, sum(CASE WHEN reach IS NULL OR lo > reach THEN 1 ELSE 0 END) OVER (PARTITION BY role ORDER BY lo, hi) AS island FROM m) SELECT role, min(lo) AS lo, max(hi) AS hi FROM g GROUP BY role, island"),
+    "merge_ranges": (lambda spark, d: overview.merge_ranges(_customer_runs(spark, d), "who"), f"WITH x AS (SELECT o_custkey AS who, epoch_ms(o_orderdate) // {DAY} AS lo, epoch_ms(o_orderdate) // {DAY} + o_orderkey % 60 + 1 AS hi FROM orders), m AS (SELECT *, max(hi) OVER (PARTITION BY who ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM x), g AS (SELECT *, sum(CASE WHEN reach IS NULL OR lo > reach THEN 1 ELSE 0 END) OVER (PARTITION BY who ORDER BY lo, hi) AS island FROM m) SELECT who, min(lo) AS lo, max(hi) AS hi FROM g GROUP BY who, island"),
     "peak_concurrency": (lambda spark, d: health.peak_concurrency(_runs(spark, d), "role"), f"WITH {RUNS_SQL}, e AS (SELECT role, started AS m, 1 AS s FROM r UNION ALL SELECT role, received + 1 AS m, -1 AS s FROM r), a AS (SELECT role, m, sum(s) AS s FROM e GROUP BY ALL), o AS (SELECT role, sum(s) OVER (PARTITION BY role ORDER BY m) AS open FROM a) SELECT role, max(open)::BIGINT AS peak FROM o GROUP BY 1"),
     "condition_intervals": (lambda spark, d: health.intervals(events(spark, d).withColumn("status", F.when(F.col("value") > 40, "bad").otherwise("ok")).withColumn("at", F.col("time") * 100_000 + F.col("id")), ["host"], "at", "status"), f"{EV}, s AS (SELECT host, time * 100000 + id AS m, CASE WHEN value > 40 THEN 'bad' ELSE 'ok' END AS status FROM ev), mm AS (SELECT s.*, CASE WHEN lag(status) OVER (PARTITION BY host ORDER BY m) = status THEN 0 ELSE 1 END AS new FROM s), g AS (SELECT *, sum(new) OVER (PARTITION BY host ORDER BY m) AS run FROM mm) SELECT host, status, min(m) AS since, max(m) AS until, count(*) AS n FROM g GROUP BY host, run, status"),
     "rolling_hour": (lambda spark, d: health.rolling_sum(events(spark, d).groupBy("source", T.bucket(F.col("time"), 60_000).alias("minute")).agg(F.count("*").alias("n")), ["source"], "minute", "n", 3_600_000).select("source", "minute", "rolling"), f"{EV}, m AS (SELECT source, time // 60000 * 60000 AS minute, count(*) AS n FROM ev GROUP BY ALL) SELECT source, minute, (sum(n) OVER (PARTITION BY source ORDER BY minute RANGE BETWEEN 3599999 PRECEDING AND CURRENT ROW))::BIGINT AS rolling FROM m"),
@@ -157,14 +170,3 @@ def _quantiles(spark, d):
     edges = F.array(*[F.lit(x) for x in (5.0, 20.0, 50.0, 100.0, 100000.0)])
     b = e.select("source", "value", F.explode(edges).alias("upper")).groupBy("source", "upper").agg(F.sum((F.col("value") <= F.col("upper")).cast("bigint")).alias("count"))
     return health.quantile(b, 0.95, "source").select("source", F.round("value", 6).alias("value"))
-
-
-def _customer_runs(spark, d):
-    """Every order as a range of days of its customer, with gaps between them."""
-    at = F.floor(T.epoch_ms(F.col("o_orderdate")) / DAY).cast("bigint")
-    return table(spark, d, "orders").select(F.col("o_custkey").alias("who"), at.alias("lo"), (at + F.col("o_orderkey") % 60 + 1).alias("hi"))
-
-
-QUERIES |= {
-    "merge_ranges_all": (lambda spark, d: overview.merge_ranges(_customer_runs(spark, d), "who"), f"WITH x AS (SELECT o_custkey AS who, epoch_ms(o_orderdate) // {DAY} AS lo, epoch_ms(o_orderdate) // {DAY} + o_orderkey % 60 + 1 AS hi FROM orders), m AS (SELECT *, max(hi) OVER (PARTITION BY who ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM x), g AS (SELECT *, sum(CASE WHEN reach IS NULL OR lo > reach THEN 1 ELSE 0 END) OVER (PARTITION BY who ORDER BY lo, hi) AS island FROM m) SELECT who, min(lo) AS lo, max(hi) AS hi FROM g GROUP BY who, island"),
-}

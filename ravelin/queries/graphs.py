@@ -14,10 +14,10 @@ DAY = 86_400_000
 def _rows(spark, d):
     """Customers link to order priorities' desks; each order is an event."""
     o = table(spark, d, "orders")
-    return o.select(F.concat(F.lit("c"), (F.col("o_custkey") % 300).cast("string")).alias("src"), F.lit("ordered").alias("link"), F.concat(F.lit("d"), (F.col("o_orderkey") % 97).cast("string")).alias("dst"), epoch_ms(F.col("o_orderdate")).alias("time"), F.col("o_orderkey").alias("id"))
+    return o.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.lit("ordered").alias("link"), F.col("o_orderpriority").alias("dst"), epoch_ms(F.col("o_orderdate")).alias("time"), F.col("o_orderkey").alias("id"))
 
 
-ROWS_SQL = "r AS (SELECT 'c' || (o_custkey % 300) AS src, 'ordered' AS link, 'd' || (o_orderkey % 97) AS dst, epoch_ms(o_orderdate) AS time, o_orderkey AS id FROM orders)"
+ROWS_SQL = "r AS (SELECT 'c' || o_custkey AS src, 'ordered' AS link, o_orderpriority AS dst, epoch_ms(o_orderdate) AS time, o_orderkey AS id FROM orders)"
 LINKS_SQL = f"WITH {ROWS_SQL}, l AS (SELECT src, link, dst, time // {30 * DAY} AS hour, count(*) AS events, min({{'time': time, 'id': id}}) AS first_seen, max({{'time': time, 'id': id}}) AS last_seen FROM r GROUP BY ALL)"
 
 
@@ -26,19 +26,12 @@ def _links(spark, d):
 
 
 def _edges(spark, d):
-    """A sparse part of the graph, as the SQL has it: large lines of every 40th order."""
-    return _supplied(table(spark, d, "lineitem").filter("l_orderkey % 40 = 0 and l_quantity > 44"))
-
-
-def _all_edges(spark, d):
-    return _supplied(table(spark, d, "lineitem"))
-
-
-def _supplied(li):
+    """Suppliers and the parts of their lines."""
+    li = table(spark, d, "lineitem")
     return li.groupBy(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst")).agg(F.count("*").alias("events"), F.min("l_orderkey").alias("first_seen"), F.max("l_orderkey").alias("last_seen")).withColumn("link", F.lit("supplied"))
 
 
-EDGES_SQL = "e AS (SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, 'supplied' AS link, count(*) AS events, min(l_orderkey) AS first_seen, max(l_orderkey) AS last_seen FROM lineitem WHERE l_orderkey % 40 = 0 AND l_quantity > 44 GROUP BY ALL), b AS (SELECT src AS node, dst AS other, events, first_seen, last_seen, 'out' AS direction, link FROM e UNION ALL SELECT dst, src, events, first_seen, last_seen, 'in', link FROM e)"
+EDGES_SQL = "e AS (SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, 'supplied' AS link, count(*) AS events, min(l_orderkey) AS first_seen, max(l_orderkey) AS last_seen FROM lineitem GROUP BY ALL), b AS (SELECT src AS node, dst AS other, events, first_seen, last_seen, 'out' AS direction, link FROM e UNION ALL SELECT dst, src, events, first_seen, last_seen, 'in', link FROM e)"
 
 
 def _claims(spark, d):
@@ -53,26 +46,21 @@ def _total(spark, d):
     return graph.claims_total(graph.claims(_claims(spark, d)))
 
 
-def _small(spark, d):
-    return _total(spark, d).filter("events >= 2 and cast(substring(one, 2) as int) < 400")
-
-
-SMALL_SQL = f"{CLAIM_SQL}, sm AS (SELECT * FROM t WHERE events >= 2 AND CAST(substring(one, 2) AS INT) < 400), u AS (SELECT one AS a, other AS b FROM sm UNION SELECT other, one FROM sm), cc(node, entity) AS (SELECT a, a FROM u UNION SELECT u.b, cc.entity FROM cc JOIN u ON u.a = cc.node), ent AS (SELECT node AS identifier, min(entity) AS entity FROM cc GROUP BY node)"
+ENTITY_SQL = f"{CLAIM_SQL}, u AS (SELECT one AS a, other AS b FROM t UNION SELECT other, one FROM t), cc(node, entity) AS (SELECT a, a FROM u UNION SELECT u.b, cc.entity FROM cc JOIN u ON u.a = cc.node), ent AS (SELECT node AS identifier, min(entity) AS entity FROM cc GROUP BY node)"
 
 
 def _entities(spark, d):
-    return graph.resolve(_small(spark, d))
+    return graph.resolve(_total(spark, d))
 
 
 def _members(spark, d):
     return table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("identifier"), F.concat(F.lit("brand:"), "p_brand").alias("entity"))
 
 
-def _cannot(spark, d, total=_small):
-    """Entities while some pairs must stay apart: rows only."""
-    small = total(spark, d)
+def _cannot(spark, d):
+    """Entities while some pairs must stay apart; tested by brute force."""
     apart = spark.createDataFrame([("c0", "c1"), ("c6", "c7"), ("c12", "c13")], "a string, b string")
-    return graph.resolve(small, None, apart)
+    return graph.resolve(_total(spark, d), None, apart)
 
 
 def _with_forms(spark, d):
@@ -110,12 +98,17 @@ def _attack(spark, d):
     return attack_techniques(bundles.select("bundle"))
 
 
-def _path(spark, d, edges=_edges):
-    e = edges(spark, d)
+def _path(spark, d):
+    e = _edges(spark, d)
     return spark.createDataFrame([(a, b, graph.path_length(e, a, b)) for a, b in (("s1", "s2"), ("s3", "s30"))], "a string, b string, links int")
 
 
-PATH_SQL = f"WITH RECURSIVE {EDGES_SQL}, w(a, node, n) AS (SELECT s, s, 0 FROM (VALUES ('s1'), ('s3')) t(s) UNION SELECT w.a, b.other, n + 1 FROM w JOIN b ON b.node = w.node WHERE n < 4) SELECT x.a, x.b, min(n)::INT AS links FROM (VALUES ('s1', 's2'), ('s3', 's30')) x(a, b) LEFT JOIN w ON w.a = x.a AND w.node = x.b GROUP BY ALL"
+#: Nodes that walks and paths go on from: hubs end them.
+OPEN_SQL = f"{EDGES_SQL}, g AS (SELECT node FROM b GROUP BY node HAVING count(DISTINCT other) <= {graph.HUB})"
+PATH_SQL = f"WITH RECURSIVE {OPEN_SQL}, w(a, node, n) AS (SELECT s, s, 0 FROM (VALUES ('s1'), ('s3')) t(s) UNION SELECT w.a, b.other, n + 1 FROM w JOIN b ON b.node = w.node WHERE n < 4 AND (w.node = w.a OR w.node IN (FROM g))) SELECT x.a, x.b, min(n)::INT AS links FROM (VALUES ('s1', 's2'), ('s3', 's30')) x(a, b) LEFT JOIN w ON w.a = x.a AND w.node = x.b GROUP BY ALL"
+WALK_SQL = f"""WITH {OPEN_SQL}, one AS (SELECT other, max(last_seen) AS seen FROM b WHERE node = 's5' GROUP BY 1 ORDER BY seen DESC, other LIMIT {graph.FRONTIER}),
+  two AS (SELECT b.other, max(last_seen) AS seen FROM b WHERE node IN (SELECT other FROM one) AND node IN (FROM g) AND other <> 's5' AND other NOT IN (SELECT other FROM one) GROUP BY 1 ORDER BY seen DESC, 1 LIMIT {graph.FRONTIER})
+  SELECT 's5' AS node, 0 AS level UNION ALL SELECT other, 1 FROM one UNION ALL SELECT other, 2 FROM two"""
 
 QUERIES = {
     "graph_links": (lambda spark, d: _links(spark, d).select("src", "link", "dst", "hour", "events", F.col("first_seen.time").alias("first_time"), F.col("last_seen.id").alias("last_id")), f"{LINKS_SQL} SELECT src, link, dst, hour, events, first_seen.time AS first_time, last_seen.id AS last_id FROM l"),
@@ -125,14 +118,14 @@ QUERIES = {
     "graph_edges": (lambda spark, d: graph.both_ways(_edges(spark, d)).join(_members(spark, d), F.col("other") == F.col("identifier"), "left").select("node", "other", "direction", "entity"), f"WITH {EDGES_SQL} SELECT node, other, direction, 'brand:' || p_brand AS entity FROM b LEFT JOIN part ON other = 'p' || p_partkey"),
     "graph_held": (lambda spark, d: _edges(spark, d).select(F.col("src").alias("node")).union(_members(spark, d).filter("identifier like 'p1%'").select("identifier")).distinct(), f"WITH {EDGES_SQL} SELECT src AS node FROM e UNION SELECT 'p' || p_partkey FROM part WHERE 'p' || p_partkey LIKE 'p1%'"),
     "graph_shared": (lambda spark, d: graph.shared(_with_forms(spark, d)), f"WITH {CLAIM_SQL} SELECT one AS id FROM t GROUP BY 1 HAVING count(DISTINCT other) > 3 UNION SELECT other FROM t GROUP BY 1 HAVING count(DISTINCT one) > 3"),
-    "graph_entities": (_entities, f"WITH RECURSIVE {SMALL_SQL} SELECT identifier, entity FROM ent"),
+    "graph_entities": (_entities, f"WITH RECURSIVE {ENTITY_SQL} SELECT identifier, entity FROM ent"),
     "graph_entities_cannot_link": (_cannot, None),
-    "graph_entity": (lambda spark, d: _entities(spark, d).groupBy("entity").agg(F.count("*").alias("identifiers")), f"WITH RECURSIVE {SMALL_SQL} SELECT entity, count(*) AS identifiers FROM ent GROUP BY 1"),
+    "graph_entity": (lambda spark, d: _entities(spark, d).groupBy("entity").agg(F.count("*").alias("identifiers")), f"WITH RECURSIVE {ENTITY_SQL} SELECT entity, count(*) AS identifiers FROM ent GROUP BY 1"),
     "graph_aliases": (lambda spark, d: graph.aliases(_total(spark, d), _total(spark, d).select(F.col("other").alias("id")).filter("id like 'k1%'")), f"WITH {CLAIM_SQL} SELECT other AS alias, array_to_string(list_sort(list_distinct(list(one))), ',') AS entities FROM t WHERE other LIKE 'k1%' GROUP BY 1"),
-    "resolution_summary": (lambda spark, d: _entities(spark, d).agg(F.countDistinct("entity").alias("entities"), F.count("*").alias("identifiers"), F.sum((F.col("entity") == F.col("identifier")).cast("bigint")).alias("names")), f"WITH RECURSIVE {SMALL_SQL} SELECT count(DISTINCT entity) AS entities, count(*) AS identifiers, sum((entity = identifier)::INT)::BIGINT AS names FROM ent"),
+    "resolution_summary": (lambda spark, d: _entities(spark, d).agg(F.countDistinct("entity").alias("entities"), F.count("*").alias("identifiers"), F.sum((F.col("entity") == F.col("identifier")).cast("bigint")).alias("names")), f"WITH RECURSIVE {ENTITY_SQL} SELECT count(DISTINCT entity) AS entities, count(*) AS identifiers, sum((entity = identifier)::INT)::BIGINT AS names FROM ent"),
     "neighbours": (lambda spark, d: graph.neighbours(_edges(spark, d), _members(spark, d), ["s1", "s2", "s3"], 50), f"WITH {EDGES_SQL} SELECT coalesce('brand:' || p_brand, other) AS neighbour, direction, link, sum(events)::BIGINT AS events, min(first_seen) AS first_seen, max(last_seen) AS last_seen FROM b LEFT JOIN part ON other = 'p' || p_partkey WHERE node IN ('s1', 's2', 's3') AND other NOT IN ('s1', 's2', 's3') GROUP BY ALL ORDER BY last_seen DESC, neighbour, direction, link LIMIT 50"),
     "neighbours_anti": (lambda spark, d: _edges(spark, d).select("dst").distinct().join(_members(spark, d).filter("entity like '%#1%'"), F.col("dst") == F.col("identifier"), "left_anti"), f"WITH {EDGES_SQL} SELECT DISTINCT dst FROM e WHERE dst NOT IN (SELECT 'p' || p_partkey FROM part WHERE p_brand LIKE '%#1%')"),
-    "graph_walk": (lambda spark, d: graph.walk(_edges(spark, d), ["s5"], 2).select("node", "level"), f"WITH {EDGES_SQL}, one AS (SELECT DISTINCT other FROM b WHERE node = 's5'), two AS (SELECT DISTINCT b.other FROM b JOIN one ON b.node = one.other WHERE b.other <> 's5' AND b.other NOT IN (FROM one)) SELECT 's5' AS node, 0 AS level UNION ALL SELECT other, 1 FROM one UNION ALL SELECT other, 2 FROM two"),
+    "graph_walk": (lambda spark, d: graph.walk(_edges(spark, d), ["s5"], 2).select("node", "level"), WALK_SQL),
     "graph_path": (_path, PATH_SQL),
     "attack_load": (_attack, "SELECT 'attack-pattern--' || p_partkey AS stix_id, 'T' || (1000 + p_partkey) AS technique, p_name AS name FROM part WHERE p_size <> 7"),
     "attack_coverage": (_verdicts, f"{COVER_SQL} SELECT * FROM v"),
@@ -140,27 +133,3 @@ QUERIES = {
     "navigator_layer": (lambda spark, d: graph.navigator_layer(_verdicts(spark, d)), f"""{COVER_SQL} SELECT technique, '{{"techniqueID":"' || technique || '","score":' || (CASE verdict WHEN 'detected' THEN 100 WHEN 'blind' THEN 50 WHEN 'collected' THEN 25 ELSE 0 END) || ',"comment":"' || verdict || '"}}' AS entry FROM v"""),
 }
 
-
-def _whole(name: str) -> str:
-    """The SQL of a query without the cuts of its rows."""
-    return QUERIES[name][1].replace(" WHERE l_orderkey % 40 = 0 AND l_quantity > 44", "")
-
-
-def _all_entities(spark, d):
-    return graph.resolve(_total(spark, d))
-
-
-#: The same over all of lineitem and all claims. Walks with hubs, paths and components of this size have no SQL; they are tested by brute force.
-QUERIES |= {
-    "graph_degree_all": (lambda spark, d: graph.degree(_all_edges(spark, d)), _whole("graph_degree")),
-    "graph_edges_all": (lambda spark, d: graph.both_ways(_all_edges(spark, d)).join(_members(spark, d), F.col("other") == F.col("identifier"), "left").select("node", "other", "direction", "entity"), _whole("graph_edges")),
-    "graph_held_all": (lambda spark, d: _all_edges(spark, d).select(F.col("src").alias("node")).union(_members(spark, d).filter("identifier like 'p1%'").select("identifier")).distinct(), _whole("graph_held")),
-    "neighbours_all": (lambda spark, d: graph.neighbours(_all_edges(spark, d), _members(spark, d), ["s1", "s2", "s3"], 50), _whole("neighbours")),
-    "neighbours_anti_all": (lambda spark, d: _all_edges(spark, d).select("dst").distinct().join(_members(spark, d).filter("entity like '%#1%'"), F.col("dst") == F.col("identifier"), "left_anti"), _whole("neighbours_anti")),
-    "graph_walk_all": (lambda spark, d: graph.walk(_all_edges(spark, d), ["s5"], 2).select("node", "level"), None),
-    "graph_path_all": (lambda spark, d: _path(spark, d, _all_edges), None),
-    "graph_entities_all": (_all_entities, None),
-    "graph_entities_cannot_link_all": (lambda spark, d: _cannot(spark, d, _total), None),
-    "graph_entity_all": (lambda spark, d: _all_entities(spark, d).groupBy("entity").agg(F.count("*").alias("identifiers")), None),
-    "resolution_summary_all": (lambda spark, d: _all_entities(spark, d).agg(F.countDistinct("entity").alias("entities"), F.count("*").alias("identifiers"), F.sum((F.col("entity") == F.col("identifier")).cast("bigint")).alias("names")), None),
-}

@@ -28,7 +28,7 @@ SOURCE = N.load(
 )
 
 
-def _records(spark, d):
+def _records(spark, d, broken=True):
     """Each event as a raw JSON record; some are broken, some have no kind."""
     e = events(spark, d)
     obj = F.to_json(
@@ -43,7 +43,7 @@ def _records(spark, d):
             F.col("severity_id").alias("extra"),
         )
     )
-    return e.select("id", F.when(F.col("id") % 50 == 0, F.substring(obj, 1, 20)).otherwise(obj).alias("record"))
+    return e.select("id", F.when(F.lit(broken) & (F.col("id") % 50 == 0), F.substring(obj, 1, 20)).otherwise(obj).alias("record"))
 
 
 def _normalized(spark, d):
@@ -64,19 +64,18 @@ def _csv_lines(spark, d):
     return p.select("p_partkey", F.when(F.col("p_partkey") % 100 == 0, F.concat(line, F.lit(',1,"open'))).otherwise(line).alias("line"))
 
 
-def _audit(spark, d, whole=False):
+def _audit(spark, d):
     """Two lines an event that come apart, and a line without a key."""
     e = events(spark, d)
-    far = e.agg(F.max("id")).first()[0] + 1 if whole else 10_000
-    e = e if whole else e.filter("id < 3000")
+    far = e.agg(F.max("id")).first()[0] + 1
     key = F.concat(F.lit("msg=audit("), F.floor(F.col("time") / 1000).cast("string"), F.lit(".123:"), F.col("id").cast("string"), F.lit("): "))
     one = F.concat(F.lit("type=SYSCALL "), key, F.lit("exe="), F.hex("user_name"), F.lit(" uid="), F.col("k").cast("string"), F.lit(' comm="'), F.col("source"), F.lit('"'))
     two = F.concat(F.lit("type=PATH "), key, F.lit("item=0 name="), F.hex("host"))
     return e.select((F.col("id") % 10).alias("file"), F.explode(F.array(F.struct(F.col("id").alias("pos"), one.alias("line")), F.struct((F.col("id") + far).alias("pos"), two.alias("line")), F.struct((F.col("id") + 2 * far).alias("pos"), F.when(F.col("id") % 100 == 0, "junk").alias("line")))).alias("x")).select("file", "x.*").filter("line is not null")
 
 
-def _audit_decoded(spark, d, whole=False):
-    rows = D.frame_audit(_audit(spark, d, whole), "file").filter("dead is null").withColumn("j", D.decode_auditd(F.col("record")))
+def _audit_decoded(spark, d):
+    rows = D.frame_audit(_audit(spark, d), "file").filter("dead is null").withColumn("j", D.decode_auditd(F.col("record")))
     g = lambda p: F.get_json_object("j", p)
     return rows.select(g("$.serial").cast("bigint").alias("id"), g("$.SYSCALL.exe").alias("exe"), g("$.SYSCALL.comm").alias("comm"), g("$.SYSCALL.uid").cast("bigint").alias("uid"), g("$['PATH.0'].name").alias("path"))
 
@@ -105,7 +104,7 @@ def _otlp(spark, d):
 
 def _joined_records(spark, d):
     """Records of a host one after the other; one host's last is broken."""
-    r = _records(spark, d).filter("id % 50 <> 0").select((F.col("id") % 40).alias("file"), "id", "record")
+    r = _records(spark, d, broken=False).select((F.col("id") % 40).alias("file"), "id", "record")
     return r.groupBy("file").agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "record"))), lambda x: x["record"]), " "), F.when(F.col("file") % 4 == 0, '{"cut').otherwise("")).alias("value"))
 
 
@@ -140,15 +139,15 @@ def _iso(offset: str):
 
 QUERIES = {
     "frame_lines": (lambda spark, d: D.frame_lines(_text_lines(spark, d)).groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars")), r"SELECT doc_id, count(*) AS lines, sum(length(l))::BIGINT AS chars FROM (SELECT doc_id, regexp_replace(unnest(string_split(text, chr(10))), '\r$', '') AS l FROM documents) WHERE trim(l) <> '' GROUP BY 1"),
-    "frame_json_values": (lambda spark, d: D.frame_json_values(_joined_records(spark, d)).groupBy("file").agg(F.count("record").alias("records"), F.count("dead").alias("dead")), f"{EV} SELECT id % 40 AS file, count(*) AS records, CASE WHEN id % 40 % 4 = 0 THEN 1 ELSE 0 END::BIGINT AS dead FROM ev WHERE id % 50 <> 0 GROUP BY ALL"),
+    "frame_json_values": (lambda spark, d: D.frame_json_values(_joined_records(spark, d)).groupBy("file").agg(F.count("record").alias("records"), F.count("dead").alias("dead")), f"{EV} SELECT id % 40 AS file, count(*) AS records, CASE WHEN id % 40 % 4 = 0 THEN 1 ELSE 0 END::BIGINT AS dead FROM ev GROUP BY ALL"),
     "frame_syslog": (lambda spark, d: D.frame_syslog(_framed_syslog(spark, d)).groupBy("file").agg(F.count("record").alias("records"), F.count("dead").alias("dead")), f"{EV} SELECT id % 40 AS file, count(*) AS records, 0::BIGINT AS dead FROM ev GROUP BY ALL"),
-    "frame_audit": (lambda spark, d: D.frame_audit(_audit(spark, d), "file").groupBy("file").agg(F.count("record").alias("records"), F.count("dead").alias("dead")), f"{EV} SELECT id % 10 AS file, count(*) AS records, sum((id % 100 = 0)::INT)::BIGINT AS dead FROM ev WHERE id < 3000 GROUP BY 1"),
+    "frame_audit": (lambda spark, d: D.frame_audit(_audit(spark, d), "file").groupBy("file").agg(F.count("record").alias("records"), F.count("dead").alias("dead")), f"{EV} SELECT id % 10 AS file, count(*) AS records, sum((id % 100 = 0)::INT)::BIGINT AS dead FROM ev GROUP BY 1"),
     "decode_json": (lambda spark, d: _records(spark, d).withColumn("v", F.try_parse_json("record")).select("id", F.col("v").isNotNull().alias("good"), F.try_variant_get("v", "$.who.user", "string").alias("user")), f"{EV} SELECT id, id % 50 <> 0 AS good, CASE WHEN id % 50 <> 0 THEN user_name END AS \"user\" FROM ev"),
-    "decode_auditd": (_audit_decoded, f"{EV} SELECT id, user_name AS exe, source AS comm, k AS uid, host AS path FROM ev WHERE id < 3000"),
+    "decode_auditd": (_audit_decoded, f"{EV} SELECT id, user_name AS exe, source AS comm, k AS uid, host AS path FROM ev"),
     "decode_syslog": (lambda spark, d: _syslog_decoded(spark, d).select("id", "s.facility", "s.severity", "s.time", "s.host", "s.app", "s.pid"), f"{SYSLOG_SQL} FROM ev"),
     "decode_syslog_json": (lambda spark, d: _syslog_decoded(spark, d).select("id", F.try_variant_get(F.try_parse_json(F.col("s.message")), "$.user", "string").alias("user")), f"{EV} SELECT id, user_name AS \"user\" FROM ev"),
     "decode_csv": (lambda spark, d: D.decode_csv(_csv_lines(spark, d), ["key", "name", "brand", "size"]).drop("line"), """SELECT p_partkey, CASE WHEN p_partkey % 100 <> 0 THEN p_partkey::VARCHAR END AS key, CASE WHEN p_partkey % 100 <> 0 THEN p_name || ', " x' END AS name, CASE WHEN p_partkey % 100 <> 0 THEN p_brand END AS brand, CASE WHEN p_partkey % 100 <> 0 AND p_size % 2 = 0 THEN p_size::VARCHAR END AS size, CASE WHEN p_partkey % 100 = 0 THEN 'malformed' END AS error FROM part"""),
-    "unwrap_batch": (lambda spark, d: _records(spark, d).filter("id % 50 <> 0").groupBy((F.col("id") % 30).alias("b")).agg(F.concat(F.lit('{"records":['), F.array_join(F.collect_list("record"), ","), F.lit("]}")).alias("batch")).select(F.explode(D.unwrap(F.col("batch"), "records")).alias("r")).select(F.get_json_object("r", "$.who.user").alias("user")).groupBy("user").agg(F.count("*").alias("n")), f"{EV} SELECT user_name AS \"user\", count(*) AS n FROM ev WHERE id % 50 <> 0 GROUP BY 1"),
+    "unwrap_batch": (lambda spark, d: _records(spark, d, broken=False).groupBy((F.col("id") % 30).alias("b")).agg(F.concat(F.lit('{"records":['), F.array_join(F.collect_list("record"), ","), F.lit("]}")).alias("batch")).select(F.explode(D.unwrap(F.col("batch"), "records")).alias("r")).select(F.get_json_object("r", "$.who.user").alias("user")).groupBy("user").agg(F.count("*").alias("n")), f"{EV} SELECT user_name AS \"user\", count(*) AS n FROM ev GROUP BY 1"),
     "otlp_flatten": (lambda spark, d: D.otlp_flatten(_otlp(spark, d)).select(F.get_json_object("resource", "$.host").alias("host"), F.get_json_object("scope", "$.name").alias("scope"), "time_ns", "severity", "body"), f"{EV} SELECT host, source AS scope, time * 1000000 AS time_ns, severity_id AS severity, user_name AS body FROM ev"),
     "source_path": (lambda spark, d: _records(spark, d).withColumn("v", F.try_parse_json("record")).select("id", N.source_path(F.col("v"), "net.ip").alias("ip"), N.source_path(F.col("v"), "who.group").alias("g")), f"{EV} SELECT id, CASE WHEN id % 50 = 0 THEN NULL WHEN id % 13 = 0 THEN 'not-an-ip' ELSE src_ip END AS ip, CASE WHEN id % 50 <> 0 THEN 'g' || (id % 3) END AS g FROM ev"),
     "kind_router": (lambda spark, d: _normalized(spark, d).select("id", "kind"), f"{OUT_SQL} SELECT id, CASE WHEN stage IS NULL THEN CASE source WHEN 'error' THEN 'fault' WHEN 'view' THEN 'visit' ELSE 'buy' END END AS kind FROM o"),
@@ -174,9 +173,3 @@ QUERIES = {
     "feed_stix": (lambda spark, d: feeds.feed_stix(_stix(spark, d)).select("kind", "value", "confidence"), "SELECT 'domain' AS kind, 'n' || p_partkey || '.example' AS value, p_size::INT AS confidence FROM part WHERE p_size % 5 <> 0 AND p_size <> 7 UNION ALL SELECT 'sha256', sha256(p_name), p_size::INT FROM part WHERE p_size % 5 <> 0 AND p_size <> 7"),
     "context_load": (_context, "SELECT s_suppkey, unnest([s_name, 'alias' || s_suppkey]) AS name, (CASE s_suppkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 3 END)::INT AS criticality, CASE s_suppkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS active FROM supplier"),
 }
-
-#: The same over every event.
-QUERIES |= {
-    "frame_audit_all": (lambda spark, d: D.frame_audit(_audit(spark, d, True), "file").groupBy("file").agg(F.count("record").alias("records"), F.count("dead").alias("dead")), QUERIES["frame_audit"][1].replace(" WHERE id < 3000", "")),
-    "decode_auditd_all": (lambda spark, d: _audit_decoded(spark, d, True), QUERIES["decode_auditd"][1].replace(" WHERE id < 3000", "")),
-}

@@ -94,35 +94,23 @@ NET_SQL = """n(lo, prefix, record) AS (VALUES (167772160, 22, 'n0'), (167772416,
   m AS (SELECT id, src_ip, prefix, record FROM x, n WHERE number >= lo AND number < lo + (1 << (32 - prefix)))"""
 
 
-def _records(spark, d, whole=False):
+def _records(spark, d):
     """Context records of customers: each order is one, valid for some days."""
     o = table(spark, d, "orders")
-    o = o if whole else o.filter("o_custkey < 100")
     day = F.floor(T.epoch_ms(F.col("o_orderdate")) / DAY).cast("bigint")
     return o.select(F.col("o_custkey").alias("who"), F.col("o_orderkey").alias("record"), F.col("o_orderpriority").alias("source"), day.alias("valid_from"), (day + 30 + F.col("o_orderkey") % 60).alias("valid_until"))
 
 
-REC_SQL = f"r AS (SELECT o_custkey AS who, o_orderkey AS record, o_orderpriority AS source, epoch_ms(o_orderdate) // {DAY} AS valid_from, epoch_ms(o_orderdate) // {DAY} + 30 + o_orderkey % 60 AS valid_until FROM orders WHERE o_custkey < 100)"
+REC_SQL = f"r AS (SELECT o_custkey AS who, o_orderkey AS record, o_orderpriority AS source, epoch_ms(o_orderdate) // {DAY} AS valid_from, epoch_ms(o_orderdate) // {DAY} + 30 + o_orderkey % 60 AS valid_until FROM orders)"
 
 
 def _asks(spark, d):
-    return events(spark, d).filter("id < 400").select("id", (F.col("id") % 100).alias("who"), (F.lit(9000) + F.col("id") * 7).alias("moment"))
-
-
-ASK_SQL = EV + ", a AS (SELECT id, id % 100 AS who, 9000 + id * 7 AS moment FROM ev WHERE id < 400), " + REC_SQL
-
-
-def _all_asks(spark, d):
     """Every event asks about a customer, at a day of the orders' years."""
     n = table(spark, d, "customer").count()
     return events(spark, d).select("id", (F.col("id") % n).alias("who"), (F.lit(8000) + F.col("id") * 7 % 2600).alias("moment"))
 
 
-ALL_ASK_SQL = EV + ", a AS (SELECT id, id % (SELECT count(*) FROM customer) AS who, 8000 + id * 7 % 2600 AS moment FROM ev), " + REC_SQL.replace(" WHERE o_custkey < 100", "")
-
-
-def _all_found(spark, d):
-    return _all_asks(spark, d).join(_records(spark, d, True), "who")
+ASK_SQL = EV + ", a AS (SELECT id, id % (SELECT count(*) FROM customer) AS who, 8000 + id * 7 % 2600 AS moment FROM ev), " + REC_SQL
 
 
 def _found(spark, d):
@@ -182,26 +170,13 @@ QUERIES = {
     "intel_look_back": (lambda spark, d: intel.summarize(_hits(spark, d).filter("added >= 100"), "id", "value").select("id", "value", "confidence"), f"{HITS_SQL} SELECT id, value, max(confidence) AS confidence FROM h WHERE added >= 100 GROUP BY ALL"),
     "feed_gate": (lambda spark, d: intel.feed_gate(table(spark, d, "part").select(F.col("p_brand").alias("feed"), (F.col("p_retailprice") < 910).alias("rejected"))), "SELECT p_brand AS feed, count(*) AS rows, sum((p_retailprice < 910)::INT)::BIGINT AS rejected, rows > 0 AND sum((p_retailprice < 910)::INT) <= count(*) * 0.1 AS accepted FROM part GROUP BY 1"),
     "feed_replace": (_replace, "WITH f AS (SELECT 'digest' AS kind, md5(p_name) AS value, p_brand AS feed, max(CASE WHEN p_partkey % 3 <> 0 THEN p_partkey END) AS added FROM part GROUP BY ALL) SELECT * FROM f WHERE feed <> 'Brand#2' OR added % 2 = 0 UNION ALL SELECT 'digest', 'fresh', 'Brand#2', 7"),
-    "planted_indicators": (lambda spark, d: spark.range(2000).select(F.col("id"), F.when(F.col("id") % 20 < 9, "ip").when(F.col("id") % 20 < 15, "domain").when(F.col("id") % 20 < 18, "url").otherwise("sha256").alias("kind"), F.when(F.col("id") % 20 < 9, F.concat(F.lit("198.18."), F.floor(F.col("id") / 256).cast("string"), F.lit("."), (F.col("id") % 256).cast("string"))).when(F.col("id") % 20 < 15, F.concat(F.lit("n"), F.col("id").cast("string"), F.lit(".example"))).when(F.col("id") % 20 < 18, F.concat(F.lit("http://n"), F.col("id").cast("string"), F.lit(".example/a"))).otherwise(F.sha2(F.col("id").cast("string"), 256)).alias("value")), "SELECT id, CASE WHEN id % 20 < 9 THEN 'ip' WHEN id % 20 < 15 THEN 'domain' WHEN id % 20 < 18 THEN 'url' ELSE 'sha256' END AS kind, CASE WHEN id % 20 < 9 THEN '198.18.' || (id // 256) || '.' || (id % 256) WHEN id % 20 < 15 THEN 'n' || id || '.example' WHEN id % 20 < 18 THEN 'http://n' || id || '.example/a' ELSE sha256(id::VARCHAR) END AS value FROM range(2000) t(id)"),
+    "planted_indicators": (lambda spark, d: events(spark, d).select(F.col("id"), F.when(F.col("id") % 20 < 9, "ip").when(F.col("id") % 20 < 15, "domain").when(F.col("id") % 20 < 18, "url").otherwise("sha256").alias("kind"), F.when(F.col("id") % 20 < 9, F.concat(F.lit("198.18."), F.floor(F.col("id") / 256).cast("string"), F.lit("."), (F.col("id") % 256).cast("string"))).when(F.col("id") % 20 < 15, F.concat(F.lit("n"), F.col("id").cast("string"), F.lit(".example"))).when(F.col("id") % 20 < 18, F.concat(F.lit("http://n"), F.col("id").cast("string"), F.lit(".example/a"))).otherwise(F.sha2(F.col("id").cast("string"), 256)).alias("value")), f"{EV} SELECT id, CASE WHEN id % 20 < 9 THEN 'ip' WHEN id % 20 < 15 THEN 'domain' WHEN id % 20 < 18 THEN 'url' ELSE 'sha256' END AS kind, CASE WHEN id % 20 < 9 THEN '198.18.' || (id // 256) || '.' || (id % 256) WHEN id % 20 < 15 THEN 'n' || id || '.example' WHEN id % 20 < 18 THEN 'http://n' || id || '.example/a' ELSE sha256(id::VARCHAR) END AS value FROM ev"),
     "enrich_id": (lambda spark, d: intel.holding(_found(spark, d), F.col("moment")).select("id", "record", "source"), f"{ASK_SQL} SELECT id, record, source FROM a JOIN r USING (who) WHERE valid_from <= moment AND moment < valid_until"),
     "enrich_asof_ended": (lambda spark, d: intel.with_ended(_found(spark, d), ["id"], F.col("moment")).select("id", "record", "source", "holds"), f"""{ASK_SQL}, f AS (SELECT id, record, source, valid_until, valid_from <= moment AND moment < valid_until AS holds, valid_until <= moment AS ended FROM a JOIN r USING (who)),
       g AS (SELECT *, bool_or(holds) OVER (PARTITION BY id, source) AS held, row_number() OVER (PARTITION BY id, source ORDER BY holds DESC, valid_until DESC, record) AS rn FROM f WHERE holds OR ended) SELECT id, record, source, holds FROM g WHERE holds OR (NOT held AND rn = 1)"""),
     "enrich_range": (lambda spark, d: intel.narrowest(intel.match_networks(_addresses(spark, d), _networks(spark), LENGTHS), ["id"]).select("id", "record"), f"{EV}, {NET_SQL} SELECT id, arg_max(record, prefix) AS record FROM m GROUP BY id"),
     "enrich_domain": (lambda spark, d: _pages(spark, d).filter("host is not null").select("page_id", F.posexplode(intel.parents(F.col("host"))).alias("step", "name")).join(table(spark, d, "pages").select(F.regexp_extract("url", r"://[^/?#]*?([a-z]+\.[a-z]+)(?:[/?#]|$)", 1).alias("name")).distinct(), "name").groupBy("page_id").agg(F.min_by("name", "step").alias("list_name")), r"WITH l AS (SELECT DISTINCT regexp_extract(url, '://[^/?#]*?([a-z]+\.[a-z]+)(?:[/?#]|$)', 1) AS name FROM pages) SELECT page_id, regexp_extract(url, '://[^/?#]*?([a-z]+\.[a-z]+)(?:[/?#]|$)', 1) AS list_name FROM pages"),
-    "enrich_groups": (lambda spark, d: _asks(spark, d).join(_groups(spark, d), "who").select("id", "group"), f"{EV}, a AS (SELECT id, id % 100 AS who FROM ev WHERE id < 400), c AS (SELECT c_custkey AS who, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) SELECT id, n_name AS \"group\" FROM a JOIN c USING (who) UNION ALL SELECT id, r_name FROM a JOIN c USING (who)"),
+    "enrich_groups": (lambda spark, d: _asks(spark, d).join(_groups(spark, d), "who").select("id", "group"), f"{EV}, a AS (SELECT id, id % (SELECT count(*) FROM customer) AS who FROM ev), c AS (SELECT c_custkey AS who, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) SELECT id, n_name AS \"group\" FROM a JOIN c USING (who) UNION ALL SELECT id, r_name FROM a JOIN c USING (who)"),
     "enrichments_cap": (lambda spark, d: intel.cap(_found(spark, d), ["id"], ["source", "record"], 5).select("id", "record"), f"{ASK_SQL} SELECT id, record FROM a JOIN r USING (who) QUALIFY row_number() OVER (PARTITION BY id ORDER BY source, record) <= 5"),
 }
 
-
-def _whole(name: str) -> str:
-    """The SQL of a query with all asks and records."""
-    return QUERIES[name][1].replace(ASK_SQL, ALL_ASK_SQL).replace("id % 100 AS who FROM ev WHERE id < 400", "id % (SELECT count(*) FROM customer) AS who FROM ev")
-
-
-#: The same for every event against every order's record.
-QUERIES |= {
-    "enrich_id_all": (lambda spark, d: intel.holding(_all_found(spark, d), F.col("moment")).select("id", "record", "source"), _whole("enrich_id")),
-    "enrich_asof_ended_all": (lambda spark, d: intel.with_ended(_all_found(spark, d), ["id"], F.col("moment")).select("id", "record", "source", "holds"), _whole("enrich_asof_ended")),
-    "enrich_groups_all": (lambda spark, d: _all_asks(spark, d).join(_groups(spark, d), "who").select("id", "group"), _whole("enrich_groups")),
-    "enrichments_cap_all": (lambda spark, d: intel.cap(_all_found(spark, d), ["id"], ["source", "record"], 5).select("id", "record"), _whole("enrichments_cap")),
-}

@@ -28,7 +28,7 @@ def near(spark):
 
 
 def test_edges_are_of_all_lines(spark, near):
-    assert {r.node: r.degree for r in run(spark, "graph_degree_all")} == {x: len(n) for x, n in near.items()}
+    assert {r.node: r.degree for r in run(spark, "graph_degree")} == {x: len(n) for x, n in near.items()}
 
 
 def test_walk_and_paths(spark, near):
@@ -42,8 +42,8 @@ def test_walk_and_paths(spark, near):
                         seen[y] = max(seen.get(y, -1), at)
         here = sorted(seen, key=lambda y: (-seen[y], y))[: graph.FRONTIER]
         level |= dict.fromkeys(here, n)
-    assert {(r.node, r.level) for r in run(spark, "graph_walk_all")} == set(level.items())
-    for r in run(spark, "graph_path_all"):
+    assert {(r.node, r.level) for r in run(spark, "graph_walk")} == set(level.items())
+    for r in run(spark, "graph_path"):
         reached, steps, front = {r.a}, None, {r.a}
         for n in range(1, 5):
             front = {y for x in front if len(near[x]) <= graph.HUB or x == r.a for y in near[x]} - reached
@@ -65,15 +65,15 @@ def test_entities_are_of_all_claims(spark):
         a, b = root(r.one), root(r.other)
         parent[max(a, b)] = min(a, b)
     want = {x: root(x) for x in parent}
-    assert {r.identifier: r.entity for r in run(spark, "graph_entities_all")} == want
-    (total,) = run(spark, "resolution_summary_all")
+    assert {r.identifier: r.entity for r in run(spark, "graph_entities")} == want
+    (total,) = run(spark, "resolution_summary")
     assert (total.entities, total.identifiers, total.names) == (len(set(want.values())), len(want), len(set(want.values())))
-    assert sum(r.identifiers for r in run(spark, "graph_entity_all")) == len(want)
-    apart = {r.identifier: r.entity for r in run(spark, "graph_entities_cannot_link_all")}
+    assert sum(r.identifiers for r in run(spark, "graph_entity")) == len(want)
+    apart = {r.identifier: r.entity for r in run(spark, "graph_entities_cannot_link")}
     assert set(apart) == set(want) and all(apart[a] != apart[b] for a, b in (("c0", "c1"), ("c6", "c7"), ("c12", "c13")) if a in apart and b in apart)
 
 
 def test_every_event_is_framed_and_asks(spark):
     n = spark.read.parquet(f"{SF}/events.parquet").count()
-    assert sum(r.records for r in run(spark, "frame_audit_all")) == n
-    assert len({r.id for r in run(spark, "enrich_groups_all")}) > 0.9 * n
+    assert sum(r.records for r in run(spark, "frame_audit")) == n
+    assert len({r.id for r in run(spark, "enrich_groups")}) > 0.9 * n
