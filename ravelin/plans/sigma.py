@@ -1,7 +1,6 @@
 """Detection rules: parsed, bound to fields, and compiled to one boolean
-Column each. A rule set becomes one projection, so thousands of rules cost one
-scan; rules are gated by event class and shared folded columns are computed
-once by common subexpression elimination.
+Column each; rule sets go through the index of ``rule_index``, so thousands of
+rules cost one scan and about as much as the values that they hit.
 
 Logic has two values: a missing field makes a test false and its negation
 true, so every leaf is coalesced before any ``not``.
@@ -23,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.functions import text as T
+from ravelin.plans import rule_index
 
 
 class RuleError(ValueError):
@@ -351,6 +351,7 @@ def _leaf(test: tuple, fields: Fields, name: str | None) -> Column:
             n = T.ipv4_number(c.cast("string"))
             return (n >= int(net.network_address)) & (n <= int(net.broadcast_address))
         n = F.trim(c.cast("string")).try_cast("double")
+        n = F.when(~F.isnan(n), n)
         return {"number": n == float(test[1]) if kind == "number" else None, "lt": n < test[1], "lte": n <= test[1], "gt": n > test[1], "gte": n >= test[1]}[kind]
 
     return reduce(lambda a, b: a | b, [_some(fields, n, one) for n in names])
@@ -393,12 +394,50 @@ def compile_rule(rule: Rule, fields: Fields, gate: Column | None = None) -> Colu
     return body if gate is None else F.coalesce(gate, F.lit(False)) & body
 
 
-def match_all(events: DataFrame, rules: list[tuple[Rule, Fields, Column | None]], chunk: int = 500) -> DataFrame:
-    """``events`` with ``rules``: the indexes of the rules that match, in order.
-    Rules go into arrays of ``chunk``, which bounds generated code."""
-    marks = [F.when(compile_rule(r, f, g), F.lit(i)) for i, (r, f, g) in enumerate(rules)]
-    parts = [F.array_compact(F.array(*marks[i : i + chunk])) for i in range(0, len(marks), chunk)]
-    return events.withColumn("rules", F.concat(*parts) if parts else F.array().cast("array<int>"))
+def _indexed(test: tuple, rule_fields: Fields, name: str | None, b: rule_index.Builder) -> tuple:
+    """A test of a field as a tree of atoms."""
+    kind = test[0]
+    names = rule_fields.of(name) if name is not None else rule_fields.keywords
+    if kind == "any":
+        return ("or", [_indexed(t, rule_fields, name, b) for t in test[1]])
+    if kind in ("exists", "null"):
+        held = ("or", [b.test(rule_fields, n, ("held",)) for n in names])
+        return held if kind == "exists" and test[1] else ("not", held)
+    if kind == "fieldref":
+        return ("or", [b.flag((name, x, y), T.fold(F.col(x).cast("string")) == T.fold(F.col(y).cast("string"))) for x in names for y in rule_fields.of(test[1])])
+    if kind == "text":
+        parts = [None, *test[1], None] if name is None else test[1]
+        test = ("text", tuple(x for i, x in enumerate(parts) if not (x is None and i and parts[i - 1] is None)), test[2])
+    elif kind in rule_index.NUMBER_TESTS:
+        test = (kind, float(test[1]))
+    return ("or", [b.test(rule_fields, n, test) for n in names])
+
+
+def _indexed_search(search, rule_fields: Fields, b: rule_index.Builder) -> tuple:
+    how, parts = search
+    if how == "or":
+        return ("or", [_indexed_search(p, rule_fields, b) for p in parts])
+    return ("and", [("and" if "all" in p.modifiers else "or", [_indexed(t, rule_fields, p.field, b) for t in tests(p)]) for p in parts])
+
+
+def match_all(events: DataFrame, rules: list[tuple[Rule, Fields, Column | int | None]], name: str = "rules", class_col: str = "class_uid") -> DataFrame:
+    """``events`` with ``rules``: the numbers of the rules that match, in order.
+    A gate is the class that a rule is for, or a Column; rules of a class are
+    tried on its events only."""
+    b = rule_index.Builder(dict(events.dtypes))
+
+    def walk(tree, rule, own):
+        kind, arg = tree
+        if kind == "search":
+            return _indexed_search(rule.searches[arg], own, b)
+        return ("not", walk(arg, rule, own)) if kind == "not" else (kind, [walk(x, rule, own) for x in arg])
+
+    for rule, own, gate in rules:
+        tree = walk(parse(rule.condition, rule.searches), rule, own)
+        if gate is not None:
+            tree = ("and", [b.gate(class_col, gate) if isinstance(gate, int) else b.flag(str(gate), gate, True), tree])
+        b.matcher.trees.append(tree)
+    return rule_index.matched(events, b, name)
 
 
 # Mappings

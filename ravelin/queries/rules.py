@@ -76,13 +76,43 @@ RULE_SET = [
 
 
 def _multi(spark, d):
-    rules = [(_rule(det), EVENT, None if cls is None else F.col("class_uid") == cls) for det, cls, _ in RULE_SET]
+    rules = [(_rule(det), EVENT, cls) for det, cls, _ in RULE_SET]
     found = sigma.match_all(_event_rows(spark, d), rules)
     return found.filter(F.size("rules") > 0).select("id", F.explode("rules").alias("rule"))
 
 
 MULTI_SQL = f"WITH {EV} " + " UNION ALL ".join(f"SELECT id, {i}::INT AS rule FROM e WHERE {w}" for i, (_, _, w) in enumerate(RULE_SET))
 
+#: Rules of the large set: in four kinds, each for a class of events or for all, with literals of their own.
+MANY = 2000
+CLASSES = (2004, 3001, 4002, 6003, 1007, None)
+
+
+def large_set(n: int = MANY) -> list[tuple[sigma.Rule, sigma.Fields, int | None]]:
+    out = []
+    for i in range(n):
+        cls, user, host = CLASSES[i % 6], f"user{i * 7 % 1500}", f"host-{i % 20}"
+        detection = (
+            {"s": {"user": [user, f"USER{i % 1400}"], "k|gte": i % 90}, "f": {"host|endswith": f"-{i % 10}"}, "condition": "s and not f"},
+            {"s1": {"user|startswith": user}, "s2": {"host": host}, "s3": {"address|contains": f".{i % 8}.{i % 250}"}, "condition": "s1 and s2 or s3 and s2"},
+            {"s": {"host": host, "user|contains|all": [f"r{i % 150}", str(i % 10)]}, "f": {"value|lt": i % 60}, "condition": "s and not 1 of f*"},
+            {"s": {"address|endswith": f".{i % 256}"}, "t": {"user|re": f"^user[0-9]*{i % 100:02d}$"}, "condition": "all of them"},
+        )[i // 6 % 4]
+        out.append((_rule(detection), EVENT, cls))
+    return out
+
+
+def _large(spark, d):
+    return sigma.match_all(_event_rows(spark, d), large_set()).filter(F.size("rules") > 0).select("id", F.explode("rules").alias("rule"))
+
+
+LARGE_SQL = f"""WITH {EV}, n AS (SELECT i::INT AS i, i // 6 % 4 AS kind, [2004, 3001, 4002, 6003, 1007, NULL][i % 6 + 1] AS cls, 'user' || (i * 7 % 1500) AS u, 'host-' || (i % 20) AS h FROM range({MANY}) t(i))
+  SELECT id, i AS rule FROM e JOIN n ON kind = 0 AND user_name = u AND k >= i % 90 AND NOT ends_with(host, '-' || (i % 10)) AND (cls IS NULL OR class_uid = cls)
+  UNION SELECT id, i FROM e JOIN n ON kind = 0 AND user_name = 'user' || (i % 1400) AND k >= i % 90 AND NOT ends_with(host, '-' || (i % 10)) AND (cls IS NULL OR class_uid = cls)
+  UNION SELECT id, i FROM e JOIN n ON kind = 1 AND host = h AND (starts_with(user_name, u) OR contains(src_ip, '.' || (i % 8) || '.' || (i % 250))) AND (cls IS NULL OR class_uid = cls)
+  UNION SELECT id, i FROM e JOIN n ON kind = 2 AND host = h AND contains(user_name, 'r' || (i % 150)) AND contains(user_name, (i % 10)::VARCHAR) AND NOT coalesce(value < i % 60, false) AND (cls IS NULL OR class_uid = cls)
+  UNION SELECT id, i FROM e JOIN n ON kind = 3 AND ends_with(src_ip, '.' || (i % 256)) AND regexp_matches(user_name, '^user[0-9]*' || lpad((i % 100)::VARCHAR, 2, '0') || '$') AND (cls IS NULL OR class_uid = cls)"""
+
 _NAME = "lower(p_name)"
 QUERIES = {
     "sigma_equals": _part({"s": {"type": ["STANDARD", "promo tin", "economy"], "brand": "brand#11"}, "t": {"name|contains": "1"}, "condition": "s or t"}, "lower(p_type) IN ('standard','promo tin','economy') AND lower(p_brand) = 'brand#11' OR contains(lower(p_name), '1')"),
@@ -110,4 +140,5 @@ QUERIES = {
     "sigma_class_gate": (lambda spark, d: _event_rows(spark, d).filter(sigma.compile_rule(_rule({"s": {"host|endswith": "1"}, "condition": "not s"}), EVENT, F.col("class_uid") == 2004)).select("id"), f"WITH {EV} SELECT id FROM e WHERE class_uid = 2004 AND NOT ends_with(host, '1')"),
     "sigma_keyword": _ev({"k": ["host-1", "purch*e"], "condition": "k"}, "contains(host, 'host-1') OR source LIKE '%purch%e%'"),
     "sigma_multi_rule": (_multi, MULTI_SQL),
+    "sigma_rule_set": (_large, LARGE_SQL),
 }

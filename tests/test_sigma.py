@@ -3,11 +3,12 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ravelin.functions import text as T
 from ravelin.plans import sigma as S
 
-FIELDS = S.Fields({"a": ["a"], "b": ["b"], "n": ["n"], "ab": ["a", "b"], "list": ["list"]}, ["a", "b"], frozenset(["list"]))
+FIELDS = S.Fields({"a": ["a"], "b": ["b"], "n": ["n"], "ab": ["a", "b"], "list": ["list"], "ip": ["ip"], "flag": ["flag"]}, ["a", "b"], frozenset(["list"]))
 LETTERS = ["a", "b", "A", "ß", "*", "?", "\\"]
 
 
@@ -16,7 +17,7 @@ def make(rng):
         return "".join(rng.choice(LETTERS) for _ in range(rng.randint(0, 4)))
 
     def predicate():
-        kind = rng.randint(0, 7)
+        kind = rng.randint(0, 11)
         if kind < 4:
             return rng.choice(["a", "b", "ab", "list"]) + rng.choice(["", "|contains", "|startswith", "|endswith", "|cased", "|contains|all"]), [text() for _ in range(rng.randint(1, 2))]
         if kind == 4:
@@ -25,6 +26,14 @@ def make(rng):
             return rng.choice(["a", "n"]) + "|exists", rng.choice([True, False])
         if kind == 6:
             return rng.choice(["a", "b", "n"]), None
+        if kind == 7:
+            return rng.choice(["a", "b", "list"]) + rng.choice(["|re", "|re|i"]), rng.choice(["a+b", "^[ab]*$", "ß|B"])
+        if kind == 8:
+            return "a|fieldref", "b"
+        if kind == 9:
+            return "ip|cidr", [rng.choice(["10.0.0.0/8", "10.1.0.0/16", "2001:db8::/32"]) for _ in range(2)]
+        if kind == 10:
+            return "flag", rng.choice([True, False])
         return "n", rng.randint(-2, 3)
 
     detection = {f"s{i}": dict(predicate() for _ in range(rng.randint(1, 2))) for i in range(2)}
@@ -33,15 +42,29 @@ def make(rng):
     return {"title": "t", "logsource": {}, "detection": detection}
 
 
+def test_no_rules_and_no_events(spark):
+    df = spark.createDataFrame([("x", None)], "a string, n long")
+    assert [r.rules for r in S.match_all(df, []).collect()] == [[]]
+    rule = S.load({"detection": {"s": {"a": "x"}, "condition": "s"}})
+    assert [r.rules for r in S.match_all(df.limit(0), [(rule, FIELDS, None)]).collect()] == []
+    assert [r.rules for r in S.match_all(df, [(rule, FIELDS, None)]).collect()] == [[0]]
+
+
 def test_compiled_rules_agree_with_the_reference(spark):
     rng = random.Random(5)
     word = lambda: None if rng.random() < 0.2 else "".join(rng.choice(["a", "b", "A", "ß", "*"]) for _ in range(rng.randint(0, 4)))
-    events = [{"i": i, "a": word(), "b": word(), "n": rng.choice([None, -1, 0, 2]), "list": rng.choice([None, [], ["a"], ["b", "Ab"]])} for i in range(60)]
-    df = spark.createDataFrame([tuple(e.values()) for e in events], "i int, a string, b string, n long, list array<string>")
-    rules = [S.load(make(rng)) for _ in range(80)]
+    events = [{"i": i, "a": word(), "b": word(), "n": rng.choice([None, -1, 0, 2]), "list": rng.choice([None, [], ["a"], ["b", "Ab"]]), "ip": rng.choice([None, "10.1.2.3", "10.2.0.0", "2001:db8::1", "x"]), "flag": rng.choice([None, True, False]), "class_uid": rng.choice([None, 1, 2])} for i in range(80)]
+    df = spark.createDataFrame([tuple(e.values()) for e in events], "i int, a string, b string, n long, list array<string>, ip string, flag boolean, class_uid int")
+    rules = [S.load(make(rng)) for _ in range(160)]
     found = {r.i: list(r.rules) for r in S.match_all(df, [(r, FIELDS, None) for r in rules]).collect()}
+    classes = [(None, 1, 2)[k % 3] for k in range(len(rules))]
+    gated = {r.i: list(r.own) for r in S.match_all(df, [(r, FIELDS, F.col("class_uid") == c if c == 2 else c) for r, c in zip(rules, classes, strict=True)], "own").collect()}
+    single = {r.i: list(r) for r in df.select("i", *[S.compile_rule(r, FIELDS).alias(f"r{k}") for k, r in enumerate(rules)]).collect()}
     for e in events:
-        assert found[e["i"]] == [k for k, r in enumerate(rules) if S.matches_event(r, e, FIELDS)]
+        want = [k for k, r in enumerate(rules) if S.matches_event(r, e, FIELDS)]
+        assert found[e["i"]] == want
+        assert gated[e["i"]] == [k for k in want if classes[k] is None or classes[k] == e["class_uid"]]
+        assert [k for k, x in enumerate(single[e["i"]][1:]) if x] == want
 
 
 @pytest.mark.parametrize(
