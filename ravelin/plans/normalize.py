@@ -43,6 +43,8 @@ class Kind:
     class_uid: int
     fields: list[Field]
     when: dict = field(default_factory=dict)
+    #: Objects of the source whose members that no field took are kept; "." is the record itself.
+    unmapped: list[str] = field(default_factory=lambda: ["."])
 
 
 @dataclass
@@ -57,7 +59,7 @@ def load(source: dict) -> Definition:
     kinds = []
     for k in source["kinds"]:
         fields = [Field(t, **({"source": how} if isinstance(how, str) else {"source": how.get("from"), "constant": how.get("constant"), "translate": how.get("map", {}), "otherwise": how.get("otherwise"), "coerce": how.get("as", "string")})) for t, how in k["fields"].items()]
-        kinds.append(Kind(k["name"], int(k["class"]), fields, k.get("when", {})))
+        kinds.append(Kind(k["name"], int(k["class"]), fields, k.get("when", {}), list(k.get("unmapped", source.get("unmapped", ["."])))))
     made = Definition(source["name"], int(source.get("version", 1)), kinds, list(source.get("nil", [])))
     check(made)
     return made
@@ -182,6 +184,33 @@ def _nest(pairs: list[tuple[str, Column]]) -> Column:
     return F.struct(*[c.alias(k) for k, c in made.items()])
 
 
+MEMBERS = "map<string,variant>"
+
+
+def _rest(v: Column, kind: Kind, took: list[tuple[str, Column, Column]]) -> Column:
+    """Members that no field took, as one map: of each listed object by their
+    own names, qualified by the object where an earlier one gave the name. A
+    value that did not convert was not taken; outside of the listed objects it
+    is kept by its whole path. ``took`` has (source, value, reason of failure)."""
+
+    def inside(path: str, obj: str) -> str | None:
+        return path if obj == "." else path[len(obj) + 1 :] if path.startswith(obj + ".") else None
+
+    def direct(path: str) -> Column:
+        """Is it a member of the record itself, dots and all?"""
+        return F.lit("." in kind.unmapped) & F.try_variant_get(v, "$['" + path.replace("'", "\\'") + "']", "variant").isNotNull()
+
+    lost = [F.when(why.isNotNull() & ~direct(p), F.struct(F.lit(p), source_path(v, p, "variant"))) for p, _, why in took if not any(inside(p, o) for o in kind.unmapped if o != ".")]
+    kept = F.map_from_entries(F.array_compact(F.array(*lost))) if lost else F.expr(f"cast(map() as {MEMBERS})")
+    for obj in kind.unmapped:
+        members = F.coalesce(F.try_variant_get(v, "$", MEMBERS) if obj == "." else source_path(v, obj, MEMBERS), F.expr(f"cast(map() as {MEMBERS})"))
+        taken = F.array_compact(F.array(*[F.when(x.isNotNull() & why.isNull(), n) for p, x, why in took if (n := inside(p, obj))])).cast("array<string>")
+        own = F.map_filter(members, lambda n, x: ~F.array_contains(taken, n) & ~F.is_variant_null(x))
+        own = F.transform_keys(own, lambda n, _: F.when(F.map_contains_key(kept, n), F.concat(F.lit(f"{obj}."), n)).otherwise(n))  # noqa: B023
+        kept = F.map_concat(kept, F.map_filter(own, lambda n, _: ~F.map_contains_key(kept, n)))
+    return kept
+
+
 def normalize(records: DataFrame, definition: Definition, col: str = "record") -> DataFrame:
     """Records as outcomes: ``kind``, ``class_uid``, ``event`` (JSON text),
     ``issues`` and ``unmapped`` members; ``stage`` and ``error`` for dead ones."""
@@ -203,7 +232,7 @@ def normalize(records: DataFrame, definition: Definition, col: str = "record") -
     paths = {p: f"__p{i}" for i, p in enumerate(sorted({f.source for k in definition.kinds for f in k.fields if f.source}))}
     read = {c: source_path(v, p) for p, c in paths.items()}
     rows = rows.withColumns({c: F.when(~x.isin(*definition.nil), x) if definition.nil else x for c, x in read.items()})
-    event, issues, uid, name, taken = (F.lit(None).cast(t) for t in ("string", "array<struct<target:string,source:string,reason:string>>", "int", "string", "array<string>"))
+    event, issues, uid, name, rest = (F.lit(None).cast(t) for t in ("string", "array<struct<target:string,source:string,reason:string>>", "int", "string", "string"))
     made: dict[str, Column] = {}
     for i, k in enumerate(definition.kinds):
         reasons = []
@@ -217,17 +246,15 @@ def normalize(records: DataFrame, definition: Definition, col: str = "record") -
         here = F.col("__k") == i
         event, issues = F.when(here, own).otherwise(event), F.when(here, F.filter(F.col(f"__i{i}"), lambda x: x["reason"].isNotNull())).otherwise(issues)
         uid, name = F.when(here, k.class_uid).otherwise(uid), F.when(here, k.name).otherwise(name)
-        used = sorted({f.source.split(".")[0] for f in k.fields if f.source} | {p.split(".")[0] for p in k.when})
-        taken = F.when(here, F.array(*[F.lit(x) for x in used]).cast("array<string>")).otherwise(taken)
-    members = F.from_json(F.when(is_object, F.col(col)), "map<string,string>")
-    rest = F.map_filter(members, lambda name_, _: ~F.array_contains(taken, name_))
+        took = [(f.source, F.col(paths[f.source]), F.col(f"__i{i}")[j]["reason"]) for j, f in enumerate(k.fields) if f.source]
+        rest = F.when(here, F.to_json(_rest(v, k, took))).otherwise(rest)
     return rows.select(
         *records.columns,
         name.alias("kind"),
         uid.alias("class_uid"),
         event.alias("event"),
         issues.alias("issues"),
-        F.when(F.col("__k").isNotNull(), F.to_json(rest)).alias("unmapped"),
+        rest.alias("unmapped"),
         F.when(v.isNull() | ~is_object, "decoding").when(F.col("__k").isNull(), "mapping").alias("stage"),
         F.when(v.isNull(), "not JSON").when(~is_object, "not an object").when(F.col("__k").isNull(), "no kind fits").alias("error"),
     )

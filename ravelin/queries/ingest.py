@@ -19,6 +19,7 @@ SOURCE = N.load(
         "name": "shop",
         "version": 1,
         "nil": ["-"],
+        "unmapped": ["who", "props", "."],
         "kinds": [
             {"name": "fault", "when": {"type": "error"}, "class": 2004, "fields": {"finding.score": {"from": "value", "as": "integer"}, "actor.user.name": "who.user", "src_endpoint.ip": {"from": "net.ip", "as": "ip"}, "time": {"from": "at", "as": "unix-seconds"}, "status": {"from": "who.group", "map": {"g0": "low", "g1": "high"}}}},
             {"name": "visit", "when": {"type": "view"}, "class": 6003, "fields": {"actor.user.name": "who.user", "src_endpoint.ip": {"from": "net.ip", "as": "ip"}, "web.k": {"from": "props.k", "as": "integer"}, "product": {"constant": "shop"}}},
@@ -110,7 +111,7 @@ def _joined_records(spark, d):
 
 def _framed_syslog(spark, d):
     """Messages of a host: by octet count for even hosts, by line for odd."""
-    s = _syslog(spark, d).select((F.col("id") % 40).alias("file"), "id", "line")
+    s = _syslog(spark, d).select((F.col("id") % 40).alias("file"), "id", F.concat("line", F.when(F.col("id") % 3 == 0, " é 中 🎉").otherwise("")).alias("line"))
     one = F.when(F.col("file") % 2 == 0, F.concat(F.octet_length("line").cast("string"), F.lit(" "), F.col("line"))).otherwise(F.concat("line", F.lit("\n")))
     return s.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", one.alias("m")))), lambda x: x["m"]), "").alias("value"))
 
@@ -140,7 +141,7 @@ def _iso(offset: str):
 QUERIES = {
     "frame_lines": (lambda spark, d: D.frame_lines(_text_lines(spark, d)).groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars")), r"SELECT doc_id, count(*) AS lines, sum(length(l))::BIGINT AS chars FROM (SELECT doc_id, regexp_replace(unnest(string_split(text, chr(10))), '\r$', '') AS l FROM documents) WHERE trim(l) <> '' GROUP BY 1"),
     "frame_json_values": (lambda spark, d: D.frame_json_values(_joined_records(spark, d)).groupBy("file").agg(F.count("record").alias("records"), F.count("dead").alias("dead")), f"{EV} SELECT id % 40 AS file, count(*) AS records, CASE WHEN id % 40 % 4 = 0 THEN 1 ELSE 0 END::BIGINT AS dead FROM ev GROUP BY ALL"),
-    "frame_syslog": (lambda spark, d: D.frame_syslog(_framed_syslog(spark, d)).groupBy("file").agg(F.count("record").alias("records"), F.count("dead").alias("dead")), f"{EV} SELECT id % 40 AS file, count(*) AS records, 0::BIGINT AS dead FROM ev GROUP BY ALL"),
+    "frame_syslog": (lambda spark, d: D.frame_syslog(_framed_syslog(spark, d)).groupBy("file").agg(F.count("record").alias("records"), F.count("dead").alias("dead"), F.sum((F.startswith("record", F.lit("<")) & F.endswith("record", F.lit("🎉"))).cast("bigint")).alias("marked")), f"{EV} SELECT id % 40 AS file, count(*) AS records, 0::BIGINT AS dead, sum((id % 3 = 0)::INT)::BIGINT AS marked FROM ev GROUP BY ALL"),
     "frame_audit": (lambda spark, d: D.frame_audit(_audit(spark, d), "file").groupBy("file").agg(F.count("record").alias("records"), F.count("dead").alias("dead")), f"{EV} SELECT id % 10 AS file, count(*) AS records, sum((id % 100 = 0)::INT)::BIGINT AS dead FROM ev GROUP BY 1"),
     "decode_json": (lambda spark, d: _records(spark, d).withColumn("v", F.try_parse_json("record")).select("id", F.col("v").isNotNull().alias("good"), F.try_variant_get("v", "$.who.user", "string").alias("user")), f"{EV} SELECT id, id % 50 <> 0 AS good, CASE WHEN id % 50 <> 0 THEN user_name END AS \"user\" FROM ev"),
     "decode_auditd": (_audit_decoded, f"{EV} SELECT id, user_name AS exe, source AS comm, k AS uid, host AS path FROM ev"),
@@ -155,7 +156,8 @@ QUERIES = {
     "normalize_events": (lambda spark, d: _normalized(spark, d).filter("class_uid = 1007").select("id", "event"), f"""{OUT_SQL} SELECT id, '{{"actor":{{"user":{{"name":"' || user_name || '"}}}},"evidences":[{{' || CASE WHEN id % 4 = 0 THEN '' ELSE '"data":"n' || k || '"' END || '}},{{"data":"g1"}}]}}' AS event FROM o WHERE stage IS NULL AND class_uid = 1007"""),
     "translate_map": (lambda spark, d: _normalized(spark, d).filter("kind = 'fault'").select("id", F.get_json_object("event", "$.status").alias("status")), f"{OUT_SQL} SELECT id, CASE id % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'high' END AS status FROM o WHERE stage IS NULL AND source = 'error'"),
     "issues": (lambda spark, d: _normalized(spark, d).filter("kind is not null").select("id", F.explode("issues").alias("i")).select("id", "i.*"), f"{OUT_SQL} SELECT id, 'src_endpoint.ip' AS target, 'net.ip' AS source, 'no ip' AS reason FROM o WHERE stage IS NULL AND id % 13 = 0 AND source IN ('error', 'view') UNION ALL SELECT id, 'status', 'who.group', 'not listed' FROM o WHERE stage IS NULL AND id % 3 = 2 AND source = 'error'"),
-    "unmapped_rest": (lambda spark, d: _normalized(spark, d).filter("kind = 'visit'").select("id", F.get_json_object("unmapped", "$.extra").alias("extra"), F.get_json_object("unmapped", "$.note").alias("note")), f"{OUT_SQL} SELECT id, severity_id::VARCHAR AS extra, CASE WHEN id % 4 = 0 THEN '-' ELSE 'n' || k END AS note FROM o WHERE stage IS NULL AND source = 'view'"),
+    "unmapped_rest": (lambda spark, d: _normalized(spark, d).filter("kind in ('visit', 'fault')").select("id", *[F.get_json_object("unmapped", f"$['{m}']").alias(n) for m, n in (("extra", "extra"), ("note", "note"), ("group", "group"), ("k", "k"), ("who", "who"), ("net.ip", "ip"))]), f"""{OUT_SQL} SELECT id, severity_id::VARCHAR AS extra, CASE WHEN id % 4 = 0 THEN '-' ELSE 'n' || k END AS note, CASE WHEN source = 'view' OR id % 3 = 2 THEN 'g' || (id % 3) END AS "group",
+      CASE WHEN source = 'error' THEN k::VARCHAR END AS k, '{{"group":"g' || (id % 3) || '","user":"' || user_name || '"}}' AS who, CASE WHEN id % 13 = 0 THEN 'not-an-ip' END AS ip FROM o WHERE stage IS NULL AND source IN ('view', 'error')"""),
     "nil_values": (lambda spark, d: _normalized(spark, d).filter("kind = 'buy'").select("id", F.get_json_object("event", "$.evidences[0].data").alias("note")), f"{OUT_SQL} SELECT id, CASE WHEN id % 4 <> 0 THEN 'n' || k END AS note FROM o WHERE stage IS NULL AND source = 'purchase'"),
     "dead_letters": (lambda spark, d: _normalized(spark, d).filter("stage is not null").groupBy("stage", "error").agg(F.count("*").alias("n")), f"{OUT_SQL} SELECT stage, CASE stage WHEN 'decoding' THEN 'not JSON' ELSE 'no kind fits' END AS error, count(*) AS n FROM o WHERE stage IS NOT NULL GROUP BY ALL"),
     "outcome_rows": (lambda spark, d: dedupe(_normalized(spark, d).join(events(spark, d).select("id", "time", "received"), "id").filter("stage is null").withColumn("time", F.coalesce("time", "received"))).select("id", "class_uid", "time"), f"{OUT_SQL} SELECT id, CASE source WHEN 'error' THEN 2004 WHEN 'view' THEN 6003 ELSE 1007 END::INT AS class_uid, time FROM o WHERE stage IS NULL"),

@@ -50,7 +50,7 @@ def _windows() -> list[dict]:
 
 
 def _zeek() -> list[dict]:
-    ends = {"time": {"from": "ts", "as": "unix-seconds"}, "metadata.uid": "uid", "src_endpoint.ip": {"from": "id.orig_h", "as": "ip"}, "src_endpoint.port": {"from": "id.orig_p", "as": "integer"}, "dst_endpoint.ip": {"from": "id.resp_h", "as": "ip"}, "dst_endpoint.port": {"from": "id.resp_p", "as": "integer"}}
+    ends = {"time": {"from": "ts", "as": "timestamp"}, "metadata.uid": "uid", "src_endpoint.ip": {"from": "id.orig_h", "as": "ip"}, "src_endpoint.port": {"from": "id.orig_p", "as": "integer"}, "dst_endpoint.ip": {"from": "id.resp_h", "as": "ip"}, "dst_endpoint.port": {"from": "id.resp_p", "as": "integer"}}
     return [
         {"name": "conn", "when": {"_path": "conn"}, "class": 4001, "fields": {**ends, "activity_id": {"constant": 6}, "connection_info.protocol_name": "proto", "traffic.bytes_out": {"from": "orig_bytes", "as": "integer"}, "traffic.bytes_in": {"from": "resp_bytes", "as": "integer"}}},
         {"name": "dns", "when": {"_path": "dns"}, "class": 4003, "fields": {**ends, "activity_id": {"constant": 6}, "query.hostname": "query", "query.type": "qtype_name", "rcode": "rcode_name"}},

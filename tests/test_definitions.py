@@ -10,7 +10,7 @@ RAW = {
     "sysmon": (json.dumps({"Event": {"System": {"EventID": 1, "Computer": "h", "EventRecordID": 7}, "EventData": {"Image": "C:\\a.exe", "CommandLine": "a -x", "ProcessId": "0x1f", "Hashes": "MD5=AB,SHA256=CD", "UtcTime": "2024-01-02 03:04:05.678"}}}) + " {cut", 1007, {"process.pid": 31, "process.cmd_line": "a -x", "time": 1704164645678, "device.hostname": "h"}),
     "sysmon-flat": (json.dumps({"EventID": 3, "Computer": "h", "DestinationIp": "::1", "DestinationPort": "443"}), 4001, {"dst_endpoint.ip": "::1", "dst_endpoint.port": 443}),
     "windows-security": (json.dumps({"Event": {"System": {"EventID": 4625, "Computer": "h"}, "EventData": {"TargetUserName": "u", "IpAddress": "-", "LogonType": "3"}}}), 3002, {"user.name": "u", "logon_type_id": 3, "status_id": 2}),
-    "zeek": ('{"_path":"conn","ts":1704164645.25,"uid":"C1","id.orig_h":"10.0.0.1","id.orig_p":5,"id.resp_h":"10.0.0.2","id.resp_p":53,"proto":"udp"}\nnot json\n', 4001, {"src_endpoint.ip": "10.0.0.1", "dst_endpoint.port": 53, "time": 1704164645250}),
+    "zeek": ('{"_path":"conn","ts":"2024-01-02T03:04:05.250Z","uid":"C1","id.orig_h":"10.0.0.1","id.orig_p":5,"id.resp_h":"10.0.0.2","id.resp_p":53,"proto":"udp"}\nnot json\n', 4001, {"src_endpoint.ip": "10.0.0.1", "dst_endpoint.port": 53, "time": 1704164645250}),
     "suricata": ('{"event_type":"alert","timestamp":"2024-01-02T03:04:05.000000+0000","src_ip":"1.2.3.4","alert":{"signature":"s","signature_id":9,"severity":2}}', 2004, {"finding_info.title": "s", "severity_id": 3, "time": 1704164645000}),
     "auditd": ('type=SYSCALL msg=audit(1704164645.678:7): syscall=59 pid=12 exe="/bin/ls" comm="ls"\ntype=PROCTITLE msg=audit(1704164645.678:7): proctitle=6C73002D6C\nno key', 1007, {"process.pid": 12, "process.cmd_line": "ls -l", "time": 1704164645678}),
     "falco": ('{"uuid":"u","rule":"r","priority":"Warning","time":"2024-01-02T03:04:05Z","output_fields":{"proc.cmdline":"sh","user.name":"root"}}', 2004, {"severity_id": 3, "finding_info.title": "r"}),

@@ -1,6 +1,7 @@
 """Framing, decoding, definitions, searches and streams."""
 
 import ipaddress
+import json
 import random
 import re
 
@@ -28,6 +29,7 @@ def test_csv_of_feeds_trims_and_forgives():
 def test_json_values_and_syslog_frames():
     assert D.json_values('{"a":1} 2\n[') == [('{"a":1}', None), ("2", None), (None, "[")]
     assert D.syslog_frames("5 hello<1>line\r\n99 short") == [("hello", None), ("<1>line", None), (None, "99 short")]
+    assert D.syslog_frames("7 <1>1 \u00e93 abc") == [("<1>1 \u00e9", None), ("abc", None)]
     assert D.json_values(None) == D.syslog_frames("") == []
 
 
@@ -66,11 +68,19 @@ def test_refused_definitions(fields):
         N.load({"name": "n", "kinds": [{"name": "k", "class": 1, "fields": fields}]})
 
 
+def test_unmapped_members_of_objects(spark):
+    d = N.load({"name": "x", "unmapped": ["who", "."], "kinds": [{"name": "a", "when": {"t": "a"}, "class": 1007, "fields": {"u": "who.user", "ip": {"from": "net.ip", "as": "ip"}, "n": {"from": "deep.n", "as": "integer"}}}]})
+    rows = [('{"t":"a","who":{"user":"x","group":"g","t":5},"net.ip":"bad","deep":{"n":"zz","o":[1]},"z":null}',), ('{"t":"a","net.ip":"1.2.3.4"}',)]
+    got = [json.loads(r.unmapped) for r in N.normalize(spark.createDataFrame(rows, "record string"), d).collect()]
+    assert got[0] == {"deep.n": "zz", "group": "g", "t": 5, "deep": {"n": "zz", "o": [1]}, "net.ip": "bad", "..t": "a", "who": {"group": "g", "t": 5, "user": "x"}}
+    assert got[1] == {"t": "a"}
+
+
 def test_normalization_keeps_what_it_cannot_use(spark):
     d = N.load({"name": "n", "kinds": [{"name": "k", "class": 1007, "when": {"t": 1}, "fields": {"x.y": {"from": "v", "as": "integer"}}}]})
     rows = [('{"t":1,"v":"0x10","w":"z"}',), ('{"t":"1","v":"2"}',), ("[1]",), ("{",), (None,), ('{"t":1,"v":"no"}',)]
     got = N.normalize(spark.createDataFrame(rows, "record string"), d).collect()
-    assert (got[0].event, got[0].unmapped, got[0].issues) == ('{"x":{"y":16}}', '{"w":"z"}', [])
+    assert (got[0].event, got[0].unmapped, got[0].issues) == ('{"x":{"y":16}}', '{"t":1,"w":"z"}', [])
     assert [r.stage for r in got[1:5]] == ["mapping", "decoding", "decoding", "decoding"]
     assert got[5].issues[0].reason == "no integer" and got[5].kind == "k"
 
