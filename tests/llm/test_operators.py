@@ -311,6 +311,11 @@ def test_url_rules(spark):
         "https://example.com?/en/": ("", "allow"),
         "x://y://z.net/fr/": ("", "allow"),
         "https://casino.example.org/a": ("", "block"),
+        "https://m.best-casino.example.org/a": ("", "block"),
+        "https://alphabets.example.org/": ("", "allow"),
+        "https://sussexxx.ac.uk/": ("", "allow"),
+        "https://" + "a." * 3000 + "net/fr/": ("net/fr/", "block"),
+        "https://casino.com/": ("com/", "allow"),
         "https://net/fr/": ("net/fr/", "block"),
     }
     cases["http://example.com/en/1"] = ("example.com/en/", "block")
