@@ -252,7 +252,36 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
     assert spark.read.parquet(path).count() == 3
     rules = (*secrets.RULES, ("pin", 1, r"PIN-\d{4}", 0, 0, ("pin-",)))
     again = secrets.scan(frame(spark, [*texts, "PIN-1234"]), path, rules).collect()
-    assert spark.read.parquet(path).count() == 6 and any("pin:0:8" in r.spans for r in again)
+    # the three old blobs are tried with the new rule alone, the new one with all
+    tried = sorted(len(r.rules) for r in spark.read.parquet(path).collect())
+    assert tried == [1, 1, 8, 8, 8, 9] and any("pin:0:8" in r.spans for r in again)
+    assert sum(r.n_assign for r in again) == 2
+    # another version of a rule is another rule, and what the old one found is not its finding
+    changed = tuple((k, 2, "clean", 0, 0, ()) if k == "hex" else (k, *x) for k, *x in secrets.RULES)
+    third = {r.doc_id: r for r in secrets.scan(frame(spark, texts), path, changed).collect()}
+    assert [third[i].n_hex for i in range(3)] == [0, 1, 0] and third[0].n_assign == 1
+    # a ledger that holds the findings redacts without a scan of its own
+    docs = frame(spark, texts)
+    before = spark.read.parquet(path).count()
+    assert [r.text for r in secrets.redact(docs, ledger_path=path).orderBy("doc_id").collect()] == ["[SECRET]", "clean", "[SECRET]"]
+    assert spark.read.parquet(path).count() == before
+
+
+def test_query_reads_a_part_filled_ledger(spark, monkeypatch):
+    asked = []
+    scan_blobs = secrets.scan_blobs
+    monkeypatch.setattr(secrets, "scan_blobs", lambda docs, ledger, *a, **k: asked.append(None if ledger is None else ledger.count()) or scan_blobs(docs, ledger, *a, **k))
+    texts = [f"token: abcdef{i % 40}" for i in range(200)]
+    out = secrets.scan(frame(spark, texts), increments=secrets.INCREMENTS).collect()
+    assert asked[0] is None and 0 < asked[1] <= 40 and sum(r.n_assign for r in out) == 200
+
+
+def test_many_spans(spark):
+    text = "token=abcdef1 é " * 5000
+    r = secrets.scan(frame(spark, [text])).first()
+    assert r.n_assign == 5000 and r.base_sha256 == hashlib.sha256(brute_spans(text).encode()).hexdigest()
+    assert secrets.redact(frame(spark, [text])).first().text == "[SECRET] é " * 5000
+    assert secrets.scan(frame(spark, ["token=abcdef1"] * 3000)).filter("n_assign = 1").count() == 3000  # a hot blob
 
 
 def test_secrets_of_odd_input_and_redaction(spark):
@@ -263,6 +292,11 @@ def test_secrets_of_odd_input_and_redaction(spark):
     assert [r.text for r in clean] == ["a [SECRET] b", None, "🎉 [SECRET] x", "[SECRET]"]
     assert [r.n_chars for r in clean] == [12, 0, 12, 8]
     assert secrets.scan(odd(spark).limit(0)).count() == 0
+    clash = odd(spark)
+    for c in ("null", "clean", "rules", "known", "every", "low"):
+        clash = clash.withColumn(c, F.lit("clash"))
+    kept = secrets.redact(clash)
+    assert kept.columns == clash.columns and collections.Counter(map(tuple, kept.collect())) == collections.Counter(map(tuple, clash.collect()))
 
 
 # 5
