@@ -37,7 +37,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import materialize, shared_dir, table
+from ravelin.llm.common import free_name, materialize, shared_dir, table
 
 _KEY = r"password|passwd|secret|token|api_?key"
 #: (kind, version, pattern, group that carries the value, its least length, substrings of which a lower-cased text holds one, or none). The
@@ -230,7 +230,7 @@ def redact(docs: DataFrame, text_col: str = "text", rules=RULES, mark: str = "[S
     path = ledger_path or f"{shared_dir(spark)}/ravelin-ledger-{uuid.uuid4().hex}"
     ledger = spark.read.schema(LEDGER).parquet(path) if ledger_path and _exists(spark, path) else None
     own = F.array_sort(F.concat("spans", "known"))
-    blob, null, clean = _free("blob", docs), _free("null", docs), _free("clean", docs)
+    blob, null, clean = free_name(docs, "blob"), free_name(docs, "null"), free_name(docs, "clean")
     entries = scan_blobs(docs, ledger, rules, text_col, keep=True).withColumn("every", own).select("blob", "rules", "spans", _redacted(F.col("text"), F.col("every"), mark).alias("clean"))
     entries = materialize(entries, "entries")
     entries.filter(F.size("rules") > 0).select("blob", "rules", "spans").write.mode("append").parquet(path)
@@ -241,14 +241,6 @@ def redact(docs: DataFrame, text_col: str = "text", rules=RULES, mark: str = "[S
     return out.select([F.col(f"`{c}`") for c in docs.columns])
 
 
-def _free(name: str, docs: DataFrame) -> str:
-    """A column name that ``docs`` has not."""
-    taken = {c.lower() for c in docs.columns}
-    while name in taken:
-        name = f"_{name}"
-    return name
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"), increments=INCREMENTS)
 

@@ -472,6 +472,45 @@ def test_mix_of_odd_input(spark):
     mixed = mixing.stage(spark, docs, "")
     assert mixed.columns == docs.columns and max(collections.Counter(r.doc_id for r in mixed.collect()).values()) <= 2
 
+    clash = odd(spark)
+    for c in ("mix", "mix1", "key", "m", "h", "rank", "cut"):
+        clash = clash.withColumn(c, F.lit("clash"))
+    mixed = mixing.stage(spark, clash, "")
+    assert mixed.columns == clash.columns and all(r.mix == "clash" for r in mixed.collect())
+
+
+def test_choice_of_documents_by_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(i if rng.random() < 0.9 else None, "w " * rng.randint(0, 30) + str(i), rng.choice(["a", "b", "c", None])) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    figures = {r.source: r for r in mixing.targets(mixing.sizes(df)).collect()}
+    lit = lambda x: F.lit(x)
+    ranked = collections.defaultdict(list)
+    for source, r in figures.items():
+        f = r.target / r.source_size
+        whole = int(f + 1e-12)
+        own = mixing.sizes(df).filter(F.col("source").eqNullSafe(lit(source)))
+        for x in own.select("doc_id", "size", "h", mixing._rank(lit(max(0.0, f - whole)), F.col("size"), lit(r.source_size / r.n_docs), F.col("doc_id"), F.col("h"), mixing.SEED, mixing.SIZE_POWER).alias("rank")).collect():
+            ranked[source].append((x.rank, x.size, x.doc_id, whole))
+    want = collections.Counter()
+    for source, own in ranked.items():
+        left = figures[source].target - own[0][3] * figures[source].source_size
+        for rank, size, doc_id, whole in sorted(own, key=lambda x: (x[0] is None, x[0])):
+            taken = rank is not None and size / 2 < left
+            left = left - size if taken else -1 if rank is not None else left
+            want[doc_id, size, size * (whole + taken)] += 1
+    assert collections.Counter((r.doc_id, r.size, r.taken) for r in mixing.mix(df).collect()) == want
+
+
+def test_ties_at_the_cut_meet_the_target(spark):
+    texts = [(None, " ".join(["w"] * 10), "a")] * 500 + [(None, " ".join([f"x{i}"] * 10), "b") for i in range(500)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    taken = collections.Counter()
+    for r in mixing.mix(df).collect():
+        taken[r.target] += r.taken
+    assert len(taken) == 2 and all(abs(t - n) <= 5 for t, n in taken.items())
+    assert abs(mixing.stage(spark, df, "").count() * 10 - sum(taken)) <= 10
+
 
 # 10
 
