@@ -422,12 +422,19 @@ def test_media_tables(spark):
     out = gif.media_table(spark.createDataFrame(rows, "media_id long, data binary")).collect()
     assert sorted((r.media_id, r.frame if r.error is None else -1) for r in out) == [(1, 0), (2, -1), (3, -1), (4, -1), (5, 0), (5, 1)]
     assert sum(next(r for r in out if r.media_id == 1).histogram) == 100
+    huge = bytearray(SAMPLE)
+    huge[6:10] = b"\xff" * 4  # claims 65535 x 65535 pixels
+    (r,) = gif.media_table(spark.createDataFrame([(6, huge)], "media_id long, data binary")).collect()
+    assert r.error == "too large" and r.frame is None
     texts = ["x" * 64, "hello", "long " * 70_000]
     got = {r.doc_id: r for r in gif.store_texts(frame(spark, texts)).collect()}
     for i, t in enumerate(texts):
         data = t.encode()
         padded = data + b"\0" * (-len(data) % 64)
         assert (got[i].n_bytes, got[i].payload_bytes, got[i].payload_sha256, got[i].tail_crc32) == (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        film_ = got[i].frames
+        assert [f.start_ms for f in film_] == [40 * k for k in range(len(film_))] and sum(sum(f.histogram) for f in film_) == len(padded)
+        assert [sum(f.histogram[c * 21] for f in film_) for c in range(4)] == [sum(c * 64 <= b < c * 64 + 64 for b in padded) for c in range(4)]
     out = gif.store_texts(odd(spark)).collect()
     assert len(out) == 9 and {r.payload_bytes for r in out if r.n_bytes == 0} == {64}
     assert gif.store_texts(odd(spark).limit(0)).count() == 0
