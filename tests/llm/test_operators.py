@@ -10,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,10 +210,36 @@ def test_substring_dedup_is_exact(spark, seed, monkeypatch):
                 words += [f"u{rng.randint(0, 3)}" for _ in range(rng.randint(1, 30))]
         rows.append((rng.choice([i, i, i // 2, None]), "\n ".join(words)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(substring, "RANGE_BYTES", 1 << 20 if seed == 1 else 2048)  # few or many ranges
     got = collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring.substring_dedup(df).collect())
     assert got == brute_substring(rows)
 
 
+@pytest.mark.parametrize("most", [7, 1 << 20])
+def test_ranges_are_worked_on_in_parts(most, monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(substring, "AT_ONCE", most)
+    blocks = [rng.choice(60, rng.integers(1, 30), replace=False).astype(np.uint64) for _ in range(20)]
+    twice = rng.random(20) < 0.2
+    batch = pa.RecordBatch.from_pydict({"block": [str(i) for i in range(20)], "twice": twice.tolist(), "hashes": [b.tobytes() for b in blocks]})
+    times = collections.Counter(int(x) for b, t in zip(blocks, twice, strict=True) for x in b for _ in range(1 + t))
+    got = {b: np.frombuffer(a, np.uint64).tolist() for rb in substring._repeated(iter([batch])) for b, a in zip(rb["block"].to_pylist(), rb["answer"].to_pylist(), strict=True)}
+    assert got == {str(i): hit for i, b in enumerate(blocks) if (hit := [x for x in b.tolist() if times[x] > 1])}
+
+    rows, first = [], {}
+    for k in range(30):
+        own = rng.integers(0, 9, 5).astype(np.uint64)
+        run = np.array([(int(rng.integers(0, 2)), int(rng.integers(0, 20)), 0, int(rng.integers(0, 50)), 5)], substring._ASK)
+        rows.append((str(k), run, own))
+        for j, o in enumerate(own.tolist()):
+            at = (int(run["anchor"][0]), o), (int(run["doc"][0]), int(run["at"][0]) + j)
+            first[at[0]] = min(first.get(at[0], at[1]), at[1])
+    batch = pa.RecordBatch.from_pydict({"block": [b for b, _, _ in rows], "runs": [r.tobytes() for _, r, _ in rows], "own": [o.tobytes() for _, _, o in rows]})
+    got = {(b, int(r["at"]) + j) for rb in substring._earliest(iter([batch])) for b, a in zip(rb["block"].to_pylist(), rb["answer"].to_pylist(), strict=True) for r in np.frombuffer(a, substring._RUN) for j in range(r["n"])}
+    want = {(b, int(r["at"][0]) + j) for b, r, own in rows for j, o in enumerate(own.tolist()) if (int(r["doc"][0]), int(r["at"][0]) + j) != first[int(r["anchor"][0]), o]}
+    assert got == want
+
+
 def test_substring_dedup_of_odd_input(spark):
     rows = [(r.doc_id, r.text) for r in odd(spark).collect()]
     got = collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring.substring_dedup(odd(spark)).collect())
