@@ -93,6 +93,68 @@ def test_near_duplicates_of_odd_input(spark):
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 0, 1, 5, 6, 7]
 
 
+def test_deep_buckets_are_split(spark):
+    """Fingerprints that agree on 40 bits: every level of splitting is used."""
+    rng = np.random.default_rng(9)
+    fps = np.unique(rng.integers(0, 2**24, 3000, dtype=np.uint64) << np.uint64(20))
+    df = spark.createDataFrame([(int(f), i) for i, f in enumerate(fps.view(np.int64))], "fp long, rep long")
+    found = {r.node: r.component for r in simhash.components(simhash.links(df, 60)).collect()}
+    assert [found.get(i, i) for i in range(len(fps))] == brute_components(fps, list(range(len(fps))))
+
+
+def shingles(text, n=5):
+    w = text.lower().split()
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def test_similar_texts_are_found(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(60, 300))) for _ in range(150)]
+    pairs = []
+    for i in range(150):
+        w = texts[i].split()
+        for _ in range(max(1, int(len(w) * rng.choice([0.002, 0.01, 0.015, 0.05, 0.1])))):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        texts.append(" ".join(w))
+        a, b = shingles(texts[i]), shingles(texts[-1])
+        pairs.append((len(a & b) / len(a | b), i, len(texts) - 1))
+    of = {r.doc_id: r.least_id for r in simhash.similar_texts(frame(spark, texts)).collect()}
+    close = [of[a] == of[b] == a for j, a, b in pairs if j >= 0.8]
+    assert len(close) > 50 and np.mean(close) >= 0.93
+    assert all(of[a] != of[b] for j, a, b in pairs if j < 0.6) and all(of[i] == i for i in range(150))
+    kept = {r.doc_id for r in simhash.stage(spark, frame(spark, texts), "").collect()}
+    assert kept == {i for i in of if of[i] == i}
+
+
+@pytest.mark.parametrize("short", [64, 0])
+def test_links_of_wide_fingerprints(short, monkeypatch):
+    monkeypatch.setattr(simhash, "SHORT", short)
+    rng = np.random.default_rng(2)
+    wide = rng.integers(0, 2**64, (200, 4), dtype=np.uint64)
+    for k in range(60, 200):  # chains and balls around the first ones
+        wide[k] = wide[rng.integers(0, k)]
+        for b in rng.choice(256, rng.integers(1, 60), replace=False):
+            wide[k, b // 64] ^= np.uint64(1 << (b % 64))
+    key = np.sort(rng.integers(0, 3, 200))
+
+    def classes(links):
+        parent = list(range(200))
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in links:
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+        return [root(x) for x in range(200)]
+
+    every = [(a, b) for a in range(200) for b in range(a) if key[a] == key[b] and simhash._apart(wide[a], wide[b]) <= 38]
+    found = simhash.wide_links(key, wide, 38)
+    assert set(map(frozenset, found)) <= set(map(frozenset, every)) and classes(found) == classes(every)
+
+
 def test_null_ids_link_texts(spark, monkeypatch):
     # 9 and 4 are near only the fingerprint of a row without an id; a pair without ids stays null
     fps = [(9, 0), (None, 0b111), (4, 0b111111), (7, -1), (None, 0xFFFF << 20), (None, 0xFFFF << 20 | 1), (None, -2), (3, 0xFF << 50)]
