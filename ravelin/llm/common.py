@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -30,11 +31,35 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_WORK: set[str] = set()
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, below one folder of the application
+    that goes when its Python process ends."""
+    folder = f"{shared_dir(spark)}/ravelin-{spark.sparkContext.applicationId}"
+    if folder not in _WORK:
+        _WORK.add(folder)
+        atexit.register(discard, spark, folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of written tables; nothing that reads them may be left."""
+    _WORK.discard(folder)
+    try:
+        jvm = spark.sparkContext._jvm  # noqa: SLF001 - there is no public way to a file system
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)  # noqa: SLF001
+    except Exception:  # noqa: BLE001 - the JVM has gone before: the folder stays, as without this
+        return
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts
     lineage, and survives the loss of any executor."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ravelin-{name}-{uuid.uuid4().hex}"
+    path = work_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

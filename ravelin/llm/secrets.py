@@ -31,13 +31,12 @@ listed; ``redact`` replaces them as one.
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import free_name, materialize, shared_dir, table
+from ravelin.llm.common import free_name, materialize, table, work_path
 
 _KEY = r"password|passwd|secret|token|api_?key"
 #: (kind, version, pattern, group that carries the value, its least length, substrings of which a lower-cased text holds one, or none). The
@@ -198,9 +197,9 @@ def _meet(paths: DataFrame, found: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, ledger_path: str | None = None, rules=RULES, id_col: str = "doc_id", text_col: str = "text", increments: int = 1) -> DataFrame:
     """Findings of every row of ``docs``, through the ledger at ``ledger_path``
     (a Parquet table, made when missing; without a path a new one in the shared
-    folder). What a run scans is appended to it before the result is joined."""
+    folder, which ends with the application). What a run scans is appended to it before the result is joined."""
     spark = docs.sparkSession
-    path = ledger_path or f"{shared_dir(spark)}/ravelin-ledger-{uuid.uuid4().hex}"
+    path = ledger_path or work_path(spark, "ledger")
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     started = ledger_path is not None
     for part in range(increments):
@@ -227,7 +226,7 @@ def redact(docs: DataFrame, text_col: str = "text", rules=RULES, mark: str = "[S
     ``scan``; the other columns stay, but for ``n_chars``, which is counted anew
     where it exists. Texts move once, and each blob is rewritten once."""
     spark = docs.sparkSession
-    path = ledger_path or f"{shared_dir(spark)}/ravelin-ledger-{uuid.uuid4().hex}"
+    path = ledger_path or work_path(spark, "ledger")
     ledger = spark.read.schema(LEDGER).parquet(path) if ledger_path and _exists(spark, path) else None
     own = F.array_sort(F.concat("spans", "known"))
     blob, null, clean = free_name(docs, "blob"), free_name(docs, "null"), free_name(docs, "clean")

@@ -27,7 +27,8 @@ count as words too.
 
 Scale: the fit sees at most ``SAMPLE`` labelled texts of at most
 ``SAMPLE_CHARS`` characters, chosen by a hash of the id; ids are collected
-from the slim labels table first, so the texts of a fit are at most the bound.
+from the slim labels table first, and of an id that several rows have one text
+comes to the driver, so the texts of a fit are at most the bound.
 Scoring is map-only, whole texts, with a bounded cache of distinct words, so
 copies and hot sources do not matter. The model is one array of 1 MB.
 
@@ -50,8 +51,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ravelin.llm.common import table
+from ravelin.llm.common import free_name, table
 
 DECAY = 0.6
 SPAN = 5
@@ -72,7 +74,7 @@ MAX_WORD = 64
 EDGE = "\x01"
 SEED = 7
 
-#: Letter codes: a-z, digits, and the rest of the alphabet by code point.
+#: Letter codes: a-z, digits, and 26 that all other letters share, the nearer ones by code point and those of further scripts by a hash of it.
 CODES = 64
 _MARKS = re.compile(r"[\W_]+")
 _SPELLED = re.compile(r"(?<!\S)\S(?:\s\S){3,}(?!\S)")
@@ -80,11 +82,12 @@ _SPELLED = re.compile(r"(?<!\S)\S(?:\s\S){3,}(?!\S)")
 
 @lru_cache(maxsize=1)
 def _code_table() -> np.ndarray:
-    code = 36 + np.arange(0x500) % 26
+    point = np.arange(0x110000, dtype=np.uint64)
+    code = 36 + np.where(point < 0x500, point, point * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(26)
     code[ord("a") : ord("z") + 1] = np.arange(26)
     code[ord("0") : ord("9") + 1] = 26 + np.arange(10)
     code[ord(EDGE)] = 63
-    return np.r_[code, 62].astype(np.int32)
+    return code.astype(np.uint8)
 
 
 @lru_cache(maxsize=128)
@@ -122,7 +125,7 @@ def features(words: list[str]):
         for s in range(0, len(own), 4096):
             part = own[s : s + 4096]
             letters = np.frombuffer("".join(f"{EDGE}{words[i]}{EDGE}" for i in part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), n)
-            c = table_[np.minimum(letters, len(table_) - 1)]
+            c = table_[letters].astype(np.int32)
             yield np.array(part), (c[:, at[:, 0]] * CODES + c[:, at[:, 1]]) * CODES + c[:, at[:, 2]], weight
 
 
@@ -352,7 +355,7 @@ def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS) -> Mo
     return model
 
 
-def _scorer(model: Model | None):
+def _scorer(model: Model | None, name: str = "score"):
     def run(batches):
         known: dict[str, float] = {}
         for rb in batches:
@@ -365,7 +368,7 @@ def _scorer(model: Model | None):
                 new = [w for w in set().union(*sets) if w not in known]
                 known.update(zip(new, model.margins([_strip(w) for w in new]).tolist(), strict=True))
                 scores += [model.probability(np.fromiter(map(known.__getitem__, own), np.float32, len(own))) for own in sets]
-            yield pa.RecordBatch.from_arrays([*rb.columns[2:], pa.array(scores if model else [0.0] * rb.num_rows, pa.float64())], [*rb.schema.names[2:], "score"])
+            yield pa.RecordBatch.from_arrays([*rb.columns[2:], pa.array(scores if model else [0.0] * rb.num_rows, pa.float64())], [*rb.schema.names[2:], name])
 
     return run
 
@@ -382,9 +385,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = S
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         .filter(F.col("text").isNotNull() & (F.length("text") <= chars))
         .join(F.broadcast(wanted), "doc_id", "left_semi")
+        .groupBy("doc_id")
+        .agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
         .collect()
     )
-    rows = sorted({(r.doc_id, r.text) for r in rows})
+    rows = sorted((r.doc_id, r.text) for r in rows)
     return train([t for _, t in rows], [ids[i] for i, _ in rows])
 
 
@@ -405,7 +410,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model does not call toxic; whole rows pass through
     one map, nothing is joined."""
     model = fit(docs, table(spark, sf_dir, "labels"))
-    names = docs.columns
-    carried = docs.select(F.lit(0).alias("__none"), F.col("text").alias("__text"), *[F.col(c) for c in names])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return carried.mapInArrow(_scorer(model), f"{schema}, score double").filter(F.col("score") < THRESHOLD).select(names)
+    names, own = [F.col(f"`{c}`") for c in docs.columns], free_name(docs, "score")
+    carried = docs.select(F.lit(0).alias(f"{own}1"), F.col("text").alias(f"{own}2"), *names)
+    kept = carried.mapInArrow(_scorer(model, own), StructType([*docs.schema.fields, StructField(own, DoubleType())]))
+    return kept.filter(F.col(own) < THRESHOLD).select(names)

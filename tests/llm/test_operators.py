@@ -212,13 +212,15 @@ def test_toxicity_reads_words_to_their_end():
 
 
 def test_kernel_is_a_dot_product_of_shared_subsequences():
+    far = ["傻瓜蛋们", "笨猪头们", "أحمق", "غبيا", "मूर्ख", "बेवकूफ"]  # scripts beyond the first code points
+    assert (np.abs(toxicity.kernel(far, far) - np.diag(np.diag(toxicity.kernel(far, far)))) < 0.5 * np.diag(toxicity.kernel(far, far)).min()).all()
     k = toxicity.kernel(["idiot", "idxiot", "table", "ab"], ["idiot"])[:, 0]
     assert np.isclose(k[0], 1.0, atol=0.4) and k[0] > k[1] > k[2] >= 0 and k[3] == 0
     both = toxicity.kernel(["idiot", "clown", "moron"], ["idiot", "clown", "moron"])
     assert np.allclose(both, both.T, atol=1e-5) and (np.linalg.eigvalsh(both) > -1e-5).all()
 
 
-def test_toxicity_of_odd_input(spark):
+def test_toxicity_of_odd_input(spark, monkeypatch):
     texts, labels = made_toxic(200, 4)
     model = toxicity.train(texts, labels)
     out = toxicity.score(odd(spark), model).collect()
@@ -229,6 +231,15 @@ def test_toxicity_of_odd_input(spark):
     assert {r.score for r in toxicity.score(odd(spark), None).collect()} == {0.0}
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.fit(odd(spark), none) is None
+    many = frame(spark, texts).unionByName(frame(spark, ["another text"] * 3).withColumn("doc_id", F.lit(1).cast("long")))
+    marks = spark.createDataFrame([(i, v) for i, v in enumerate(labels)], "doc_id long, toxic int")
+    assert toxicity.fit(many, marks) is not None
+    monkeypatch.setattr(toxicity, "table", lambda *a: marks)
+    clash = frame(spark, texts).withColumn("score", F.lit("clash")).withColumn("Score1", F.lit(1))
+    kept = toxicity.stage(spark, clash, "")
+    assert kept.columns == clash.columns and {r.score for r in kept.collect()} == {"clash"}
+    by_hand = toxicity.score(clash, toxicity.fit(clash, marks)).filter("predicted = 0")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in by_hand.collect())
     assert toxicity.score(odd(spark).limit(0), model).count() == 0
 
 
