@@ -9,7 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from ravelin.llm.html_blocks import Block, blocks
+from ravelin.llm.html_blocks import Block, Node, blocks
 
 PATH_DIM = 256
 WORD_DIM = 96
@@ -20,7 +20,6 @@ PAGES = 1200
 EPOCHS = 8
 BATCH = 24
 SEED = 11
-SECTIONS = frozenset("article main section nav aside header footer form body".split())
 #: Blocks whose vectors are in memory as one array; the states of both directions are handed on from stretch to stretch.
 STRETCH = 512
 
@@ -45,21 +44,33 @@ def _word_bucket(word: str) -> int:
     return b
 
 
-def _path_vector(path) -> np.ndarray:
-    v = np.zeros(PATH_DIM, np.float32)
-    for k, (tag, marks) in enumerate(path):
-        v[_bucket("tag", tag, PATH_DIM)] = 1
-        if k == len(path) - 1:
-            v[_bucket("last", tag, PATH_DIM)] = 1
-        v[_bucket("pair", f"{path[k - 1][0] if k else ''}>{tag}", PATH_DIM)] = 1
-        for m in marks:
-            v[_bucket("mark", m, PATH_DIM)] = 1
-    for tag, marks in reversed(path):  # the nearest element that says what it is for
-        if marks or tag in SECTIONS:
-            v[_bucket("nearest", tag, PATH_DIM)] = 1
-            for m in marks:
-                v[_bucket("nearest", m, PATH_DIM)] = 1
-            break
+def _path_base(node: Node | None) -> np.ndarray:
+    """Of all elements of a path: tags, pairs of tags and marks. Kept at the
+    elements, so that each one is looked at once."""
+    chain = []
+    while node is not None and node.features is None:
+        chain.append(node)
+        node = node.parent
+    base = np.zeros(PATH_DIM, np.float32) if node is None else node.features
+    for n in reversed(chain):
+        base = base.copy()
+        base[_bucket("tag", n.tag, PATH_DIM)] = 1
+        base[_bucket("pair", f"{n.parent.tag if n.parent else ''}>{n.tag}", PATH_DIM)] = 1
+        for m in n.marks:
+            base[_bucket("mark", m, PATH_DIM)] = 1
+        n.features = base
+    return base
+
+
+def _path_vector(node: Node | None) -> np.ndarray:
+    v = _path_base(node).copy()
+    if node is None:
+        return v
+    v[_bucket("last", node.tag, PATH_DIM)] = 1
+    if node.nearest is not None:
+        v[_bucket("nearest", node.nearest.tag, PATH_DIM)] = 1
+        for m in node.nearest.marks:
+            v[_bucket("nearest", m, PATH_DIM)] = 1
     return v
 
 
@@ -68,9 +79,9 @@ def vectors(page: list[Block]) -> np.ndarray:
     out = np.zeros((len(page), DIM), np.float32)
     seen: dict = {}
     for i, b in enumerate(page):
-        if b.path not in seen:
-            seen[b.path] = _path_vector(b.path)
-        out[i, :PATH_DIM] = seen[b.path]
+        if id(b.path) not in seen:  # blocks of one element stand together, and the page holds its elements
+            seen[id(b.path)] = _path_vector(b.path)
+        out[i, :PATH_DIM] = seen[id(b.path)]
         words = b.text.split()
         counts = np.bincount(np.fromiter(map(_word_bucket, words), np.int64, len(words)), minlength=WORD_DIM)
         out[i, PATH_DIM : PATH_DIM + WORD_DIM] = counts / np.sqrt((counts**2).sum())
@@ -81,9 +92,9 @@ def vectors(page: list[Block]) -> np.ndarray:
             float(b.text[-1] in ".!?:;\"”"),
             min(1.0, 8 * sum(map(b.text.count, ".,;")) / n),
             float(i == 0),
-            len(b.path) / 8,
+            (b.path.depth if b.path else 0) / 8,
             float("©" in b.text or "·" in b.text),
-            float(any(t == "hidden" for _, marks in b.path for t in marks)),
+            float(b.path is not None and b.path.hidden),
         )
     return out
 

@@ -640,13 +640,15 @@ def test_blocks_and_texts(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_long_pages_lose_nothing():
-    model = html_model.trained()
-    texts = [f"Paragraph number {i} with some words." for i in range(1500)]
-    page = "<body><nav><a>Home</a></nav><article>" + "".join(f"<p>{t}</p>" for t in texts) + "</article>"
-    got = html_extract.main_texts(model, [page])[0]
-    assert got.startswith(texts[0]) and len(got) > 0.97 * len(" ".join(texts))
-    assert html.unescape("&amp;") == "&"
+def test_odd_markup_takes_linear_time():
+    n = 30_000
+    assert len(html_blocks.blocks("<div>x" * n)) == n
+    for page in ('<a href="x>y ' * n + "'", '<p title="abc ' * n, "<a <a " * n, "<div>" * n + "</span></section>" * n + "<li>x" * n):
+        html_blocks.blocks(page)
+    assert [b.text for b in html_blocks.blocks("a < b <p title='x>y'>c <i d")] == ["a < b", "c <i d"]
+    deep = html_blocks.blocks("<nav><div class=menu>" + "<div>" * 3000 + "x")[0]
+    assert deep.path.depth == 3002 and deep.path.nearest.marks == ("menu",)
+    assert html_model.vectors([deep]).shape == (1, html_model.DIM)
 
 
 def test_labels_see_the_whole_page():
@@ -670,7 +672,7 @@ def test_labels_see_the_whole_page():
 
 def test_long_pages_keep_every_character():
     model = html_model.trained()
-    texts = [f"Paragraph number {i} with some words." for i in range(1500)]
+    texts = [f"Paragraph number {i} with some words." for i in range(5000)]
     page = "<body><nav><a>Home</a></nav><article>" + "".join(f"<p>{t}</p>" for t in texts) + "</article>"
     assert html_extract.main_texts(model, [page]) == [" ".join(texts)]
 
@@ -679,7 +681,7 @@ def test_marks_after_many_classes_count():
     many = "flex items-center justify-between px-4 py-2 text-sm text-gray-500 rounded-lg shadow-md mt-8"
     for late, mark in (('id="comments"', "comments"), ("hidden", "hidden"), ('style="display:none"', "hidden"), ('role="navigation"', "navigation")):
         (block,) = html_blocks.blocks(f'<div class="{many} w-full" {late}>x</div>')
-        assert mark in block.path[0][1] and {"flex", "full"} <= set(block.path[0][1])
+        assert mark in block.path.marks and {"flex", "full"} <= set(block.path.marks)
 
 
 # The pipeline
