@@ -220,6 +220,32 @@ def test_kernel_is_a_dot_product_of_shared_subsequences():
     assert np.allclose(both, both.T, atol=1e-5) and (np.linalg.eigvalsh(both) > -1e-5).all()
 
 
+def brute_features(word):
+    """Subsequences of three letters within SPAN letters, by hand."""
+    padded = toxicity.EDGE + word + toxicity.EDGE
+    found, norm = collections.defaultdict(float), 0.0
+    for i in range(len(padded)):
+        for j in range(i + 1, len(padded)):
+            for k in range(j + 1, min(len(padded), i + toxicity.SPAN)):
+                w = toxicity.DECAY ** (k - i - 2)
+                found[padded[i] + padded[j] + padded[k]] += w
+                norm += w * w
+    return {f: w / norm**0.5 for f, w in found.items()}
+
+
+def test_kernel_and_margins_by_brute_force():
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdez09") for _ in range(rng.randint(3, 9))) for _ in range(40)]
+    maps = [brute_features(w) for w in words]
+    want = [[sum(x * b.get(f, 0.0) for f, x in a.items()) for b in maps[:12]] for a in maps]
+    assert np.allclose(toxicity.kernel(words, words[:12]), want, atol=1e-5)
+    weights = np.random.default_rng(1).normal(size=toxicity.CODES**3).astype(np.float32)
+    code = lambda c: int(toxicity._code_table()[ord(c)])
+    place = lambda f: (code(f[0]) * toxicity.CODES + code(f[1])) * toxicity.CODES + code(f[2])
+    got = toxicity.Model(weights, 0.25).margins([*words, "ab"])
+    assert np.allclose(got[:-1], [0.25 + sum(x * weights[place(f)] for f, x in m.items()) for m in maps], atol=1e-4) and got[-1] == toxicity.SHORT
+
+
 def test_toxicity_of_odd_input(spark, monkeypatch):
     texts, labels = made_toxic(200, 4)
     model = toxicity.train(texts, labels)
@@ -479,6 +505,62 @@ def test_fertility_counts_and_bands(spark):
     assert fertility.judge(odd(spark).drop("lang")).count() == 9
 
 
+def test_fertility_by_brute_force(spark):
+    import base64
+
+    import public_tokenizers
+    import sentencepiece
+    import tiktoken
+
+    rng = random.Random(4)
+    pools = {"en": "the quick brown fox jumps over lazy dogs while wizards brew it's 42 #tag potions".split(), "ru": "мир труд май слово дело время рука".split(), "zz": "naïve café 中文 字 🎉 x1y2 ünïcode".split()}
+    rows = []
+    for i in range(150):
+        lang = rng.choice([*pools, None])
+        pool = pools.get(lang, pools["en"])
+        words = [rng.choice(pool) if rng.random() < 0.9 else "".join(rng.choice("qzxj#é~") for _ in range(9)) for _ in range(rng.choice([5, 60, 90, 200]))]
+        if rng.random() < 0.1:
+            words = words[:3] * 30
+        rows.append((i, rng.choice([" ", "\n", " \n"]).join(words) + rng.choice(["", "\na b\na b", "\n"]), lang))
+    with open(vocabulary(fertility.BYTES), "rb") as f:
+        bpe_ = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, special_tokens={})
+    pieces = sentencepiece.SentencePieceProcessor(model_file=vocabulary(fertility.PIECES))
+    want = {}
+    for i, text, lang in rows:
+        w = text.split()
+        grams = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+        covered = {j + k for j in range(len(w) - 2) for k in range(3) if grams[tuple(w[j : j + 3])] > 1}
+        lines = [x for x in text.split("\n") if x.strip()]
+        ids = [t for x in w for t in pieces.encode(x)]
+        share = [n / len(ids) for n in collections.Counter(ids).values()]
+        chars = sum(map(len, w))
+        script = collections.Counter()
+        for x in w:
+            first = next((c for c in x if c.isalpha()), None)
+            if first:
+                script["latin" if ord(first) < 0x250 else "cyrillic" if 0x400 <= ord(first) < 0x530 else "kana_han"] += len(x)
+        name = max(script, key=lambda x: (script[x], -fertility.SCRIPTS.index(x))) if script else "other"
+        want[i] = {
+            "n_words": len(w), "word_chars": chars, "n_symbols": sum(text.count(c) for c in "#*$%&|<>"), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(covered),
+            "base_failed": len(w) < 50 or 100 * len(covered) > 50 * len(w), "band": f"{name}:{lang}" if lang in fertility.LANGS else name,
+            "bpe_chars": chars / sum(len(bpe_.encode_ordinary(" " + x)) for x in w), "piece_chars": chars / len(ids), "fallback": sum(pieces.IsByte(t) for t in ids) / len(ids), "entropy": -sum(p * np.log2(p) for p in share),
+        }
+    middle = lambda values: sorted(values)[(len(values) + 1) // 2 - 1]  # noqa: E731 - the percentile is one of the values
+    for r in want.values():
+        band = [x for x in want.values() if x["band"] == r["band"]]
+        inside = r["fallback"] <= middle([x["fallback"] for x in band]) + fertility.MAX_FALLBACK
+        for x, (below, above, least) in fertility.BANDS.items():
+            mid = middle([b[x] for b in band])
+            off = middle([abs(b[x] - mid) for b in band])
+            inside &= mid - max(below * off, least * mid) - 1e-9 <= r[x] <= mid + max(above * off, least * mid) + 1e-9
+        r["kept"] = inside and not r["base_failed"]
+    out = {r.doc_id: r for r in fertility.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    for i, r in want.items():
+        for name, value in r.items():
+            assert out[i][name] == (pytest.approx(value, abs=1e-9) if isinstance(value, float) else value), (i, name)
+    assert {r["kept"] for r in want.values()} == {True, False}
+
+
 # 8
 
 #: A known small file (ten by ten pixels in three colours) and its samples' first and last rows.
