@@ -187,6 +187,11 @@ def _nest(pairs: list[tuple[str, Column]]) -> Column:
 MEMBERS = "map<string,variant>"
 
 
+def _same(f: Field) -> tuple:
+    """Fields that are alike in this have the same value."""
+    return f.source, tuple(map(str, f.translate.items())), f.otherwise, f.coerce
+
+
 def _rest(v: Column, kind: Kind, took: list[tuple[str, Column, Column]]) -> Column:
     """Members that no field took, as one map: of each listed object by their
     own names, qualified by the object where an earlier one gave the name. A
@@ -218,36 +223,35 @@ def normalize(records: DataFrame, definition: Definition, col: str = "record") -
     parsed = records.withColumn("__v", F.when(F.monotonically_increasing_id() >= 0, F.try_parse_json(col)))
     v = F.col("__v")
     is_object = F.startswith(F.schema_of_variant(v), F.lit("OBJECT"))
+    # each path is read once and each value made once: as columns of their own, which the optimizer does not repeat
+    paths = {p: f"__p{i}" for i, p in enumerate(sorted({f.source for k in definition.kinds for f in k.fields if f.source}))}
+    asked = {p: f"__w{i}" for i, p in enumerate(sorted({p for k in definition.kinds for p in k.when}))}
+    rows = parsed.withColumns({"__o": is_object} | {c: source_path(v, p, "variant") for p, c in asked.items()} | {c: F.when(~x.isin(*definition.nil), x) if definition.nil else x for p, c in paths.items() for x in [source_path(v, p)]})
     matched = F.lit(None).cast("int")
     for i, k in reversed(list(enumerate(definition.kinds))):
         test = F.lit(True)
         for path, want in k.when.items():
             kind = "boolean" if isinstance(want, bool) else "bigint" if isinstance(want, int) else "string"
-            same = source_path(v, path, kind) == want
-            shape = F.schema_of_variant(F.coalesce(*[F.try_variant_get(v, "$" + "".join(f"['{p}']" for p in g), "variant") for g in (path.split("."), [path])]))
-            test &= F.coalesce(same & (shape == kind.upper()), F.lit(False))
+            found = F.col(asked[path])
+            test &= F.coalesce((F.schema_of_variant(found) == kind.upper()) & (F.try_variant_get(found, "$", kind) == want), F.lit(False))
         matched = F.when(test, i).otherwise(matched)
-    rows = parsed.withColumn("__k", F.when(is_object, matched))
-    # each path is read once and each value made once: as columns of their own, which the optimizer does not repeat
-    paths = {p: f"__p{i}" for i, p in enumerate(sorted({f.source for k in definition.kinds for f in k.fields if f.source}))}
-    read = {c: source_path(v, p) for p, c in paths.items()}
-    rows = rows.withColumns({c: F.when(~x.isin(*definition.nil), x) if definition.nil else x for c, x in read.items()})
-    event, issues, uid, name, rest = (F.lit(None).cast(t) for t in ("string", "array<struct<target:string,source:string,reason:string>>", "int", "string", "string"))
-    made: dict[str, Column] = {}
-    for i, k in enumerate(definition.kinds):
-        reasons = []
-        for j, f in enumerate(k.fields):
-            made[f"__v{i}_{j}"], why = _value(F.col(paths[f.source]) if f.source else F.lit(None), f)
-            reasons.append(F.struct(F.lit(f.target).alias("target"), F.lit(f.source or "").alias("source"), why.alias("reason")))
-        made[f"__i{i}"] = F.array(*reasons)
+    made: dict[str, Column] = {"__k": F.when(F.col("__o"), matched)}
+    values: dict[tuple, str] = {}
+    for f in (f for k in definition.kinds for f in k.fields if f.source):
+        if _same(f) not in values:
+            n = values[_same(f)] = f"__v{len(values)}"
+            made[n], made[f"{n}w"] = _value(F.col(paths[f.source]), f)
     rows = rows.withColumns(made)
+    event, issues, uid, name, rest = (F.lit(None).cast(t) for t in ("string", "array<struct<target:string,source:string,reason:string>>", "int", "string", "string"))
     for i, k in enumerate(definition.kinds):
-        own = F.to_json(_nest([(f.target, F.col(f"__v{i}_{j}")) for j, f in enumerate(k.fields)]))
+        own = F.to_json(_nest([(f.target, F.col(values[_same(f)]) if f.source else F.lit(f.constant)) for f in k.fields]))
+        reasons = F.array(*[F.struct(F.lit(f.target).alias("target"), F.lit(f.source).alias("source"), F.col(f"{values[_same(f)]}w").alias("reason")) for f in k.fields if f.source])
         here = F.col("__k") == i
-        event, issues = F.when(here, own).otherwise(event), F.when(here, F.filter(F.col(f"__i{i}"), lambda x: x["reason"].isNotNull())).otherwise(issues)
+        event, issues = F.when(here, own).otherwise(event), F.when(here, F.filter(reasons, lambda x: x["reason"].isNotNull())).otherwise(issues)
         uid, name = F.when(here, k.class_uid).otherwise(uid), F.when(here, k.name).otherwise(name)
-        took = [(f.source, F.col(paths[f.source]), F.col(f"__i{i}")[j]["reason"]) for j, f in enumerate(k.fields) if f.source]
+        took = [(f.source, F.col(paths[f.source]), F.col(f"{values[_same(f)]}w")) for f in k.fields if f.source]
         rest = F.when(here, F.to_json(_rest(v, k, took))).otherwise(rest)
+    is_object = F.col("__o")
     return rows.select(
         *records.columns,
         name.alias("kind"),
