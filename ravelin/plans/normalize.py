@@ -249,7 +249,8 @@ def normalize(records: DataFrame, definition: Definition, col: str = "record") -
         here = F.col("__k") == i
         event, issues = F.when(here, own).otherwise(event), F.when(here, F.filter(reasons, lambda x: x["reason"].isNotNull())).otherwise(issues)
         uid, name = F.when(here, k.class_uid).otherwise(uid), F.when(here, k.name).otherwise(name)
-        took = [(f.source, F.col(paths[f.source]), F.col(f"{values[_same(f)]}w")) for f in k.fields if f.source]
+        # fingerprints keep their text as well, where rules read it
+        took = [(f.source, F.col(paths[f.source]), F.col(f"{values[_same(f)]}w")) for f in k.fields if f.source and f.coerce != "fingerprints"]
         rest = F.when(here, F.to_json(_rest(v, k, took))).otherwise(rest)
     is_object = F.col("__o")
     return rows.select(

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ravelin.functions import text as T
-from ravelin.plans import sigma
+from ravelin.plans import mappings, normalize, sigma
+from ravelin.sources import definitions
 from ravelin.sources.adapter import EVENTS_SQL, events, table
 
 PART = sigma.Fields({"name": ["p_name"], "type": ["p_type"], "brand": ["p_brand"], "any": ["p_name", "p_type"], "size": ["p_size"], "price": ["p_retailprice"]}, ["p_name", "p_type", "p_brand"], ascii_only=True)
@@ -113,6 +114,48 @@ LARGE_SQL = f"""WITH {EV}, n AS (SELECT i::INT AS i, i // 6 % 4 AS kind, [2004,
   UNION SELECT id, i FROM e JOIN n ON kind = 2 AND host = h AND contains(user_name, 'r' || (i % 150)) AND contains(user_name, (i % 10)::VARCHAR) AND NOT coalesce(value < i % 60, false) AND (cls IS NULL OR class_uid = cls)
   UNION SELECT id, i FROM e JOIN n ON kind = 3 AND ends_with(src_ip, '.' || (i % 256)) AND regexp_matches(user_name, '^user[0-9]*' || lpad((i % 100)::VARCHAR, 2, '0') || '$') AND (cls IS NULL OR class_uid = cls)"""
 
+
+#: Rules as products' rule sets write them, which find their fields by the shipped mappings.
+MAPPED = [
+    ({"category": "process_creation"}, {"s": {"Image|endswith": ["\\error.exe", "\\view.exe"], "CommandLine|contains": " -k 1"}, "f": {"OriginalFileName": "HOST-3.exe"}, "condition": "s and not f"}),
+    ({"category": "process_creation"}, {"s": {"Hashes|contains": "md5=0"}, "condition": "s"}),
+    ({"category": "network_connection"}, {"s": {"DestinationIp|cidr": "10.0.2.0/23", "DestinationPort": [1, 2, 3, 4, 5], "Initiated": "true"}, "condition": "s"}),
+    ({"category": "file_event"}, {"s": {"TargetFilename|startswith": "d:\\user1", "ParentImage": None}, "condition": "s"}),
+]
+
+
+def _sysmon_records(spark, d):
+    """Each event as a record of the system monitor, of three kinds."""
+    system = F.struct(
+        F.struct(F.struct(F.lit("Microsoft-Windows-Sysmon").alias("Name")).alias("#attributes")).alias("Provider"),
+        F.element_at(F.array(F.lit(1), F.lit(3), F.lit(11)), (F.col("id") % 3 + 1).cast("int")).alias("EventID"),
+        F.col("host").alias("Computer"),
+        F.col("id").alias("EventRecordID"),
+    )
+    data = F.struct(
+        F.concat(F.lit("C:\\w\\"), "source", F.lit(".exe")).alias("Image"),
+        F.concat(F.lit("run -u "), "user_name", F.lit(" -k "), F.col("k").cast("string")).alias("CommandLine"),
+        F.concat("host", F.lit(".exe")).alias("OriginalFileName"),
+        F.concat(F.lit("MD5="), F.md5("user_name"), F.lit(",SHA256="), F.sha2("user_name", 256)).alias("Hashes"),
+        F.col("src_ip").alias("DestinationIp"),
+        F.col("k").cast("string").alias("DestinationPort"),
+        F.when(F.col("id") % 2 == 0, "true").otherwise("false").alias("Initiated"),
+        F.concat(F.lit("D:\\"), "user_name", F.lit(".txt")).alias("TargetFilename"),
+    )
+    return events(spark, d).select("id", F.to_json(F.struct(F.struct(system.alias("System"), data.alias("EventData")).alias("Event"))).alias("record"))
+
+
+def _mapped(spark, d):
+    normalized = normalize.normalize(_sysmon_records(spark, d), definitions.sources()["sysmon"][2])
+    rules = [sigma.load({"title": "query", "logsource": source | {"product": "windows"}, "detection": detection}) for source, detection in MAPPED]
+    return mappings.match(normalized, rules, mappings.shipped()).select("id", F.explode("rules").alias("rule"))
+
+
+MAPPED_SQL = f"""WITH {EV} SELECT id, 0 AS rule FROM e WHERE id % 3 = 0 AND source IN ('error', 'view') AND contains('run -u ' || user_name || ' -k ' || k, ' -k 1') AND host <> 'host-3'
+  UNION ALL SELECT id, 1 FROM e WHERE id % 3 = 0 AND md5(user_name)[1] = '0'
+  UNION ALL SELECT id, 2 FROM e WHERE id % 3 = 1 AND split_part(src_ip, '.', 3) IN ('2', '3') AND k BETWEEN 1 AND 5 AND id % 2 = 0
+  UNION ALL SELECT id, 3 FROM e WHERE id % 3 = 2 AND starts_with(user_name, 'user1')"""
+
 _NAME = "lower(p_name)"
 QUERIES = {
     "sigma_equals": _part({"s": {"type": ["STANDARD", "promo tin", "economy"], "brand": "brand#11"}, "t": {"name|contains": "1"}, "condition": "s or t"}, "lower(p_type) IN ('standard','promo tin','economy') AND lower(p_brand) = 'brand#11' OR contains(lower(p_name), '1')"),
@@ -141,4 +184,5 @@ QUERIES = {
     "sigma_keyword": _ev({"k": ["host-1", "purch*e"], "condition": "k"}, "contains(host, 'host-1') OR source LIKE '%purch%e%'"),
     "sigma_multi_rule": (_multi, MULTI_SQL),
     "sigma_rule_set": (_large, LARGE_SQL),
+    "sigma_mapped": (_mapped, MAPPED_SQL),
 }
