@@ -192,6 +192,12 @@ def _same(f: Field) -> tuple:
     return f.source, tuple(map(str, f.translate.items())), f.otherwise, f.coerce
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: a lambda's other columns are
+    computed anew for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _rest(v: Column, kind: Kind, took: list[tuple[str, Column, Column]]) -> Column:
     """Members that no field took, as one map: of each listed object by their
     own names, qualified by the object where an earlier one gave the name. A
@@ -206,13 +212,18 @@ def _rest(v: Column, kind: Kind, took: list[tuple[str, Column, Column]]) -> Colu
         return F.lit("." in kind.unmapped) & F.try_variant_get(v, "$['" + path.replace("'", "\\'") + "']", "variant").isNotNull()
 
     lost = [F.when(why.isNotNull() & ~direct(p), F.struct(F.lit(p), source_path(v, p, "variant"))) for p, _, why in took if not any(inside(p, o) for o in kind.unmapped if o != ".")]
-    kept = F.map_from_entries(F.array_compact(F.array(*lost))) if lost else F.expr(f"cast(map() as {MEMBERS})")
+    none = F.expr(f"cast(map() as {MEMBERS})")
+    kept = F.map_from_entries(F.array_compact(F.array(*lost))) if lost else none
     for obj in kind.unmapped:
-        members = F.coalesce(F.try_variant_get(v, "$", MEMBERS) if obj == "." else source_path(v, obj, MEMBERS), F.expr(f"cast(map() as {MEMBERS})"))
+        members = F.coalesce(F.try_variant_get(v, "$", MEMBERS) if obj == "." else source_path(v, obj, MEMBERS), none)
         taken = F.array_compact(F.array(*[F.when(x.isNotNull() & why.isNull(), n) for p, x, why in took if (n := inside(p, obj))])).cast("array<string>")
-        own = F.map_filter(members, lambda n, x: ~F.array_contains(taken, n) & ~F.is_variant_null(x))
-        own = F.transform_keys(own, lambda n, _: F.when(F.map_contains_key(kept, n), F.concat(F.lit(f"{obj}."), n)).otherwise(n))  # noqa: B023
-        kept = F.map_concat(kept, F.map_filter(own, lambda n, _: ~F.map_contains_key(kept, n)))
+
+        def joined(k: Column, obj=obj, members=members, taken=taken) -> Column:
+            own = let(taken, lambda t: F.map_filter(members, lambda n, x: ~F.array_contains(t, n) & ~F.is_variant_null(x)))
+            own = F.transform_keys(own, lambda n, _: F.when(F.map_contains_key(k, n), F.concat(F.lit(f"{obj}."), n)).otherwise(n))
+            return F.map_concat(k, F.map_filter(own, lambda n, _: ~F.map_contains_key(k, n)))
+
+        kept = let(kept, lambda k: joined(k))  # noqa: PLW0108, B023 - a lambda has one parameter here
     return kept
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ravelin.functions import text as T
 from ravelin.operators import health, overview
-from ravelin.operators.search import Filter, Search, findings_queue, matching, page
+from ravelin.operators.search import Filter, Schema, Search, findings_queue, matching, page
+from ravelin.queries import ingest
 from ravelin.sources.adapter import EVENTS_SQL, events, table
 
 DAY = 86_400_000
@@ -34,6 +35,18 @@ def _gaps(filters, where):
     return lambda spark, d: matching(_partial(spark, d), s).select("id"), f"{GAPS} SELECT id FROM e WHERE time >= {s.from_ms} AND time < {s.to_ms} AND ({where})"
 
 
+def _searchable(spark, d):
+    """Normalized events with their time."""
+    return ingest._normalized(spark, d).filter("stage is null").join(events(spark, d).select("id", "time"), "id")
+
+
+def _inner(filters, where, classes=None):
+    """A search of paths within events and of what they left."""
+    s = Search(START, START + 30 * DAY, classes or [], filters)
+    own = f" AND class_uid IN ({', '.join(map(str, classes))})" if classes else ""
+    return lambda spark, d: matching(_searchable(spark, d), s, Schema.of([ingest.SOURCE])).select("id"), f"{ingest.OUT_SQL} SELECT id FROM o WHERE stage IS NULL AND time >= {START} AND time < {START + 30 * DAY}{own} AND ({where})"
+
+
 PAGE = Search(START, START + 30 * DAY, [2004, 3001], [], 50)
 
 
@@ -107,6 +120,12 @@ def _customer_runs(spark, d):
     return table(spark, d, "orders").select(F.col("o_custkey").alias("who"), at.alias("lo"), (at + F.col("o_orderkey") % 60 + 1).alias("hi"))
 
 
+def _findings_next(spark, d):
+    """The page after the first one, by the key of its last row."""
+    last = findings_queue(events(spark, d)).agg(F.min(F.struct("severity_id", "time", "id")).alias("x")).first().x
+    return findings_queue(events(spark, d), after=(last.severity_id, last.time, last.id)).select("id", "severity_id", "time")
+
+
 def _by_cursor(spark, d):
     """The first event of each user by its place, and a place without an event."""
     first = events(spark, d).groupBy("user_name").agg(F.min(F.struct("time", "id")).alias("c")).select("c.*")
@@ -127,10 +146,14 @@ QUERIES = {
     "search_exists": _gaps([Filter("value", "exists"), Filter("host", "exists")], "value IS NOT NULL AND host IS NOT NULL"),
     "search_missing": _gaps([Filter("value", "missing")], "value IS NULL"),
     "search_float": _search([Filter("value", "gt", 50)], "value > 50"),
-    "search_unmapped": _search([Filter("props", "contains", '"k": 1')], """contains(lower(props), '"k": 1')"""),
+    "search_unmapped": _inner([Filter("unmapped.extra", "in", [2, 4]), Filter("unmapped.note", "not_equals", "-")], "severity_id IN (2, 4) AND id % 4 <> 0"),
+    "search_unmapped_text": _inner([Filter("unmapped.extra", "equals", "4")], "false"),
+    "search_nested": _inner([Filter("actor.user.name", "starts_with", "USER1"), Filter("web.k", "gte", 50)], "starts_with(user_name, 'user1') AND k >= 50", [6003]),
+    "search_object": _inner([Filter("src_endpoint", "exists"), Filter("finding", "missing")], "source = 'view' AND id % 13 <> 0"),
     "search_page": (lambda spark, d: page(events(spark, d), PAGE).select("id", "time"), f"{EV} SELECT * FROM ({PAGE_SQL})"),
     "search_next_page": (_next_page, f"{EV} SELECT * FROM ({PAGE_SQL} OFFSET 50)"),
     "findings_queue": (lambda spark, d: findings_queue(events(spark, d)).select("id", "severity_id", "time"), f"{EV} SELECT id, severity_id, time FROM ev WHERE class_uid = 2004 ORDER BY severity_id DESC, time DESC, id DESC LIMIT 100"),
+    "findings_next": (_findings_next, f"{EV} SELECT id, severity_id, time FROM ev WHERE class_uid = 2004 ORDER BY severity_id DESC, time DESC, id DESC LIMIT 100 OFFSET 100"),
     "event_by_cursor": (_by_cursor, f"{EV}, c AS (SELECT user_name, min({{'time': time, 'id': id}}) AS c FROM ev GROUP BY 1) SELECT id, time, source, severity_id FROM ev JOIN c ON c.time = time AND c.id = id UNION ALL SELECT 1, 7, NULL, NULL"),
     "range_scan_received": (lambda spark, d: overview.received_between(events(spark, d), START + DAY, START + 3 * DAY).select("id", "received"), f"{EV} SELECT id, received FROM ev WHERE received >= {START + DAY} AND received < {START + 3 * DAY}"),
     "severity_facets": (lambda spark, d: events(spark, d).groupBy("severity_id").agg(F.count("*").alias("n")), f"{EV} SELECT severity_id, count(*) AS n FROM ev GROUP BY 1"),

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ravelin.operators import graph, overview
-from ravelin.operators.search import Filter, Search, SearchError, check
+from ravelin.operators.search import Filter, Schema, Search, SearchError, check, matching, run
 from ravelin.plans import normalize as N
 from ravelin.sources import decoding as D
 
@@ -104,6 +104,61 @@ def test_refused_searches(spark, search):
         check(search, spark.createDataFrame([], "time long, s string, n long, arr array<int>"))
 
 
+NESTED = N.load({"name": "x", "kinds": [{"name": "a", "when": {"t": "a"}, "class": 1007, "fields": {"u.name": "who", "u.n": {"from": "n", "as": "integer"}, "severity_id": {"from": "sev", "as": "integer"}, "both": "b", "list.0.x": "x", "big": {"from": "at", "as": "timestamp"}}}, {"name": "b", "when": {"t": "b"}, "class": 4001, "fields": {"both": {"from": "b", "as": "integer"}, "ok": {"from": "ok", "map": {"y": "1"}}}}]})
+SCHEMA = Schema.of([NESTED])
+
+
+@pytest.mark.parametrize(
+    "search",
+    [
+        Search(0, 1, [9], [Filter("u.name", "equals", "x")]),
+        Search(0, 1, [4001], [Filter("u.name", "equals", "x")]),
+        Search(0, 1, [], [Filter("both", "exists")]),
+        Search(0, 1, [], [Filter("nothing", "exists")]),
+        Search(0, 1, [], [Filter("u", "equals", "x")]),
+        Search(0, 1, [], [Filter("u.name", "gt", 3)]),
+        Search(0, 1, [], [Filter("u.name", "exists", 3)]),
+        Search(0, 1, [], [Filter("u..name", "exists")]),
+        Search(0, 1, [], [Filter("list.0.x", "equals", "x")]),
+        Search(0, 1, [], [Filter("severity_id", "equals", 7)]),
+        Search(0, 1, [], [Filter("unmapped.x", "in", [1, "a"])]),
+        Search(0, 1, [], [Filter("unmapped.x", "contains", 1)]),
+        Search(0, 1, [], [Filter("unmapped.x", "equals", [1])]),
+    ],
+)
+def test_searches_within_events_are_checked(spark, search):
+    with pytest.raises(SearchError):
+        check(search, spark.createDataFrame([], "time long, class_uid int, event string, unmapped string"), SCHEMA)
+
+
+def test_searches_within_events(spark):
+    rows = [
+        (1, 10, 1007, '{"u":{"name":"Adam","n":5},"severity_id":3}', '{"x":1,"y":"1","z":{"w":true}}'),
+        (2, 11, 1007, '{"u":{"n":7}}', '{"x":"1"}'),
+        (3, 12, 4001, '{"both":4}', "{}"),
+        (4, 13, 4001, None, None),
+        (5, 14, 1007, '{"u":{},"big":1704164645000}', '{"x":1.5}'),
+    ]
+    events = spark.createDataFrame(rows, "id long, time long, class_uid int, event string, unmapped string")
+
+    def ids(*filters, classes=()):
+        return {r.id for r in matching(events, Search(1, 100, list(classes), list(filters)), SCHEMA).collect()}
+
+    assert ids(Filter("u.name", "equals", "ADAM")) == {1} and ids(Filter("u.n", "gte", 5)) == {1, 2} and ids(Filter("u.name", "not_equals", "adam")) == {2, 3, 4, 5}
+    assert ids(Filter("u", "exists")) == {1, 2} and ids(Filter("u", "missing")) == {3, 4, 5} and ids(Filter("unmapped", "exists")) == {1, 2, 5}
+    assert ids(Filter("unmapped.x", "equals", 1)) == {1} and ids(Filter("unmapped.x", "equals", "1")) == {2} and ids(Filter("unmapped.x", "gt", 1.2)) == {5}
+    assert ids(Filter("unmapped.z.w", "equals", True)) == {1} and ids(Filter("unmapped.z", "exists")) == {1} and ids(Filter("both", "equals", 4), classes=[4001]) == {3}
+    assert ids(Filter("big", "gt", 1_704_164_644_999)) == {5} and ids(Filter("severity_id", "in", [3, 4])) == {1}
+    seen, search = [], Search(1, 100, limit=2)
+    while search:
+        page_, search = run(events, search, SCHEMA)
+        seen += [r.id for r in page_]
+    assert seen == [5, 4, 3, 2, 1]
+    slow = events.filter(F.expr("java_method('java.lang.Thread', 'sleep', cast(3000 as long)) is null"))
+    with pytest.raises(SearchError):
+        run(slow, Search(1, 100), SCHEMA, seconds=0.3)
+
+
 def test_cannot_link_pairs_stay_apart(spark):
     total = spark.createDataFrame([("a", "x", 5), ("b", "x", 3), ("b", "y", 9), ("c", "z", 1)], "one string, other string, events long")
     apart = spark.createDataFrame([("a", "b")], "a string, b string")
