@@ -141,6 +141,31 @@ def strength(form: Column, value: Column) -> Column:
     )
 
 
+#: Domains that every machine has: a name below one is no one's own.
+AUTHORITIES = ("nt authority", "nt service", "builtin", "window manager", "font driver host", "iis apppool", "workgroup", ".")
+
+
+def identity_strong(identity: Column) -> Column:
+    """Does an identifier ``kind:form:value`` name one thing without doubt?"""
+    kind, form, value = F.substring_index(identity, ":", 1), F.split_part(identity, F.lit(":"), F.lit(2)), F.regexp_replace(identity, r"^[^:]*:[^:]*:", "")
+    domain, name = F.substring_index(value, "\\", 1), F.regexp_replace(value, r"^[^\\]*\\", "")
+    return (
+        F.when((kind == "user") & (form == "sid"), value.startswith("s-1-5-21-") | value.startswith("s-1-12-1-"))
+        .when((kind == "user") & (form == "name") & value.contains("\\"), (name != "") & ~domain.isin(*AUTHORITIES))
+        .when((kind == "user") & (form == "name"), value.rlike("^[^@]+@.+$"))
+        .when((kind == "host") & (form == "name"), value.contains("."))
+        .when((kind == "host") & (form == "mac"), F.lit(False))
+        .otherwise(F.lit(True))
+    )
+
+
+def identity_rank(identity: Column) -> Column:
+    """Where an identifier stands among those of one thing, the lowest first."""
+    form = F.split_part(identity, F.lit(":"), F.lit(2))
+    order = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in ("sid", "uid", "email", "name", "local", "mac")]), form), F.lit(0))
+    return F.when(identity_strong(identity), 0).otherwise(10) + F.when(order > 0, order - 1).otherwise(6).cast("int")
+
+
 def band(confidence: Column) -> Column:
     """Confidence bands: 3 from 90, 2 from 50, else 1."""
     return F.when(confidence >= 90, 3).when(confidence >= 50, 2).otherwise(1)

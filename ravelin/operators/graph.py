@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ravelin.functions import text as T
 from ravelin.operators.lineage import cut
 
 HUB = 100
@@ -47,9 +48,14 @@ def degree(edges: DataFrame) -> DataFrame:
     return both_ways(edges).groupBy("node").agg(F.countDistinct("other").alias("degree"))
 
 
-def neighbours(edges: DataFrame, members: DataFrame, nodes: list[str], limit: int = FRONTIER) -> DataFrame:
+def neighbours(edges: DataFrame, members: DataFrame, nodes: list[str], limit: int = FRONTIER, seen_from=None, seen_to=None) -> DataFrame:
     """Neighbours of named nodes, by the entity that holds them where one does:
-    summed over time, the last seen first."""
+    summed over time, the last seen first. With a time range, links seen in it:
+    not last seen before ``seen_from`` nor first seen from ``seen_to`` on."""
+    if seen_from is not None:
+        edges = edges.filter(F.col("last_seen") >= seen_from)
+    if seen_to is not None:
+        edges = edges.filter(F.col("first_seen") < seen_to)
     near = both_ways(edges).filter(F.col("node").isin(nodes) & ~F.col("other").isin(nodes)).join(members, F.col("other") == F.col("identifier"), "left")
     per = near.groupBy(F.coalesce("entity", "other").alias("neighbour"), "direction", "link").agg(F.sum("events").alias("events"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
     return per.orderBy(F.desc("last_seen"), "neighbour", "direction", "link").limit(limit)
@@ -74,19 +80,55 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         least = big.groupBy("b").agg(F.min("a").alias("m"))
         small = big.join(least, "b")
         now = cut(small.select(F.least("a", "m").alias("a"), F.greatest("a", "m").alias("b")).unionByName(small.select(F.col("m").alias("a"), "b")).filter("a <> b").distinct())
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
+        mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64(F.lit(1), "b", "a"))).first()
         if mark == seen:
             return now.select(F.col("b").alias("node"), F.col("a").alias("entity"))
         seen = mark
     raise RuntimeError("components did not settle")
 
 
-def resolve(total: DataFrame, decided: DataFrame | None = None, different: DataFrame | None = None, spark=None) -> DataFrame:
+def _greedy(edges, apart):
+    """Join the ends of edges in order, but never the two sides of a pair that
+    is apart: (root of each node, edges that were refused). Each root keeps the
+    roots that it may not meet, and the smaller side moves."""
+    parent: dict = {}
+    held: dict = {}
+    size: dict = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in apart:
+        held.setdefault(root(a), set()).add(root(b))
+        held.setdefault(root(b), set()).add(root(a))
+    refused = 0
+    for a, b in edges:
+        x, y = root(a), root(b)
+        if x == y:
+            continue
+        if y in held.get(x, ()):
+            refused += 1
+            continue
+        if size.get(x, 1) < size.get(y, 1):
+            x, y = y, x
+        parent[y] = x
+        size[x] = size.get(x, 1) + size.get(y, 1)
+        for z in held.pop(y, ()):
+            held[z].discard(y)
+            held[z].add(x)
+            held.setdefault(x, set()).add(z)
+    return {n: root(n) for n in list(parent)}, refused
+
+
+def resolve(total: DataFrame, decided: DataFrame | None = None, different: DataFrame | None = None) -> DataFrame:
     """(identifier, entity) by greedy joining in order of ``same`` decisions,
-    then claims by falling count. Without cannot-link pairs, order does not
-    matter and components say it all; with them, only components that hold such
-    a pair are joined step by step, each in a task of its own."""
-    del spark
+    then claims by falling count; an entity is named by its least identifier.
+    Without cannot-link pairs, order does not matter and components say it all;
+    with them, only components that hold such a pair are joined step by step,
+    each in a task of its own."""
     edges = total.select(F.col("one").alias("a"), F.col("other").alias("b"))
     if decided is not None:
         edges = edges.unionByName(decided.select("a", "b"))
@@ -106,27 +148,125 @@ def resolve(total: DataFrame, decided: DataFrame | None = None, different: DataF
     def greedy(pdf):
         import pandas as pd
 
-        parent: dict = {}
-
-        def root(x):
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        apart = [tuple(x) for x in pdf.loc[pdf.kind == "different", ["a", "b"]].itertuples(index=False)]
+        apart = pdf.loc[pdf.kind == "different", ["a", "b"]].itertuples(index=False, name=None)
         order = pdf[pdf.kind != "different"].assign(first=lambda t: t.kind != "same").sort_values(["first", "w", "a", "b"], ascending=[True, False, True, True])
-        for a, b in order[["a", "b"]].itertuples(index=False):
-            x, y = root(a), root(b)
-            if x != y and not any({root(p), root(q)} == {x, y} for p, q in apart):
-                parent[max(x, y)] = min(x, y)
-        names = sorted(set(pdf.a) | set(pdf.b))
-        return pd.DataFrame({"identifier": names, "entity": [root(n) for n in names]})
+        of, _ = _greedy(order[["a", "b"]].itertuples(index=False, name=None), apart)
+        names: dict = {}
+        for n, r in of.items():
+            names[r] = min(names.get(r, n), n)
+        return pd.DataFrame({"identifier": list(of), "entity": [names[r] for r in of.values()]})
 
     kind = dict(nodes.dtypes)["node"]
     return calm.unionByName(hard.groupBy("entity").applyInPandas(greedy, f"identifier {kind}, entity {kind}"))
 
 
+RESOLVED = "identifier string, entity string, standing string, with string, rule string, events bigint, first_seen bigint, last_seen bigint"
+
+
+def resolve_identities(evidence: DataFrame, same: DataFrame | None = None, different: DataFrame | None = None, shared_over: int = SHARED) -> DataFrame:
+    """Which identifiers (texts ``kind:form:value``) are one entity: a row an
+    identifier and entity (``RESOLVED``), with the standing ``member``,
+    ``alias`` or ``shared``.
+
+    Two strong identifiers in one claim are one entity; nothing else joins but
+    ``same`` decisions (a, b). An identifier claimed with more than
+    ``shared_over`` strong ones of one form is shared and joins nothing; a weak
+    one is an alias of each entity it was claimed with. A claim that would join
+    the sides of a ``different`` pair is not followed: decisions come first, then
+    claims by falling count. An entity is named by its strongest identifier,
+    which has no ``with``; another member has the claim that brought it in, the
+    first followed that names it. Entities of one identifier are left out."""
+    claims = evidence.filter("one <> other").select("one", "other", "rule", "events", "first_seen", "last_seen")
+    form = lambda c: F.split_part(c, F.lit(":"), F.lit(2))
+    strong = lambda c: T.identity_strong(F.col(c))
+    each = claims.select(F.col("one").alias("id"), F.col("other").alias("partner")).unionByName(claims.select(F.col("other").alias("id"), F.col("one").alias("partner"))).filter(strong("partner"))
+    spread = cut(each.groupBy("id", form(F.col("partner")).alias("form")).agg(F.countDistinct("partner").alias("n")).filter(F.col("n") > shared_over).select("id").distinct())
+    good = claims.filter(strong("one") & strong("other"))
+    for c in ("one", "other"):
+        good = good.join(spread.select(F.col("id").alias(c)), c, "left_anti")
+    good = good.withColumn("said", F.lit(False))
+    if same is not None:
+        good = good.unionByName(same.select(F.col("a").alias("one"), F.col("b").alias("other"), F.lit("said").alias("rule"), *[F.lit(0).cast("bigint").alias(c) for c in ("events", "first_seen", "last_seen")], F.lit(True).alias("said")))
+    good = cut(good)
+    plain = components(good.select(F.col("one").alias("a"), F.col("other").alias("b")))
+    nodes = cut(plain.unionByName(plain.select(F.col("entity").alias("node"), "entity").distinct()).distinct())
+    # of each identifier, the claim that comes first
+    order = F.struct((~F.col("said")).alias("claim"), (-F.col("events")).alias("rank"), "one", "other", "rule")
+    row = F.struct(order.alias("order"), "one", "other", "rule", "events", "first_seen", "last_seen")
+
+    def first_claims(edges: DataFrame) -> DataFrame:
+        ends = edges.select(F.col("one").alias("identifier"), row.alias("r")).unionByName(edges.select(F.col("other").alias("identifier"), row.alias("r")))
+        return ends.groupBy("identifier").agg(F.min("r").alias("r"))
+
+    of = nodes.select(F.col("node").alias("identifier"), F.col("entity").alias("group"))
+    followed = good
+    if different is not None:
+        d = different.join(of.select(F.col("identifier").alias("a"), F.col("group").alias("ga")), "a").join(of.select(F.col("identifier").alias("b"), F.col("group").alias("gb")), "b").filter("ga = gb")
+        tense = cut(d.select(F.col("ga").alias("group")).distinct())
+        inside = good.join(of.select(F.col("identifier").alias("one"), "group"), "one")
+        pairs = d.select(F.col("a").alias("one"), F.col("b").alias("other"), F.lit(None).cast("string").alias("rule"), *[F.lit(0).cast("bigint").alias(c) for c in ("events", "first_seen", "last_seen")], F.lit(False).alias("said"), F.col("ga").alias("group"))
+        hard = inside.join(tense, "group", "left_semi").unionByName(pairs)
+
+        def step(pdf):
+            import pandas as pd
+
+            apart = pdf.loc[pdf.rule.isna(), ["one", "other"]].itertuples(index=False, name=None)
+            order_ = pdf[pdf.rule.notna()].assign(claim=lambda t: ~t.said, rank=lambda t: -t.events).sort_values(["claim", "rank", "one", "other", "rule"])
+            roots, _ = _greedy(order_[["one", "other"]].itertuples(index=False, name=None), apart)
+            names: dict = {}
+            for n, r in roots.items():
+                names[r] = min(names.get(r, n), n)
+            return pd.DataFrame({"identifier": list(roots), "part": [names[r] for r in roots.values()]})
+
+        parts = cut(hard.groupBy("group").applyInPandas(step, "identifier string, part string"))
+        calm = of.join(tense, "group", "left_anti")
+        of = cut(calm.select("identifier", "group").unionByName(parts.select("identifier", F.col("part").alias("group"))))
+        # a claim between two parts was not followed
+        followed = good.join(of.select(F.col("identifier").alias("one"), F.col("group").alias("g1")), "one").join(of.select(F.col("identifier").alias("other"), F.col("group").alias("g2")), "other").filter("g1 = g2").drop("g1", "g2")
+    sized = of.join(of.groupBy("group").agg(F.count("*").alias("n"), F.min(F.struct(T.identity_rank(F.col("identifier")).alias("rank"), "identifier"))["identifier"].alias("entity")), "group")
+    own = F.col("identifier") == F.col("entity")
+    members = sized.filter("n > 1").join(first_claims(followed), "identifier").select(
+        "identifier",
+        "entity",
+        F.lit("member").alias("standing"),
+        F.when(~own, F.when(F.col("r.one") == F.col("identifier"), F.col("r.other")).otherwise(F.col("r.one"))).alias("with"),
+        F.when(own, "").otherwise(F.col("r.rule")).alias("rule"),
+        *[F.when(own, 0).otherwise(F.col(f"r.{c}")).cast("bigint").alias(c) for c in ("events", "first_seen", "last_seen")],
+    )
+    nothing = [F.lit(0).cast("bigint").alias(c) for c in ("events", "first_seen", "last_seen")]
+    shared_rows = spread.select(F.col("id").alias("identifier"), F.col("id").alias("entity"), F.lit("shared").alias("standing"), F.lit(None).cast("string").alias("with"), F.lit("").alias("rule"), *nothing)
+    both = claims.select(F.col("one").alias("weak"), F.col("other").alias("strong"), "rule", "events", "first_seen", "last_seen").unionByName(claims.select(F.col("other").alias("weak"), F.col("one").alias("strong"), "rule", "events", "first_seen", "last_seen"))
+    tied = both.filter(~strong("weak") & strong("strong")).join(spread.select(F.col("id").alias("strong")), "strong", "left_anti").join(sized.select(F.col("identifier").alias("strong"), "entity"), "strong", "left").withColumn("entity", F.coalesce("entity", "strong"))
+    first = F.min(F.struct("strong", "rule", "events"))  # of several claims the first by its identifier
+    alias_rows = tied.groupBy("weak", "entity").agg(first.alias("f"), F.sum("events").cast("bigint").alias("events"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")).select(F.col("weak").alias("identifier"), "entity", F.lit("alias").alias("standing"), F.col("f.strong").alias("with"), F.col("f.rule").alias("rule"), "events", "first_seen", "last_seen")
+    return members.unionByName(shared_rows).unionByName(alias_rows)
+
+
+def decisions(text: str) -> tuple[list[tuple], list[tuple]]:
+    """(same, different) pairs of a decisions file: JSON or YAML with lists
+    ``same`` and ``different`` of pairs of identifiers, and who decided (``by``)."""
+    import json
+
+    try:
+        read = json.loads(text)
+    except ValueError:
+        import yaml
+
+        read = yaml.safe_load(text)
+    out: list[list[tuple]] = []
+    for kind in ("same", "different"):
+        rows = []
+        for x in (read or {}).get(kind) or []:
+            pair, by = (x["identifiers"], x.get("by", "")) if isinstance(x, dict) else (x, "")
+            if len(pair) != 2 or pair[0] == pair[1] or any(str(p).count(":") < 2 for p in pair):
+                raise ValueError(f"{x!r} is no pair of identifiers")
+            rows.append((*sorted(map(str, pair)), str(by)))
+        out.append(rows)
+    if both := {r[:2] for r in out[0]} & {r[:2] for r in out[1]}:
+        raise ValueError(f"{sorted(both)[0]} are the same and different")
+    return out[0], out[1]
+
+
 def _front(nodes: DataFrame, edges: DataFrame, named: list, hub: int) -> DataFrame:
     """Edges of the nodes that may be expanded: named ones and no hubs."""
     each = both_ways(edges)
@@ -155,29 +295,48 @@ def walk(edges: DataFrame, start: list, levels: int = 2, hub: int = HUB, frontie
     return reached.withColumn("complete", F.lit(complete))
 
 
-def path_length(edges: DataFrame, a, b, most: int = 4, hub: int = HUB) -> int | None:
-    """Links of the shortest path of at most ``most``, from both ends, the
-    smaller side first. A hub is no place to meet unless it is an end."""
+def shortest_path(edges: DataFrame, a, b, most: int = 4, hub: int = HUB) -> list | None:
+    """The nodes of a shortest path of at most ``most`` links, from both ends,
+    the smaller side first; None if there is none. A hub is no place to meet
+    unless it is an end. Of several ways the least node goes at each step; what
+    comes to the driver is one row a step."""
     kind = dict(edges.dtypes)["src"]
     spark = edges.sparkSession
-    sides = [spark.createDataFrame([(x,)], f"node {kind}") for x in (a, b)]
-    seen, sizes = list(sides), [1, 1]
     if a == b:
-        return 0
-    for steps in range(1, most + 1):
+        return [a]
+    levels = [[spark.createDataFrame([(x, None)], f"node {kind}, via {kind}")] for x in (a, b)]
+    seen, sizes = [x[0].select("node") for x in levels], [1, 1]
+    hubs = degree(edges).filter((F.col("degree") > hub) & ~F.col("node").isin([a, b])).select("node")
+    for _ in range(most):
         k = 0 if sizes[0] <= sizes[1] else 1
-        step = cut(_front(sides[k], edges, [a, b], hub).select(F.col("other").alias("node")).distinct().join(seen[k], "node", "left_anti"))
-        met = step.join(seen[1 - k], "node", "left_semi")
-        big = degree(edges).filter(F.col("degree") > hub).select("node")
-        if not met.join(big.filter(~F.col("node").isin([a, b])), "node", "left_anti").isEmpty():
-            return steps
-        sides[k], sizes[k] = step, step.count()
+        near = _front(levels[k][-1].select("node"), edges, [a, b], hub).join(seen[k].select(F.col("node").alias("other")), "other", "left_anti")
+        step = cut(near.groupBy(F.col("other").alias("node")).agg(F.min("node").alias("via")))
+        levels[k].append(step)
+        met = step.join(seen[1 - k], "node", "left_semi").join(hubs, "node", "left_anti").agg(F.min("node")).first()[0]
+        if met is not None:
+            sides = []
+            for level in levels:
+                own, at = [], met
+                for frame in reversed(level):
+                    row = frame.filter(F.col("node") == at).first()
+                    if row is not None:
+                        own.append(at)
+                        at = row.via
+                sides.append(own)
+            return [*reversed(sides[0]), *sides[1][1:]]
+        sizes[k] = step.count()
         if not sizes[k]:
             return None
-        seen[k] = seen[k].unionByName(step)
+        seen[k] = seen[k].unionByName(step.select("node"))
     return None
 
 
+def path_length(edges: DataFrame, a, b, most: int = 4, hub: int = HUB) -> int | None:
+    """Links of the shortest path of at most ``most``."""
+    found = shortest_path(edges, a, b, most, hub)
+    return None if found is None else len(found) - 1
+
+
 def aliases(total: DataFrame, weak: DataFrame) -> DataFrame:
     """Weak identifiers and the strong ones that claims tie them to."""
     return total.join(weak, F.col("other") == F.col("id"), "left_semi").groupBy(F.col("other").alias("alias")).agg(F.array_join(F.array_sort(F.collect_set(F.col("one").cast("string"))), ",").alias("entities"))

@@ -53,6 +53,42 @@ def _entities(spark, d):
     return graph.resolve(_total(spark, d))
 
 
+def _evidence(spark, d):
+    """Orders claim that a customer has a mailbox, a bare name or an account."""
+    o = table(spark, d, "orders")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("bigint").cast("string") for p in parts])
+    group, price = F.floor(F.col("o_custkey") / 6), F.col("o_totalprice")
+    other = F.when(F.col("o_orderkey") % 3 == 0, text("user:email:k", F.floor(price / 7000), "-", group, "@x.y")).when(F.col("o_orderkey") % 3 == 1, text("user:name:k", F.floor(price / 20000))).otherwise(text("user:sid:s-1-5-21-", F.floor(F.col("o_custkey") / 4)))
+    rows = o.select(text("user:uid:c", F.col("o_custkey")).alias("one"), other.alias("other"), F.lit("paid").alias("rule"), epoch_ms(F.col("o_orderdate")).alias("time"))
+    return graph.claims_total(graph.claims(rows))
+
+
+IDENTITY_SQL = """WITH RECURSIVE q AS (SELECT 'user:uid:c' || o_custkey AS one, CASE o_orderkey % 3 WHEN 0 THEN 'user:email:k' || floor(o_totalprice / 7000)::BIGINT || '-' || floor(o_custkey / 6)::BIGINT || '@x.y' WHEN 1 THEN 'user:name:k' || floor(o_totalprice / 20000)::BIGINT ELSE 'user:sid:s-1-5-21-' || floor(o_custkey / 4)::BIGINT END AS other, epoch_ms(o_orderdate) AS time FROM orders),
+  t AS (SELECT one, other, 'paid' AS rule, count(*) AS events, min(time) AS first_seen, max(time) AS last_seen FROM q GROUP BY ALL),
+  p AS (SELECT one AS id, split_part(other, ':', 2) AS form, other AS partner FROM t WHERE NOT starts_with(other, 'user:name:') UNION SELECT other, 'uid', one FROM t),
+  sh AS (SELECT DISTINCT id FROM (SELECT id FROM p GROUP BY id, form HAVING count(DISTINCT partner) > 3)),
+  g AS (SELECT * FROM t WHERE NOT starts_with(other, 'user:name:') AND one NOT IN (FROM sh) AND other NOT IN (FROM sh)),
+  u AS (SELECT one AS a, other AS b FROM g UNION SELECT other, one FROM g), cc(node, entity) AS (SELECT a, a FROM u UNION SELECT u.b, cc.entity FROM cc JOIN u ON u.a = cc.node),
+  n AS (SELECT node, min({'r': CASE split_part(entity, ':', 2) WHEN 'sid' THEN 0 WHEN 'uid' THEN 1 ELSE 2 END, 'e': entity}).e AS entity FROM cc GROUP BY node),
+  f AS (SELECT * FROM (SELECT one AS id, * FROM g UNION ALL SELECT other, * FROM g) QUALIFY row_number() OVER (PARTITION BY id ORDER BY events DESC, one, other, rule) = 1),
+  al AS (SELECT other AS weak, coalesce(n.entity, one) AS entity, one AS strong, t.* FROM t LEFT JOIN n ON n.node = one WHERE starts_with(other, 'user:name:') AND one NOT IN (FROM sh)),
+  r AS (SELECT id AS identifier, entity, 'member' AS standing, CASE WHEN id <> entity THEN CASE WHEN one = id THEN other ELSE one END END AS "with", CASE WHEN id = entity THEN '' ELSE rule END AS rule, CASE WHEN id = entity THEN 0 ELSE events END AS events, CASE WHEN id = entity THEN 0 ELSE first_seen END AS first_seen, CASE WHEN id = entity THEN 0 ELSE last_seen END AS last_seen FROM f JOIN n ON node = id
+    UNION ALL SELECT id, id, 'shared', NULL, '', 0, 0, 0 FROM sh
+    UNION ALL SELECT weak, entity, 'alias', min(strong), 'paid', sum(events)::BIGINT, min(first_seen), max(last_seen) FROM al GROUP BY weak, entity)"""
+
+
+def _identities(spark, d):
+    return graph.resolve_identities(_evidence(spark, d))
+
+
+def _decided(spark, d):
+    """With people's word: two mailboxes of one and another customer are one
+    account, and customers next to each other are not; tested by brute force."""
+    same = spark.createDataFrame([("user:uid:c1", "user:uid:c30"), ("user:uid:c2", "user:uid:c31")], "a string, b string")
+    apart = spark.createDataFrame([(f"user:uid:c{i}", f"user:uid:c{i + 1}") for i in range(0, 60, 2)], "a string, b string")
+    return graph.resolve_identities(_evidence(spark, d), same, apart)
+
+
 def _members(spark, d):
     return table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("identifier"), F.concat(F.lit("brand:"), "p_brand").alias("entity"))
 
@@ -120,6 +156,10 @@ QUERIES = {
     "graph_shared": (lambda spark, d: graph.shared(_with_forms(spark, d)), f"WITH {CLAIM_SQL} SELECT one AS id FROM t GROUP BY 1 HAVING count(DISTINCT other) > 3 UNION SELECT other FROM t GROUP BY 1 HAVING count(DISTINCT one) > 3"),
     "graph_entities": (_entities, f"WITH RECURSIVE {ENTITY_SQL} SELECT identifier, entity FROM ent"),
     "graph_entities_cannot_link": (_cannot, None),
+    "identities": (_identities, f"{IDENTITY_SQL} SELECT * FROM r"),
+    "identities_decided": (_decided, None),
+    "identity_standing": (lambda spark, d: _identities(spark, d).groupBy("standing").agg(F.count("*").alias("identifiers"), F.countDistinct("entity").alias("entities")), f"{IDENTITY_SQL} SELECT standing, count(*) AS identifiers, count(DISTINCT entity) AS entities FROM r GROUP BY 1"),
+    "neighbours_in_time": (lambda spark, d: graph.neighbours(_edges(spark, d), _members(spark, d), ["s1", "s2", "s3"], 50, 500, 900), f"WITH {EDGES_SQL} SELECT coalesce('brand:' || p_brand, other) AS neighbour, direction, link, sum(events)::BIGINT AS events, min(first_seen) AS first_seen, max(last_seen) AS last_seen FROM b LEFT JOIN part ON other = 'p' || p_partkey WHERE node IN ('s1', 's2', 's3') AND other NOT IN ('s1', 's2', 's3') AND last_seen >= 500 AND first_seen < 900 GROUP BY ALL ORDER BY last_seen DESC, neighbour, direction, link LIMIT 50"),
     "graph_entity": (lambda spark, d: _entities(spark, d).groupBy("entity").agg(F.count("*").alias("identifiers")), f"WITH RECURSIVE {ENTITY_SQL} SELECT entity, count(*) AS identifiers FROM ent GROUP BY 1"),
     "graph_aliases": (lambda spark, d: graph.aliases(_total(spark, d), _total(spark, d).select(F.col("other").alias("id")).filter("id like 'k1%'")), f"WITH {CLAIM_SQL} SELECT other AS alias, array_to_string(list_sort(list_distinct(list(one))), ',') AS entities FROM t WHERE other LIKE 'k1%' GROUP BY 1"),
     "resolution_summary": (lambda spark, d: _entities(spark, d).agg(F.countDistinct("entity").alias("entities"), F.count("*").alias("identifiers"), F.sum((F.col("entity") == F.col("identifier")).cast("bigint")).alias("names")), f"WITH RECURSIVE {ENTITY_SQL} SELECT count(DISTINCT entity) AS entities, count(*) AS identifiers, sum((entity = identifier)::INT)::BIGINT AS names FROM ent"),
