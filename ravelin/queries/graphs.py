@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ravelin.functions.text import epoch_ms
 from ravelin.operators import graph
+from ravelin.sources import attack
 from ravelin.sources.adapter import table
 
 DAY = 86_400_000
@@ -134,6 +135,45 @@ def _attack(spark, d):
     return attack_techniques(bundles.select("bundle"))
 
 
+def _bundles(spark, d):
+    """A framework made of the parts: techniques, their relations, and brands as components."""
+    p = table(spark, d, "part")
+    k, own = F.col("p_partkey"), lambda kind, key: F.concat(F.lit(f"{kind}--"), key.cast("string"))
+    ref = lambda x: F.array(F.struct(F.lit("mitre-attack").alias("source_name"), x.alias("external_id")))
+    phase = lambda chain, name: F.struct(F.lit(chain).alias("kill_chain_name"), name.alias("phase_name"))
+    tie = lambda kind, a, b: F.to_json(F.struct(F.lit("relationship").alias("type"), F.lit(kind).alias("relationship_type"), a.alias("source_ref"), b.alias("target_ref")))
+    pattern = own("attack-pattern", k)
+    per = p.select(
+        (k % 8).alias("b"),
+        F.explode(
+            F.array_compact(
+                F.array(
+                    F.to_json(F.struct(F.lit("attack-pattern").alias("type"), pattern.alias("id"), F.col("p_name").alias("name"), ref(F.concat(F.lit("T"), (1000 + k).cast("string"))).alias("external_references"), F.array(phase("mitre-attack", F.concat(F.lit("ta"), (k % 3).cast("string"))), phase("mitre-attack", F.lit("ta0")), phase("other", F.lit("x"))).alias("kill_chain_phases"), F.array(F.col("p_brand")).alias("x_mitre_platforms"), (F.col("p_size") == 7).alias("revoked"), (F.col("p_size") == 9).alias("x_mitre_deprecated"))),
+                    F.when((k % 4 == 1) & (k > 1), tie("subtechnique-of", pattern, own("attack-pattern", k - 1))),
+                    F.when((F.col("p_size") == 7) & (k % 2 == 0), tie("revoked-by", pattern, own("attack-pattern", F.lit(1)))),
+                    F.when(k % 3 == 0, tie("detects", own("ds", k), pattern)),
+                    F.to_json(F.struct(F.lit("x-mitre-detection-strategy").alias("type"), own("ds", k).alias("id"), F.array(own("an", k), own("an", k + 1)).alias("x_mitre_analytic_refs"))),
+                    F.to_json(F.struct(F.lit("x-mitre-analytic").alias("type"), own("an", k).alias("id"), F.array(F.struct(own("dc", F.col("p_brand")).alias("x_mitre_data_component_ref"))).alias("x_mitre_log_source_references"))),
+                )
+            )
+        ).alias("o"),
+    )
+    brands = p.select("p_brand").distinct().select(F.lit(0).cast("bigint").alias("b"), F.to_json(F.struct(F.lit("x-mitre-data-component").alias("type"), own("dc", F.col("p_brand")).alias("id"), F.col("p_brand").alias("name"), ref(F.concat(F.lit("DC"), F.col("p_brand"))).alias("external_references"), F.col("p_brand").like("%5").alias("revoked"))).alias("o"))
+    fixed = ['{"type":"x-mitre-collection","name":"Parts","x_mitre_version":"1.0"}', '{"type":"x-mitre-matrix","external_references":[{"source_name":"mitre-attack","external_id":"parts"}],"tactic_refs":["t--2","t--0","t--1"]}']
+    fixed += [f'{{"type":"x-mitre-tactic","id":"t--{i}","name":"Tactic {i}","x_mitre_shortname":"ta{i}","external_references":[{{"source_name":"mitre-attack","external_id":"TA{i}"}}]}}' for i in range(3)]
+    rest = spark.createDataFrame([(0, x) for x in fixed], "b bigint, o string")
+    every = per.unionByName(brands).unionByName(rest)
+    return every.groupBy("b").agg(F.concat(F.lit('{"type":"bundle","objects":['), F.array_join(F.collect_list("o"), ","), F.lit("]}")).alias("bundle"))
+
+
+def _framework(spark, d):
+    return attack.framework(_bundles(spark, d))
+
+
+TECHNIQUE_SQL = """f AS (SELECT 'T' || (1000 + p_partkey) AS technique, p_name AS name, CASE p_partkey % 3 WHEN 0 THEN 'ta0,ta0' WHEN 1 THEN 'ta0,ta1' ELSE 'ta2,ta0' END AS tactics, p_brand AS platforms, CASE WHEN p_size = 7 THEN 'revoked' WHEN p_size = 9 THEN 'deprecated' ELSE 'active' END AS state,
+  CASE WHEN p_size = 7 AND p_partkey % 2 = 0 THEN 'T1001' END AS replaced_by, CASE WHEN p_partkey % 4 = 1 AND p_partkey > 1 THEN 'T' || (999 + p_partkey) END AS parent FROM part)"""
+
+
 def _path(spark, d):
     e = _edges(spark, d)
     return spark.createDataFrame([(a, b, graph.path_length(e, a, b)) for a, b in (("s1", "s2"), ("s3", "s30"))], "a string, b string, links int")
@@ -168,6 +208,10 @@ QUERIES = {
     "graph_walk": (lambda spark, d: graph.walk(_edges(spark, d), ["s5"], 2).select("node", "level"), WALK_SQL),
     "graph_path": (_path, PATH_SQL),
     "attack_load": (_attack, "SELECT 'attack-pattern--' || p_partkey AS stix_id, 'T' || (1000 + p_partkey) AS technique, p_name AS name FROM part WHERE p_size <> 7"),
+    "attack_techniques": (lambda spark, d: _framework(spark, d).techniques.withColumns({c: F.array_join(c, ",") for c in ("tactics", "platforms")}), f"WITH {TECHNIQUE_SQL} SELECT * FROM f"),
+    "attack_needs": (lambda spark, d: _framework(spark, d).needs, "SELECT DISTINCT 'T' || (1000 + a.p_partkey) AS technique, 'DC' || b.p_brand AS component FROM part a JOIN part b ON b.p_partkey IN (a.p_partkey, a.p_partkey + 1) WHERE a.p_partkey % 3 = 0 AND b.p_brand NOT LIKE '%5'"),
+    "attack_tactics": (lambda spark, d: _framework(spark, d).tactics, "SELECT 'TA' || i AS tactic, 'Tactic ' || i AS name, 'ta' || i AS shortname, p::INT AS place FROM (VALUES (2, 0), (0, 1), (1, 2)) t(i, p)"),
+    "attack_broken": (lambda spark, d: attack.broken_references(table(spark, d, "part").select(F.concat(F.lit("T"), (1000 + F.col("p_partkey") * 2).cast("string")).alias("technique")), _framework(spark, d).techniques), f"WITH {TECHNIQUE_SQL}, r AS (SELECT DISTINCT 'T' || (1000 + p_partkey * 2) AS technique FROM part) SELECT technique, coalesce(state, 'unknown') AS state, replaced_by FROM r LEFT JOIN f USING (technique) WHERE state IS NULL OR state <> 'active'"),
     "attack_coverage": (_verdicts, f"{COVER_SQL} SELECT * FROM v"),
     "attack_verdicts": (lambda spark, d: _verdicts(spark, d).groupBy("verdict").agg(F.count("*").alias("n")), f"{COVER_SQL} SELECT verdict, count(*) AS n FROM v GROUP BY 1"),
     "navigator_layer": (lambda spark, d: graph.navigator_layer(_verdicts(spark, d)), f"""{COVER_SQL} SELECT technique, '{{"techniqueID":"' || technique || '","score":' || (CASE verdict WHEN 'detected' THEN 100 WHEN 'blind' THEN 50 WHEN 'collected' THEN 25 ELSE 0 END) || ',"comment":"' || verdict || '"}}' AS entry FROM v"""),
