@@ -103,6 +103,32 @@ def mask(number: Column, prefix) -> Column:
     return F.floor(number / size).cast("bigint") * size
 
 
+def ip_hex(col: Column) -> Column:
+    """An address of either family as 32 hex digits, IPv4 ones (and those mapped
+    into IPv6) behind ``::ffff``; null if it is none."""
+    from ravelin.plans.normalize import IPV4, IPV6
+
+    v = F.lower(F.trim(col))
+    four = F.when(v.rlike(IPV4), F.concat(F.lit("0" * 20 + "ffff"), F.lpad(F.lower(F.hex(ipv4_number(v))), 8, "0")))
+    # an IPv4 address at the end stands for two groups
+    tail = F.lpad(F.lower(F.hex(ipv4_number(F.regexp_extract(v, r":([0-9.]+)$", 1)))), 8, "0")
+    six = F.when(v.contains("."), F.concat(F.regexp_replace(v, r"[0-9.]+$", ""), F.substring(tail, 1, 4), F.lit(":"), F.substring(tail, 5, 4))).otherwise(v)
+    side = lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, ":"))
+    left, right = side(F.substring_index(six, "::", 1)), side(F.when(six.contains("::"), F.substring_index(six, "::", -1)).otherwise(""))
+    groups = F.concat(left, F.array_repeat(F.lit("0"), 8 - F.size(left) - F.size(right)), right)
+    whole = F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), "")
+    return F.coalesce(four, F.when(v.rlike(IPV6), whole))
+
+
+def hex_mask(address: Column, prefix) -> Column:
+    """The network of an address in 32 hex digits; ``prefix`` is a number or a Column."""
+    p = F.lit(prefix) if isinstance(prefix, int) else prefix
+    whole, step = F.floor(p / 4).cast("int"), F.pow(F.lit(2), 4 - p % 4).cast("bigint")
+    digit = F.conv(F.substring(address, whole + 1, F.lit(1)), 16, 10).try_cast("bigint")
+    part = F.when(p % 4 > 0, F.lower(F.hex(F.floor(digit / step).cast("bigint") * step))).otherwise("")
+    return F.rpad(F.concat(F.substring(address, F.lit(1), whole), part), 32, "0")
+
+
 def asn(col: Column) -> Column:
     """``AS64500`` or ``64500`` as a number; null out of range."""
     n = F.regexp_extract(F.upper(F.trim(col)), r"^(?:AS)?(\d{1,10})$", 1).try_cast("bigint")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ravelin.functions import text as T
+from ravelin.plans.normalize import let
 
 #: Most allowlist entries or prefix lengths that a join may broadcast.
 SMALL = 50_000
@@ -40,6 +41,24 @@ def match_networks(observed: DataFrame, networks: DataFrame, lengths: list[int])
     return observed.filter("number is not null").withColumn("t", F.explode(tries)).select(*observed.columns, "t.prefix", "t.net").join(networks, ["net", "prefix"])
 
 
+def network(cidr: Column) -> tuple[Column, Column]:
+    """(net, prefix) of ``address/bits`` of either family: hex digits and bits of
+    128; null if it is no network."""
+    address, bits = F.substring_index(cidr, "/", 1), F.regexp_extract(cidr, r"/(\d{1,3})$", 1).try_cast("int")
+    prefix = F.when(address.contains(":"), F.when(bits <= 128, bits)).otherwise(F.when(bits <= 32, bits + 96))
+    return F.when(prefix.isNotNull(), let(T.ip_hex(address), lambda a: T.hex_mask(a, prefix))), prefix
+
+
+def match_addresses(observed: DataFrame, networks: DataFrame, lengths: list[int]) -> DataFrame:
+    """Addresses of either family (``address``, as ``ip_hex`` writes them) in
+    ``networks`` (net, prefix, ...; prefixes of 128 bits), as an equi-join for
+    each prefix length in use."""
+    if len(lengths) > 129 or any(not 0 <= p <= 128 for p in lengths):
+        raise ValueError("a prefix has 0 to 128 bits")
+    tries = let(F.col("address"), lambda a: F.array(*[F.struct(F.lit(p).alias("prefix"), T.hex_mask(a, p).alias("net")) for p in lengths]))
+    return observed.filter("address is not null").withColumn("t", F.explode(tries)).select(*observed.columns, "t.prefix", "t.net").join(networks, ["net", "prefix"])
+
+
 def parents(domain: Column) -> Column:
     """The domain and its parents, nearest first, down to two labels."""
     labels = F.split(domain, r"\.")
@@ -101,7 +120,8 @@ def with_ended(found: DataFrame, keys: list[str], at: Column) -> DataFrame:
 
 
 def narrowest(found: DataFrame, keys: list[str]) -> DataFrame:
-    """Of ranges that hold an address, the narrowest of each source and kind."""
+    """Of ranges that hold an address, the narrowest; ``keys`` name the event's
+    row, and the source and kind of records where each has its own."""
     return found.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("prefix"), "record"))).filter("rn = 1").drop("rn")
 
 

@@ -94,6 +94,29 @@ NET_SQL = """n(lo, prefix, record) AS (VALUES (167772160, 22, 'n0'), (167772416,
   m AS (SELECT id, src_ip, prefix, record FROM x, n WHERE number >= lo AND number < lo + (1 << (32 - prefix)))"""
 
 
+#: Networks of both families, one of them IPv4 mapped into IPv6.
+CIDRS = ("2001:db8::/32", "2001:db8:3::/48", "2001:DB8:4:0::10/124", "::ffff:10.0.2.0/120", "10.0.3.0/24", "2001:db8:5::a/128", "::/0")
+
+
+def _both(spark, d):
+    """Events' addresses: IPv4, IPv6, and what is none."""
+    six = F.concat(F.lit("2001:DB8:"), F.lower(F.hex(F.col("id") % 16)), F.lit("::"), F.lower(F.hex("k")))
+    mapped = F.concat(F.lit("::ffff:"), "src_ip")
+    text = F.when(F.col("id") % 4 == 0, F.col("src_ip")).when(F.col("id") % 4 == 1, mapped).when(F.col("id") % 4 == 2, "none").otherwise(six)
+    return events(spark, d).select("id", T.ip_hex(text).alias("address"))
+
+
+def _v6(spark, d):
+    net, prefix = intel.network(F.col("cidr"))
+    networks = spark.createDataFrame([(c,) for c in CIDRS], "cidr string").select("cidr", net.alias("net"), prefix.alias("prefix"))
+    return intel.match_addresses(_both(spark, d), networks, [0, 32, 48, 120, 124, 128]).select("id", "cidr")
+
+
+V6_SQL = f"""{EV}, x AS (SELECT id, id % 4 AS f, id % 16 AS g, k, split_part(src_ip, '.', 3) AS three FROM ev)
+  SELECT id, '2001:db8::/32' AS cidr FROM x WHERE f = 3 UNION ALL SELECT id, '2001:db8:3::/48' FROM x WHERE f = 3 AND g = 3 UNION ALL SELECT id, '2001:DB8:4:0::10/124' FROM x WHERE f = 3 AND g = 4 AND k BETWEEN 16 AND 31
+  UNION ALL SELECT id, '::ffff:10.0.2.0/120' FROM x WHERE f < 2 AND three = '2' UNION ALL SELECT id, '10.0.3.0/24' FROM x WHERE f < 2 AND three = '3' UNION ALL SELECT id, '2001:db8:5::a/128' FROM x WHERE f = 3 AND g = 5 AND k = 10 UNION ALL SELECT id, '::/0' FROM x WHERE f <> 2"""
+
+
 def _records(spark, d):
     """Context records of customers: each order is one, valid for some days."""
     o = table(spark, d, "orders")
@@ -164,6 +187,7 @@ QUERIES = {
     "intel_exact": (lambda spark, d: intel.match_exact(_observed(spark, d).select("id", "kind", "value"), _indicators(spark, d).select("kind", "value", "feed", "confidence")), f"{BASE} SELECT id, kind, value, feed, confidence FROM o JOIN i USING (kind, value)"),
     "intel_validity": (lambda spark, d: _hits(spark, d).select("id", "value", "feed", "moment"), f"{HITS_SQL} SELECT id, value, feed, moment FROM h"),
     "intel_cidr": (lambda spark, d: intel.match_networks(_addresses(spark, d), _networks(spark), LENGTHS).select("id", "src_ip", "prefix", "record"), f"{EV}, {NET_SQL} SELECT id, src_ip, prefix, record FROM m"),
+    "intel_cidr_v6": (_v6, V6_SQL),
     "intel_allow": (lambda spark, d: intel.allowed(_pages(spark, d).select("page_id", "host"), _allow(spark, d)), f"WITH {PAGES_SQL}, {ALLOW_SQL}, {ALLOWED_SQL} SELECT page_id, host, allowed_by FROM p LEFT JOIN b USING (host)"),
     "intel_confidence": (lambda spark, d: intel.summarize(_hits(spark, d), "id", "value"), f"{HITS_SQL} SELECT id, value, max(confidence) AS confidence, CASE WHEN count(*) = count(added) THEN min(added) END AS known_since, array_to_string(list_sort(list_distinct(list(feed))), ',') AS feeds FROM h GROUP BY ALL"),
     "intel_findings": (_findings, FINDINGS_SQL),
@@ -174,7 +198,7 @@ QUERIES = {
     "enrich_id": (lambda spark, d: intel.holding(_found(spark, d), F.col("moment")).select("id", "record", "source"), f"{ASK_SQL} SELECT id, record, source FROM a JOIN r USING (who) WHERE valid_from <= moment AND moment < valid_until"),
     "enrich_asof_ended": (lambda spark, d: intel.with_ended(_found(spark, d), ["id"], F.col("moment")).select("id", "record", "source", "holds"), f"""{ASK_SQL}, f AS (SELECT id, record, source, valid_until, valid_from <= moment AND moment < valid_until AS holds, valid_until <= moment AS ended FROM a JOIN r USING (who)),
       g AS (SELECT *, bool_or(holds) OVER (PARTITION BY id, source) AS held, row_number() OVER (PARTITION BY id, source ORDER BY holds DESC, valid_until DESC, record) AS rn FROM f WHERE holds OR ended) SELECT id, record, source, holds FROM g WHERE holds OR (NOT held AND rn = 1)"""),
-    "enrich_range": (lambda spark, d: intel.narrowest(intel.match_networks(_addresses(spark, d), _networks(spark), LENGTHS), ["id"]).select("id", "record"), f"{EV}, {NET_SQL} SELECT id, arg_max(record, prefix) AS record FROM m GROUP BY id"),
+    "enrich_range": (lambda spark, d: intel.narrowest(intel.match_networks(_addresses(spark, d), _networks(spark).withColumn("source", F.when(F.col("record").isin("n0", "n2", "n4"), "a").otherwise("b")), LENGTHS), ["id", "source"]).select("id", "source", "record"), f"{EV}, {NET_SQL} SELECT id, CASE WHEN record IN ('n0', 'n2', 'n4') THEN 'a' ELSE 'b' END AS source, arg_max(record, prefix) AS record FROM m GROUP BY ALL"),
     "enrich_domain": (lambda spark, d: _pages(spark, d).filter("host is not null").select("page_id", F.posexplode(intel.parents(F.col("host"))).alias("step", "name")).join(table(spark, d, "pages").select(F.regexp_extract("url", r"://[^/?#]*?([a-z]+\.[a-z]+)(?:[/?#]|$)", 1).alias("name")).distinct(), "name").groupBy("page_id").agg(F.min_by("name", "step").alias("list_name")), r"WITH l AS (SELECT DISTINCT regexp_extract(url, '://[^/?#]*?([a-z]+\.[a-z]+)(?:[/?#]|$)', 1) AS name FROM pages) SELECT page_id, regexp_extract(url, '://[^/?#]*?([a-z]+\.[a-z]+)(?:[/?#]|$)', 1) AS list_name FROM pages"),
     "enrich_groups": (lambda spark, d: _asks(spark, d).join(_groups(spark, d), "who").select("id", "group"), f"{EV}, a AS (SELECT id, id % (SELECT count(*) FROM customer) AS who FROM ev), c AS (SELECT c_custkey AS who, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) SELECT id, n_name AS \"group\" FROM a JOIN c USING (who) UNION ALL SELECT id, r_name FROM a JOIN c USING (who)"),
     "enrichments_cap": (lambda spark, d: intel.cap(_found(spark, d), ["id"], ["source", "record"], 5).select("id", "record"), f"{ASK_SQL} SELECT id, record FROM a JOIN r USING (who) QUALIFY row_number() OVER (PARTITION BY id ORDER BY source, record) <= 5"),

@@ -8,6 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from ravelin.functions import text as T
 from ravelin.operators import graph, overview
 from ravelin.operators.search import Filter, Schema, Search, SearchError, check, matching, run
 from ravelin.plans import normalize as N
@@ -47,6 +48,26 @@ def test_syslog_headers(spark):
     assert got[2].error == "no priority" and got[3].error == "bad time" and got[4].message == "just text"
 
 
+def test_addresses_of_both_families(spark):
+    rng = random.Random(9)
+    texts = ["::", "::1", "1::", "1:2:3:4:5:6:7:8", "::ffff:1.2.3.4", "64:ff9b::10.0.0.1", "1.2.3.4", "1:2:3:4:5:6:1.2.3.4", "ABCD::ef", "x", "1.2.3", None, ""]
+    texts += [str(ipaddress.IPv6Address(rng.getrandbits(128) & rng.getrandbits(128) & rng.getrandbits(128))) for _ in range(100)]
+
+    def want(t):
+        try:
+            a = ipaddress.ip_address(t)
+        except ValueError:
+            return None
+        return f"{int(a):032x}" if a.version == 6 else f"{0xFFFF << 32 | int(a):032x}"
+
+    masks = [0, 1, 7, 31, 96, 127, 128]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("h", T.ip_hex(F.col("t"))).select("t", "h", *[T.hex_mask(F.col("h"), p).alias(f"m{p}") for p in masks]).collect()
+    for r in rows:
+        assert r.h == want(r.t)
+        if r.h:
+            assert [r[f"m{p}"] for p in masks] == [f"{int(r.h, 16) >> (128 - p) << (128 - p):032x}" for p in masks]
+
+
 def test_ipv6_pattern():
     rng, pattern = random.Random(2), re.compile(N.IPV6)
     for _ in range(20_000):
