@@ -8,7 +8,9 @@ from ravelin.functions import text as T
 from ravelin.operators import health, overview
 from ravelin.operators.search import Filter, Schema, Search, findings_queue, matching, page
 from ravelin.queries import ingest
+from ravelin.sources import generator
 from ravelin.sources.adapter import EVENTS_SQL, events, table
+from ravelin.streaming import jobs
 
 DAY = 86_400_000
 START = 1_704_067_200_000  # 2024-01-01
@@ -133,6 +135,15 @@ def _by_cursor(spark, d):
     return overview.lookup(events(spark, d), first.unionByName(none)).select("id", "time", "source", "severity_id")
 
 
+def _drawn(spark, d):
+    return generator.telemetry(events(spark, d), 60, START, 4.0).select("id", "user", "product", "time", F.get_json_object("record", "$.properties.userId").alias("uid"))
+
+
+LIMITS = ", ".join(map(repr, generator.zipf_limits(60)))
+DRAWN_SQL = f"""{EV}, u AS (SELECT id, ('0x' || md5('1:user:' || id)[1:8])::BIGINT / 4294967296.0 AS a, ('0x' || md5('1:product:' || id)[1:8])::BIGINT / 4294967296.0 AS b FROM ev),
+  r AS (SELECT id, len(list_filter([{LIMITS}], lambda x: x <= a))::INT AS "user", CASE WHEN b < 0.6 THEN 'sysmon' WHEN b < 0.75 THEN 'entra' ELSE 'suricata' END AS product FROM u)
+  SELECT id, "user", product, {START} + floor(id * 1000 / 4.0)::BIGINT AS time, CASE WHEN product = 'entra' THEN 'oid-' || "user" END AS uid FROM r"""
+
 QUERIES = {
     "search_time_range": _search([], "", None, (5, 8)),
     "search_class": _search([], "", [2004, 4002]),
@@ -177,6 +188,9 @@ QUERIES = {
     "rolling_hour": (lambda spark, d: health.rolling_sum(events(spark, d).groupBy("source", T.bucket(F.col("time"), 60_000).alias("minute")).agg(F.count("*").alias("n")), ["source"], "minute", "n", 3_600_000).select("source", "minute", "rolling"), f"{EV}, m AS (SELECT source, time // 60000 * 60000 AS minute, count(*) AS n FROM ev GROUP BY ALL) SELECT source, minute, (sum(n) OVER (PARTITION BY source ORDER BY minute RANGE BETWEEN 3599999 PRECEDING AND CURRENT ROW))::BIGINT AS rolling FROM m"),
     "backlog_slope": (lambda spark, d: health.slope(events(spark, d).withColumn("x", F.col("time") / 3_600_000.0 - START / 3_600_000), "x", "value", "host").select("host", F.round("slope", 8).alias("slope")), f"{EV} SELECT host, round(regr_slope(value, time / 3600000.0 - {START / 3_600_000}), 8) AS slope FROM ev GROUP BY host"),
     "backlog_growth": (lambda spark, d: events(spark, d).groupBy("host", T.bucket(F.col("time"), 10 * DAY).alias("span")).agg(F.min_by("k", F.struct("time", "id")).alias("first"), F.max_by("k", F.struct("time", "id")).alias("last")).select("host", "span", "first", "last", (F.col("last") > F.col("first")).alias("grew")), f"{EV} SELECT host, time // {10 * DAY} * {10 * DAY} AS span, arg_min(k, time * 1000000 + id) AS first, arg_max(k, time * 1000000 + id) AS last, last > first AS grew FROM ev GROUP BY ALL"),
+    "generated_telemetry": (_drawn, DRAWN_SQL),
+    "correlate_sliding": (lambda spark, d: jobs.correlate(events(spark, d).filter("source = 'error'"), ["user_name"], "6 hours", 2, "1 hour").select("user_name", "from", "n", "first", "last"), f"{EV}, x AS (SELECT user_name, time, unnest(range(0, 6)) AS j FROM ev WHERE source = 'error') SELECT user_name, time // 3600000 * 3600000 - j * 3600000 AS \"from\", count(*) AS n, min(time) AS first, max(time) AS last FROM x GROUP BY ALL HAVING count(*) >= 2"),
+    "sessions": (lambda spark, d: jobs.sessions(events(spark, d), ["user_name"], "3 hours"), f"{EV}, m AS (SELECT user_name, time, CASE WHEN time - lag(time) OVER w < 10800000 THEN 0 ELSE 1 END AS new FROM ev WINDOW w AS (PARTITION BY user_name ORDER BY time)), g AS (SELECT user_name, time, sum(new) OVER (PARTITION BY user_name ORDER BY time) AS s FROM m) SELECT user_name, min(time) AS first, max(time) AS last, count(*) AS n FROM g GROUP BY user_name, s"),
     "replay_shift": (lambda spark, d: health.replay(events(spark, d), START, 4.0).select("id", "time"), f"{EV} SELECT id, {START} + floor((time - (SELECT min(time) FROM ev)) / 4.0)::BIGINT AS time FROM ev"),
     "histogram_quantile": (lambda spark, d: _quantiles(spark, d), f"""{EV}, b AS (SELECT source, u::DOUBLE AS upper, count(*) FILTER (value <= u) AS count FROM ev, (VALUES (5.0), (20.0), (50.0), (100.0), (100000.0)) t(u) GROUP BY ALL),
       w AS (SELECT *, coalesce(lag(count) OVER p, 0) AS below, coalesce(lag(upper) OVER p, 0.0) AS lower, max(count) OVER (PARTITION BY source) * 0.95 AS rank FROM b WINDOW p AS (PARTITION BY source ORDER BY upper))

@@ -133,6 +133,7 @@ def _sysmon_records(spark, d):
         F.col("id").alias("EventRecordID"),
     )
     data = F.struct(
+        F.concat(F.lit("CORP\\"), "user_name").alias("User"),
         F.concat(F.lit("C:\\w\\"), "source", F.lit(".exe")).alias("Image"),
         F.concat(F.lit("run -u "), "user_name", F.lit(" -k "), F.col("k").cast("string")).alias("CommandLine"),
         F.concat("host", F.lit(".exe")).alias("OriginalFileName"),
