@@ -204,10 +204,10 @@ def scan(docs: DataFrame, ledger_path: str | None = None, rules=RULES, id_col: s
     started = ledger_path is not None
     for part in range(increments):
         ledger = spark.read.schema(LEDGER).parquet(path) if started and _exists(spark, path) else None
-        new = scan_blobs(_increment(slim, increments, part), ledger, rules)
-        (new if ledger is None else materialize(new, "entries")).write.mode("append").parquet(path)  # a table is not appended to while it is read
+        # the files of the ledger that is read are listed before new ones come
+        scan_blobs(_increment(slim, increments, part), ledger, rules).write.mode("append").parquet(path)
         started = True
-    paths = materialize(slim.select("doc_id", _blob("text").alias("blob")), "paths")
+    paths = slim.select("doc_id", _blob("text").alias("blob"))
     return _report(_meet(paths, findings(spark.read.schema(LEDGER).parquet(path), rules)))
 
 
