@@ -56,7 +56,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import free_name, materialize, table, text_bytes
+from ravelin.llm.common import free_name, materialize, shuffle_parts, table, text_bytes
 
 RADIUS = 3
 SEED = 42
@@ -240,6 +240,10 @@ def links(distinct: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
         keyed = materialize(keyed.join(hot, ["way", "key"], "left_semi").select("fp", "rep", "key", "way").mapInArrow(_keys(level), KEYED), "keys")
 
 
+#: Rows that a round's files have, where there are so many: a round of few edges writes few files.
+EDGES_A_FILE = 100_000
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable from each node of
     ``edges`` (a, b), by alternating large-star and small-star contraction."""
@@ -248,6 +252,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         return now.select(F.col("b").alias("node"), F.col("a").alias("component"))
     mark = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64(F.lit(1), "b", "a"))).first()
     seen = mark(now)
+    tasks = shuffle_parts(now.sparkSession)
     for _ in range(rounds):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -255,7 +260,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = big.groupBy("b").agg(F.min("a").alias("m"))
         small = big.join(least, "b")
         now = materialize(
-            small.select(F.least("a", "m").alias("a"), F.greatest("a", "m").alias("b")).unionByName(small.select(F.col("m").alias("a"), "b")).filter("a <> b").distinct(),
+            small.select(F.least("a", "m").alias("a"), F.greatest("a", "m").alias("b")).unionByName(small.select(F.col("m").alias("a"), "b")).filter("a <> b").distinct().coalesce(min(tasks, 1 + seen[0] // EDGES_A_FILE)),
             "edges",
         )
         after = mark(now)
@@ -410,16 +415,17 @@ def _wide_links(radius: int):
 
 def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, h, least_id, least_h) for every row of ``docs``: the hash of its
-    text, and of its group the row with the smallest id and then hash."""
+    text, and of its group the row with the smallest id and then hash. Different
+    fingerprints are told apart by 64 bits of a hash."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("b"))
     texts = texts.withColumn("h", F.xxhash64("b"))
     bits, blocks = block_plan(docs.count())
-    prints = materialize(texts.select("doc_id", "b", "h").mapInArrow(_wide_prints(bits, blocks), "doc_id long, h long, wide binary, blocks array<long>").withColumn("node", F.unhex(F.md5(F.concat("wide", F.col("blocks").cast("string").cast("binary"))))), "prints")
+    prints = materialize(texts.select("doc_id", "b", "h").mapInArrow(_wide_prints(bits, blocks), "doc_id long, h long, wide binary, blocks array<long>").withColumn("node", F.xxhash64("wide", "blocks")), "prints")
     distinct = prints.groupBy("node").agg(F.first("wide").alias("wide"), F.first("blocks").alias("blocks"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "h"))).alias("least"))
     distinct = materialize(distinct, "distinct")
     keyed = distinct.select("node", "wide", F.posexplode("blocks").alias("no", "value"))
     runs = keyed.repartition("no", "value").sortWithinPartitions("no", "value", "node")
-    comp = components(runs.select("no", "value", "wide", "node").mapInArrow(_wide_links(radius_of(similarity)), "a binary, b binary"))
+    comp = components(runs.select("no", "value", "wide", "node").mapInArrow(_wide_links(radius_of(similarity)), "a long, b long"))
     grouped = distinct.select("node", "least").join(comp, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     grouped = materialize(grouped, "grouped")
     named = grouped.join(grouped.groupBy("component").agg(F.min("least").alias("of")), "component").select("node", F.col("of.doc_id").alias("least_id"), F.col("of.h").alias("least_h"))

@@ -67,7 +67,7 @@ POSITIVES = 3000
 THRESHOLD = 0.3
 #: Log likelihood ratios asked of a word where the sample is too small to prove any against chance.
 SURE = (5.0, 3.0, 0.5)
-CACHE = 300_000
+CACHE = 100_000
 #: Letters that are judged as one word; a longer word is judged by its pieces.
 MAX_WORD = 64
 #: Stands before and after each word, so that a subsequence can tell its ends.
