@@ -98,6 +98,60 @@ def findings(hits: DataFrame) -> DataFrame:
     )
 
 
+# Fixed values of the event model: types of indicators as intelligence and as observables.
+OSINT_TYPES = {"ip": 1, "cidr": 1, "domain": 2, "md5": 4, "sha1": 4, "sha256": 4, "imphash": 4, "url": 5, "certificate_hash": 7, "certificate_subject": 7, "email": 9, "file_path": 11, "file_name": 11, "registry_key": 12}
+OBSERVABLE_TYPES = {"domain": 1, "ip": 2, "user": 4, "email": 5, "url": 6, "file_name": 7, "md5": 8, "sha1": 8, "sha256": 8, "cidr": 12, "registry_key": 28, "file_path": 45}
+
+
+def _typed(types: dict[str, int], kind: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in types.items() for x in kv]), kind), F.lit(99))
+
+
+def finding_events(hits: DataFrame, events: DataFrame, created_ms: int) -> DataFrame:
+    """Detection findings as events of their own, one for each event and
+    indicator: (uid, id, time, class_uid, severity_id, is_alert, event). The time
+    is the event's, whenever the indicator came; the uid follows from event and
+    indicator, so that an event that is read twice gives one finding.
+
+    ``hits`` has a row a feed (id, kind, value, path, feed, version, confidence,
+    valid_from, valid_until, first_seen, last_seen, allowed_by); ``events`` (id,
+    time, class_uid). ``osint`` has an entry a feed, by feed, and
+    ``unmapped.assertions`` the same without loss. A hit that an allowlist
+    covers is suppressed and no alert."""
+    claim = F.struct("feed", "version", "confidence", "valid_from", "valid_until", "first_seen", "last_seen")
+    per = hits.groupBy("id", "kind", "value").agg(F.min("path").alias("path"), F.max("confidence").alias("confidence"), F.min("allowed_by").alias("allowed_by"), F.array_sort(F.collect_set(claim)).alias("assertions"))
+    per = per.join(events.select("id", F.col("time").alias("event_time"), F.col("class_uid").alias("event_class")), "id")
+    held = F.col("allowed_by").isNotNull()
+    severity = F.when(held, 1).otherwise(T.band(F.col("confidence")) + 1)
+    uid = F.substring(F.sha2(F.concat_ws("|", F.col("id").cast("string"), "kind", "value"), 256), 1, 32)
+    ms = lambda x: x * 1000
+    osint = F.transform(
+        "assertions",
+        lambda a: F.struct(F.col("value").alias("value"), _typed(OSINT_TYPES, F.col("kind")).alias("type_id"), a["feed"].alias("vendor_name"), a["version"].alias("uid"), T.band(a["confidence"]).alias("confidence_id"), ms(a["first_seen"]).alias("created_time"), ms(a["last_seen"]).alias("modified_time"), ms(a["valid_until"]).alias("expiration_time")),
+    )
+    evidence = F.array(F.struct(F.struct(F.col("id").cast("string").alias("event_uid"), F.col("event_class").alias("class_uid"), F.col("event_time").alias("time"), F.col("path").alias("path")).alias("data")))
+    body = F.struct(
+        F.lit(2004).alias("class_uid"),
+        F.lit(2).alias("category_uid"),
+        F.lit(200401).alias("type_uid"),
+        F.lit(1).alias("activity_id"),
+        F.col("event_time").alias("time"),
+        severity.alias("severity_id"),
+        (~held).alias("is_alert"),
+        F.when(held, 3).otherwise(1).alias("status_id"),
+        F.when(held, "Suppressed").otherwise("New").alias("status"),
+        F.col("allowed_by").alias("status_detail"),
+        T.band(F.col("confidence")).alias("confidence_id"),
+        F.col("confidence").alias("confidence_score"),
+        F.struct(uid.alias("uid"), F.concat(F.lit("Indicator "), "value").alias("title"), F.lit(created_ms).cast("bigint").alias("created_time"), F.array_distinct(F.transform("assertions", lambda a: a["feed"])).alias("data_sources")).alias("finding_info"),
+        F.array(F.struct(F.col("path").alias("name"), _typed(OBSERVABLE_TYPES, F.col("kind")).alias("type_id"), F.col("value").alias("value"))).alias("observables"),
+        osint.alias("osint"),
+        evidence.alias("evidences"),
+        F.struct(F.col("assertions"), F.col("allowed_by").alias("allowed")).alias("unmapped"),
+    )
+    return per.select(uid.alias("uid"), "id", F.col("event_time").alias("time"), F.lit(2004).alias("class_uid"), severity.cast("int").alias("severity_id"), (~held).alias("is_alert"), F.to_json(body).alias("event"))
+
+
 def feed_gate(rows: DataFrame, most: float = 0.10) -> DataFrame:
     """Publications (feed, rejected) with too many rejected rows are refused whole."""
     return rows.groupBy("feed").agg(F.count("*").alias("rows"), F.sum(F.col("rejected").cast("bigint")).alias("rejected")).withColumn("accepted", (F.col("rows") > 0) & (F.col("rejected") <= F.col("rows") * most))

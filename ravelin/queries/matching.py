@@ -79,6 +79,22 @@ FINDINGS_SQL = f"""{HITS_SQL}, {ALLOW_SQL}, {ALLOWED_SQL}, s AS (SELECT id, kind
     allowed_by IS NULL AS is_alert, CASE WHEN allowed_by IS NULL THEN 'New' ELSE 'Suppressed' END AS status FROM s LEFT JOIN b ON b.host = s.value"""
 
 
+def _finding_events(spark, d):
+    hits = intel.allowed(_hits(spark, d).withColumn("host", F.col("value")), _allow(spark, d))
+    none = lambda name: F.lit(None).cast("bigint").alias(name)
+    full = hits.select("id", "kind", "value", F.lit("url.hostname").alias("path"), "feed", F.lit("1").alias("version"), "confidence", "valid_from", "valid_until", F.col("added").alias("first_seen"), none("last_seen"), "allowed_by")
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("id"), (F.col("page_id") * 1000).alias("time"), F.lit(4002).alias("class_uid"))
+    found = intel.finding_events(full, pages, 1_704_067_200_000)
+    g = lambda path: F.get_json_object("event", path)
+    return found.select("uid", "id", "time", "severity_id", "is_alert", g("$.status").alias("status"), g("$.status_detail").alias("detail"), F.size(F.from_json(g("$.osint"), "array<string>")).alias("feeds"), g("$.osint[0].vendor_name").alias("first_feed"), g("$.osint[0].type_id").alias("type_id"), g("$.evidences[0].data.event_uid").alias("event_uid"), g("$.finding_info.uid").alias("info_uid"), g("$.unmapped.assertions[0].valid_from").cast("bigint").alias("valid_from"))
+
+
+FINDING_EVENTS_SQL = f"""{HITS_SQL.replace("feed, confidence, added FROM o", "feed, confidence, added, valid_from, valid_until FROM o")}, {ALLOW_SQL}, {ALLOWED_SQL}, dh AS (SELECT DISTINCT * FROM h),
+  s AS (SELECT id, kind, value, max(confidence) AS confidence, count(*) AS feeds, min(feed) AS first_feed, arg_min({{'v': valid_from}}, {{'f': feed, 'c': confidence, 'n': valid_from IS NOT NULL, 'a': coalesce(valid_from, 0)}}).v AS valid_from FROM dh GROUP BY ALL)
+  SELECT sha256(id || '|' || kind || '|' || value)[1:32] AS uid, id, id * 1000 AS time, (CASE WHEN allowed_by IS NOT NULL THEN 1 WHEN confidence >= 90 THEN 4 WHEN confidence >= 50 THEN 3 ELSE 2 END)::INT AS severity_id, allowed_by IS NULL AS is_alert, CASE WHEN allowed_by IS NULL THEN 'New' ELSE 'Suppressed' END AS status, allowed_by AS detail, feeds::INT AS feeds, first_feed, '2' AS type_id, id::VARCHAR AS event_uid,
+    sha256(id || '|' || kind || '|' || value)[1:32] AS info_uid, valid_from FROM s LEFT JOIN b ON b.host = s.value"""
+
+
 def _addresses(spark, d):
     return events(spark, d).select("id", "src_ip").withColumn("number", T.ipv4_number(F.col("src_ip")))
 
@@ -191,6 +207,7 @@ QUERIES = {
     "intel_allow": (lambda spark, d: intel.allowed(_pages(spark, d).select("page_id", "host"), _allow(spark, d)), f"WITH {PAGES_SQL}, {ALLOW_SQL}, {ALLOWED_SQL} SELECT page_id, host, allowed_by FROM p LEFT JOIN b USING (host)"),
     "intel_confidence": (lambda spark, d: intel.summarize(_hits(spark, d), "id", "value"), f"{HITS_SQL} SELECT id, value, max(confidence) AS confidence, CASE WHEN count(*) = count(added) THEN min(added) END AS known_since, array_to_string(list_sort(list_distinct(list(feed))), ',') AS feeds FROM h GROUP BY ALL"),
     "intel_findings": (_findings, FINDINGS_SQL),
+    "finding_events": (_finding_events, FINDING_EVENTS_SQL),
     "intel_look_back": (lambda spark, d: intel.summarize(_hits(spark, d).filter("added >= 100"), "id", "value").select("id", "value", "confidence"), f"{HITS_SQL} SELECT id, value, max(confidence) AS confidence FROM h WHERE added >= 100 GROUP BY ALL"),
     "feed_gate": (lambda spark, d: intel.feed_gate(table(spark, d, "part").select(F.col("p_brand").alias("feed"), (F.col("p_retailprice") < 910).alias("rejected"))), "SELECT p_brand AS feed, count(*) AS rows, sum((p_retailprice < 910)::INT)::BIGINT AS rejected, rows > 0 AND sum((p_retailprice < 910)::INT) <= count(*) * 0.1 AS accepted FROM part GROUP BY 1"),
     "feed_replace": (_replace, "WITH f AS (SELECT 'digest' AS kind, md5(p_name) AS value, p_brand AS feed, max(CASE WHEN p_partkey % 3 <> 0 THEN p_partkey END) AS added FROM part GROUP BY ALL) SELECT * FROM f WHERE feed <> 'Brand#2' OR added % 2 = 0 UNION ALL SELECT 'digest', 'fresh', 'Brand#2', 7"),
