@@ -361,3 +361,13 @@ def navigator_layer(verdicts: DataFrame) -> DataFrame:
     """A layer of scores as one JSON text for each verdict."""
     score = F.when(F.col("verdict") == "detected", 100).when(F.col("verdict") == "blind", 50).when(F.col("verdict") == "collected", 25).otherwise(0)
     return verdicts.select("technique", F.to_json(F.struct(F.col("technique").alias("techniqueID"), score.alias("score"), F.col("verdict").alias("comment"))).alias("entry"))
+
+
+def navigator_document(verdicts: DataFrame, name: str, domain: str, version: str) -> DataFrame:
+    """The whole layer as one JSON text, techniques in order: one row, as large
+    as the framework."""
+    score = F.when(F.col("verdict") == "detected", 100).when(F.col("verdict") == "blind", 50).when(F.col("verdict") == "collected", 25).otherwise(0)
+    entry = F.struct(F.col("technique").alias("techniqueID"), score.alias("score"), F.col("verdict").alias("comment"))
+    made = verdicts.agg(F.array_sort(F.collect_list(entry)).alias("techniques"))
+    versions = F.struct(F.lit(version).alias("attack"), F.lit("4.5").alias("layer"))
+    return made.select(F.to_json(F.struct(F.lit(name).alias("name"), F.lit(domain).alias("domain"), versions.alias("versions"), "techniques")).alias("layer"))

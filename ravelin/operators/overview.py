@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ravelin.functions.text import bucket
@@ -43,6 +43,16 @@ def dedupe(events: DataFrame) -> DataFrame:
     return events.withColumn("received_day", bucket(F.col("received"), 86_400_000)).dropDuplicates(["received_day", "class_uid", "time", "id"])
 
 
+#: Days that tables are kept, by the time of their rows.
+KEPT_DAYS = {"events": 365, "claims": 365, "rollups": 35, "reports": 1}
+
+
+def retain_table(rows: DataFrame, table: str, now_ms: int, time_col: str, days: dict[str, int] | None = None) -> DataFrame:
+    """Whole days of a table within its own retention; a table that is not named is an error."""
+    kept = (days or KEPT_DAYS)[table]
+    return rows.filter(bucket(F.col(time_col), 86_400_000) >= now_ms // 86_400_000 * 86_400_000 - kept * 86_400_000)
+
+
 def retain(events: DataFrame, now_ms: int, days: int) -> DataFrame:
     """Whole receipt days within the retention."""
     return events.filter(bucket(F.col("received"), 86_400_000) >= now_ms // 86_400_000 * 86_400_000 - days * 86_400_000)
@@ -68,6 +78,26 @@ def newest_version(rows: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(rows.agg(F.max("version").alias("version"))), "version", "left_semi")
 
 
+def publish_version(rows: DataFrame, folder: str, version: int, keep: int = 3) -> None:
+    """Write a new version of a table beside the old ones: its rows, then a row
+    that says it is complete, so that a reader never sees half of it; then all
+    but the newest ``keep`` complete versions go."""
+    spark = rows.sparkSession
+    rows.write.mode("overwrite").parquet(f"{folder}/rows/version={version}")
+    spark.createDataFrame([(version,)], "version long").write.mode("append").parquet(f"{folder}/complete")
+    complete = sorted({r.version for r in spark.read.parquet(f"{folder}/complete").collect()}, reverse=True)  # a number a run
+    jvm = spark.sparkContext._jvm  # noqa: SLF001 - there is no public way to a file system
+    for old in complete[keep:]:
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/rows/version={old}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)  # noqa: SLF001
+
+
+def read_version(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest complete version of a table."""
+    newest = spark.read.parquet(f"{folder}/complete").agg(F.max("version")).first()[0]
+    return spark.read.parquet(f"{folder}/rows/version={newest}").withColumn("version", F.lit(newest))
+
+
 def merge_ranges(ranges: DataFrame, *keys: str) -> DataFrame:
     """Ranges [lo, hi) that overlap or touch, as one each."""
     w = Window.partitionBy(*keys).orderBy("lo", "hi")

@@ -84,6 +84,31 @@ def check(d: Definition) -> None:
             seen.append(f.target)
 
 
+#: How raw data may be framed for each way to decode a record.
+FRAMINGS = {"json": ("lines", "json-values"), "csv": ("lines",), "auditd": ("audit-events",), "syslog": ("lines", "syslog"), "syslog-json": ("lines", "syslog")}
+#: Constants that an enumeration of the event model allows.
+ENUMS = {"severity_id": (0, 1, 2, 3, 4, 5, 6, 99), "status_id": (0, 1, 2, 99)}
+
+
+def check_source(framing: str, decoding: str, definition: Definition, unwrap: str | None = None, attributes: dict[int, set[str]] | None = None) -> None:
+    """Refuse a source whose parts do not fit each other: a framing that gives no
+    records for the decoding, batches of what is not JSON, constants beyond an
+    enumeration, and, with the ``attributes`` of each class, targets that the
+    event model does not have."""
+    if framing not in FRAMINGS.get(decoding, ()):
+        raise DefinitionError(f"{framing} gives no records for {decoding}")
+    if unwrap is not None and decoding != "json":
+        raise DefinitionError("only JSON comes in batches")
+    for k in definition.kinds:
+        for f in k.fields:
+            allowed = ENUMS.get(f.target)
+            values = [f.constant] if f.source is None else [*f.translate.values(), *([] if f.otherwise is None else [f.otherwise])]
+            if allowed and (bad := [v for v in values if int(v) not in allowed]):
+                raise DefinitionError(f"{bad[0]} is not defined for {f.target}")
+            if attributes is not None and f.target not in attributes.get(k.class_uid, ()):
+                raise DefinitionError(f"class {k.class_uid} has no {f.target}")
+
+
 def source_path(record: Column, path: str, kind: str = "string") -> Column:
     """The one value at a path of a VARIANT: nested members, array indexes, or
     members whose names hold dots."""
@@ -281,9 +306,11 @@ def record_id(source: Column, raw: Column) -> Column:
     return F.substring(F.sha2(F.concat(F.length(source).cast("string"), F.lit(":"), source, raw), 256), 1, 32)
 
 
-def validate(time: Column, class_uid: Column, activity: Column, type_uid: Column, category: Column, start: Column, end: Column) -> Column:
-    """Are an event's own numbers in agreement?"""
-    good = (time > 0) & (type_uid == class_uid * 100 + activity) & (category == F.floor(class_uid % 100000 / 1000)) & (start.isNull() | end.isNull() | (start <= end))
+def validate(time: Column, class_uid: Column, activity: Column, type_uid: Column, category: Column, start: Column, end: Column, version: Column | None = None) -> Column:
+    """Are an event's own numbers in agreement, and does it name the version of
+    its schema, where that is given?"""
+    good = F.lit(True) if version is None else version.rlike(r"^\d+\.\d+\.\d+")
+    good &= (time > 0) & (type_uid == class_uid * 100 + activity) & (category == F.floor(class_uid % 100000 / 1000)) & (start.isNull() | end.isNull() | (start <= end))
     return F.coalesce(good, F.lit(False))
 
 

@@ -226,6 +226,7 @@ QUERIES = {
     "attack_broken": (lambda spark, d: attack.broken_references(table(spark, d, "part").select(F.concat(F.lit("T"), (1000 + F.col("p_partkey") * 2).cast("string")).alias("technique")), _framework(spark, d).techniques), f"WITH {TECHNIQUE_SQL}, r AS (SELECT DISTINCT 'T' || (1000 + p_partkey * 2) AS technique FROM part) SELECT technique, coalesce(state, 'unknown') AS state, replaced_by FROM r LEFT JOIN f USING (technique) WHERE state IS NULL OR state <> 'active'"),
     "attack_coverage": (_verdicts, f"{COVER_SQL} SELECT * FROM v"),
     "attack_verdicts": (lambda spark, d: _verdicts(spark, d).groupBy("verdict").agg(F.count("*").alias("n")), f"{COVER_SQL} SELECT verdict, count(*) AS n FROM v GROUP BY 1"),
+    "navigator_document": (lambda spark, d: graph.navigator_document(_verdicts(spark, d), "Parts", "parts", "1.0"), f"""{COVER_SQL} SELECT '{{"name":"Parts","domain":"parts","versions":{{"attack":"1.0","layer":"4.5"}},"techniques":[' || string_agg('{{"techniqueID":"' || technique || '","score":' || (CASE verdict WHEN 'detected' THEN 100 WHEN 'blind' THEN 50 WHEN 'collected' THEN 25 ELSE 0 END) || ',"comment":"' || verdict || '"}}', ',' ORDER BY technique) || ']}}' AS layer FROM v"""),
     "navigator_layer": (lambda spark, d: graph.navigator_layer(_verdicts(spark, d)), f"""{COVER_SQL} SELECT technique, '{{"techniqueID":"' || technique || '","score":' || (CASE verdict WHEN 'detected' THEN 100 WHEN 'blind' THEN 50 WHEN 'collected' THEN 25 ELSE 0 END) || ',"comment":"' || verdict || '"}}' AS entry FROM v"""),
 }
 

@@ -123,6 +123,16 @@ def _stix(spark, d):
     return p.groupBy((F.col("p_partkey") % 16).alias("b")).agg(F.to_json(F.struct(F.lit("bundle").alias("type"), F.collect_list(obj).alias("objects"))).alias("bundle")).select("bundle")
 
 
+def _indicators(spark, d):
+    """Parts as rows of a list whose kinds, confidences and times stand in columns."""
+    p, n = table(spark, d, "part"), F.col("p_size") % 4
+    value = F.when(n == 0, F.concat(F.lit("N"), F.col("p_partkey").cast("string"), F.lit("[.]Example"))).when(n == 1, F.concat(F.lit("10.0.0."), F.when(F.col("p_size") % 8 == 1, F.col("p_partkey") % 200).otherwise(999).cast("string"))).otherwise(F.upper(F.sha2("p_name", 256)))
+    word = F.element_at(F.array(F.lit("host"), F.lit("addr"), F.lit("file"), F.lit("other")), (n + 1).cast("int"))
+    rows = p.select(value.alias("v"), word.alias("k"), F.when(F.col("p_size") > 45, F.col("p_size") * 3).otherwise(F.col("p_size")).cast("string").alias("c"), (F.col("p_partkey") + 1704067200).cast("string").alias("t"), F.col("p_brand").alias("l"))
+    feed = feeds.Feed("list", "v", kind_column="k", kinds={"host": "domain", "addr": "ip", "file": "sha256"}, confidence_column="c", first_seen="t", label="l", valid_days=10)
+    return feeds.indicators(rows, feed, 0).drop("last_seen")
+
+
 def _context(spark, d):
     s = table(spark, d, "supplier")
     rows = s.select(F.col("s_suppkey"), F.concat(F.col("s_name"), F.lit("; alias"), F.col("s_suppkey").cast("string")).alias("names"), F.element_at(F.array(F.lit("Low"), F.lit("HIGH"), F.lit("3"), F.lit("odd")), (F.col("s_suppkey") % 4 + 1).cast("int")).alias("rank"), F.element_at(F.array(F.lit("Yes"), F.lit("0"), F.lit("maybe")), (F.col("s_suppkey") % 3 + 1).cast("int")).alias("is_active"))
@@ -169,9 +179,10 @@ QUERIES = {
     "coerce_ip": (_coerced("ip", lambda: F.element_at(F.array(F.col("src_ip"), F.concat(F.lit("2001:db8::"), F.lower(F.hex("k"))), F.concat("src_ip", F.lit(".1")), F.lit("1:2:3:4:5:6:7:8:9")), (F.col("id") % 4 + 1).cast("int"))), f"{EV} SELECT id, CASE id % 4 WHEN 0 THEN src_ip WHEN 1 THEN '2001:db8::' || lower(to_hex(k)) END AS v FROM ev"),
     "fingerprints": (lambda spark, d: table(spark, d, "part").select("p_partkey", F.explode(N.fingerprints(F.concat(F.lit("MD5="), F.md5("p_name"), F.lit(", sha256="), F.sha2("p_name", 256), F.lit(",junk")))).alias("f")).select("p_partkey", "f.*"), "SELECT p_partkey, 'MD5' AS algorithm, md5(p_name) AS value FROM part UNION ALL SELECT p_partkey, 'SHA256', sha256(p_name) FROM part"),
     "derive_uids": (lambda spark, d: events(spark, d).select("id", "category_uid", "type_uid"), f"{EV} SELECT id, category_uid, type_uid FROM ev"),
-    "validate_event": (lambda spark, d: events(spark, d).select("id", N.validate(F.col("time"), F.col("class_uid"), F.col("activity_id"), F.when(F.col("id") % 9 == 0, 1).otherwise(F.col("type_uid")), F.col("category_uid"), F.col("k"), F.when(F.col("id") % 2 == 0, 50)).alias("good")), f"{EV} SELECT id, id % 9 <> 0 AND (id % 2 = 1 OR k <= 50) AS good FROM ev"),
+    "validate_event": (lambda spark, d: events(spark, d).select("id", N.validate(F.col("time"), F.col("class_uid"), F.col("activity_id"), F.when(F.col("id") % 9 == 0, 1).otherwise(F.col("type_uid")), F.col("category_uid"), F.col("k"), F.when(F.col("id") % 2 == 0, 50), F.when(F.col("id") % 11 != 0, "1.5.0")).alias("good")), f"{EV} SELECT id, id % 9 <> 0 AND id % 11 <> 0 AND (id % 2 = 1 OR k <= 50) AS good FROM ev"),
     "record_id": (lambda spark, d: table(spark, d, "documents").select("doc_id", N.record_id(F.col("source"), F.col("text")).alias("record_id")), "SELECT doc_id, substring(sha256(length(source) || ':' || source || text), 1, 32) AS record_id FROM documents"),
     "feed_csv": (lambda spark, d: feeds.feed_csv(table(spark, d, "part").select(F.explode(F.array(F.lit("# list"), F.concat(F.lit(" n"), F.col("p_partkey").cast("string"), F.lit(' , "'), F.col("p_name"), F.lit('" ,')))).alias("line")), ["host", "label", "none"]), "SELECT 'n' || p_partkey AS host, p_name AS label, NULL::VARCHAR AS none FROM part"),
+    "feed_indicators": (_indicators, "SELECT 'list' AS feed, CASE p_size % 4 WHEN 0 THEN 'domain' WHEN 1 THEN 'ip' WHEN 2 THEN 'sha256' END AS kind, CASE p_size % 4 WHEN 0 THEN 'n' || p_partkey || '.example' WHEN 1 THEN CASE WHEN p_size % 8 = 1 THEN '10.0.0.' || (p_partkey % 200) END ELSE sha256(p_name) END AS value, p_brand AS label, CASE WHEN p_size > 45 THEN p_size * 3 ELSE p_size END AS confidence, 1704067200 + p_partkey AS first_seen, 1704067200 + p_partkey AS valid_from, 1704067200 + p_partkey + 864000 AS valid_until, (p_size % 4 = 1 AND p_size % 8 <> 1) OR (p_size > 45 AND p_size * 3 > 100) AS rejected FROM part WHERE p_size % 4 < 3"),
     "feed_stix": (lambda spark, d: feeds.feed_stix(_stix(spark, d)).select("kind", "value", "confidence"), "SELECT 'domain' AS kind, 'n' || p_partkey || '.example' AS value, p_size::INT AS confidence FROM part WHERE p_size % 5 <> 0 AND p_size <> 7 UNION ALL SELECT 'sha256', sha256(p_name), p_size::INT FROM part WHERE p_size % 5 <> 0 AND p_size <> 7"),
     "context_load": (_context, "SELECT s_suppkey, unnest([s_name, 'alias' || s_suppkey]) AS name, (CASE s_suppkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 3 END)::INT AS criticality, CASE s_suppkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS active FROM supplier"),
 }

@@ -13,6 +13,7 @@ from ravelin.operators import graph, overview
 from ravelin.operators.search import Filter, Schema, Search, SearchError, check, matching, run
 from ravelin.plans import normalize as N
 from ravelin.sources import decoding as D
+from ravelin.sources import feeds
 
 
 @pytest.mark.parametrize(
@@ -68,6 +69,46 @@ def test_addresses_of_both_families(spark):
             assert [r[f"m{p}"] for p in masks] == [f"{int(r.h, 16) >> (128 - p) << (128 - p):032x}" for p in masks]
 
 
+def test_versions_of_a_table(spark, tmp_path):
+    folder = str(tmp_path / "t")
+    for v in range(1, 6):
+        overview.publish_version(spark.range(v), folder, v)
+    assert overview.read_version(spark, folder).count() == 5 and {p.name for p in (tmp_path / "t" / "rows").iterdir()} == {f"version={v}" for v in (3, 4, 5)}
+    spark.range(99).write.parquet(f"{folder}/rows/version=9")  # not complete
+    assert {r.version for r in overview.read_version(spark, folder).collect()} == {5}
+    rows = spark.createDataFrame([(86_400_000 * d,) for d in range(40)], "t long")
+    assert overview.retain_table(rows, "rollups", 86_400_000 * 39, "t").count() == 36 and overview.retain_table(rows, "reports", 86_400_000 * 39 + 5, "t").count() == 2
+
+
+def test_exports_and_feeds(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('# list\n\nhostname, ip ,unit\n h1 , "10.0.0.1",x\nh2,,y\n')
+    (tmp_path / "a.json").write_text('{"hostname":"h1","ip":"10.0.0.1"}\n\n{"hostname":"h2","n":3}\n')
+    for kind in ("csv", "json"):
+        got = feeds.context_export(spark, str(tmp_path / f"a.{kind}"), ["hostname", "ip"], kind).collect()
+        assert sorted((r.hostname, r.ip) for r in got) == [("h1", "10.0.0.1"), ("h2", None)]
+    with pytest.raises(ValueError):
+        feeds.context_export(spark, str(tmp_path / "a.csv"), ["owner"])
+    rows = spark.createDataFrame([("AB" * 16, "2024-01-01", "2024-02-01"), ("ab" * 20, None, None), ("zz", "x", None), (None, None, None), ("ab" * 32, "bad", None)], "h string, f string, l string")
+    got = [(r.kind, r.value, r.rejected, r.valid_until) for r in feeds.indicators(rows, feeds.Feed("f", "h", hashes=True, first_seen="f", last_seen="l", valid_days=1), 1000).collect()]
+    assert got == [("md5", "ab" * 16, False, 1706745600 + 86400), ("sha1", "ab" * 20, False, 87400), ("hash", None, True, 87400), ("hash", None, True, 87400), ("sha256", "ab" * 32, True, 87400)]
+    with pytest.raises(ValueError):
+        feeds.Feed("f", "v")
+
+
+def test_sources_whose_parts_do_not_fit():
+    good = N.load({"name": "x", "kinds": [{"name": "a", "class": 1, "fields": {"severity_id": {"constant": 1}, "u": "u"}}]})
+    N.check_source("lines", "json", good, "records", {1: {"severity_id", "u"}})
+    odd = N.load({"name": "x", "kinds": [{"name": "a", "class": 1, "fields": {"status_id": {"from": "s", "map": {"a": 7}}}}]})
+    for args in (("syslog", "json", good), ("lines", "nothing", good), ("lines", "csv", good, "records"), ("lines", "json", odd), ("lines", "json", good, None, {1: {"u"}})):
+        with pytest.raises(N.DefinitionError):
+            N.check_source(*args)
+    from ravelin.sources import definitions
+
+    decodings = {"csv": ("lines", "csv"), "audit-events": ("audit-events", "auditd")}
+    for how, member, d in definitions.sources().values():
+        N.check_source(*decodings.get(how, (how, "json")), d, member)
+
+
 def test_ipv6_pattern():
     rng, pattern = random.Random(2), re.compile(N.IPV6)
     for _ in range(20_000):
