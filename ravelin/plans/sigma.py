@@ -347,7 +347,8 @@ def _leaf(test: tuple, fields: Fields, name: str | None) -> Column:
         if kind == "cidr":
             net = test[1]
             if net.version == 6:
-                return _in_v6(c.cast("string"), F.lit(str(net)))
+                text = c.cast("string")
+                return text.contains(":") & (T.hex_mask(T.ip_hex(text), net.prefixlen) == f"{int(net.network_address):032x}")
             n = T.ipv4_number(c.cast("string"))
             return (n >= int(net.network_address)) & (n <= int(net.broadcast_address))
         n = F.trim(c.cast("string")).try_cast("double")
@@ -357,17 +358,6 @@ def _leaf(test: tuple, fields: Fields, name: str | None) -> Column:
     return reduce(lambda a, b: a | b, [_some(fields, n, one) for n in names])
 
 
-def _in_v6(address: Column, network: Column) -> Column:
-    @F.udf("boolean", useArrow=True)
-    def inside(a: str, n: str) -> bool:
-        try:
-            return ipaddress.ip_address(a) in ipaddress.ip_network(n)
-        except (ValueError, TypeError):
-            return False
-
-    return inside(address, network)
-
-
 def _search_column(search, fields: Fields) -> Column:
     how, parts = search
     if how == "or":
