@@ -69,6 +69,36 @@ def test_addresses_of_both_families(spark):
             assert [r[f"m{p}"] for p in masks] == [f"{int(r.h, 16) >> (128 - p) << (128 - p):032x}" for p in masks]
 
 
+def test_otlp_in_protobuf(spark):
+    def number(x):
+        out = b""
+        while x > 127:
+            out, x = out + bytes([x & 127 | 128]), x >> 7
+        return out + bytes([x])
+
+    def field(f, v):
+        if isinstance(v, int):
+            return number(f << 3) + number(v)
+        return number(f << 3 | 2) + number(len(v)) + v
+
+    fixed = lambda f, v: number(f << 3 | 1) + v.to_bytes(8, "little")
+    text = lambda s: field(1, s.encode())
+    pair = lambda k, v: field(1, k.encode()) + field(2, v)
+    deep = field(5, field(1, text("a")) + field(1, field(3, (1 << 64) - 5)) + field(1, field(6, field(1, pair("k", field(2, 1))))))
+    log = fixed(1, 1_704_067_200_000_000_001) + field(2, 9) + field(3, b"INFO") + field(5, text("hello é")) + field(6, pair("n", deep)) + field(9, bytes(range(16))) + field(99, b"later")
+    late = fixed(11, 7) + field(5, text("two"))
+    message = field(1, field(1, field(1, pair("host", text("h1")))) + field(2, field(1, field(1, b"scope") + field(2, b"1")) + field(2, log) + field(2, late)))
+    found = D.otlp_message(message)
+    record = found["resourceLogs"][0]["scopeLogs"][0]["logRecords"][0]
+    assert record["attributes"] == [{"key": "n", "value": {"arrayValue": {"values": [{"stringValue": "a"}, {"intValue": "-5"}, {"kvlistValue": {"values": [{"key": "k", "value": {"boolValue": True}}]}}]}}}]
+    rows = [(1, bytearray(message)), (2, bytearray(message[:-3])), (3, None), (4, bytearray(b""))]
+    df = spark.createDataFrame(rows, "i int, b binary").select("i", D.otlp_json(F.col("b")).alias("value"))
+    assert [r.value is None for r in df.orderBy("i").collect()] == [False, True, True, False]
+    got = D.otlp_flatten(df).collect()
+    assert [(r.i, r.time_ns, r.severity, r.body, r.trace_id) for r in got] == [(1, 1_704_067_200_000_000_001, 9, "hello é", bytes(range(16)).hex()), (1, 7, None, "two", None)]
+    assert json.loads(got[0].resource)["attributes"][0]["key"] == "host" and json.loads(got[0].scope)["name"] == "scope"
+
+
 def test_versions_of_a_table(spark, tmp_path):
     folder = str(tmp_path / "t")
     for v in range(1, 6):
