@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ravelin.functions import text as T
-from ravelin.plans.normalize import let
+from ravelin.plans.normalize import let, path_values
 
 #: Most allowlist entries or prefix lengths that a join may broadcast.
 SMALL = 50_000
@@ -21,6 +21,60 @@ def observables(events: DataFrame, id_col: str, values: dict[str, tuple[str, Col
     return rows.groupBy("id", "kind", "value").agg(F.min_by("path", "no").alias("path"))
 
 
+#: Kinds of values by the last names of their path in the event model.
+PLACES = {
+    "ip": "ip",
+    "hostname": "domain",
+    "sni": "domain",
+    "email_addr": "email",
+    "url_string": "url",
+    "file.name": "file_name",
+    "file.path": "file_path",
+    "user.name": "user",
+    "reg_key.path": "registry_key",
+    "reg_value.path": "registry_key",
+    "ja3_hash.value": "ja3",
+    "ja3s_hash.value": "ja3s",
+    "fingerprints.value": "certificate_hash",
+    "rdata": "ip",
+}
+
+
+def places_of(paths) -> dict[str, str]:
+    """Of attributes' paths, those that hold observables, and their kinds."""
+    out = {}
+    for path in sorted(paths):
+        names = [p for p in path.split(".") if not p.isdigit()]
+        kind = PLACES.get(names[-1]) or PLACES.get(".".join(names[-2:]))
+        if kind:
+            out[".".join(names)] = kind
+        elif names[-1] == "hashes":
+            out[".".join(names)] = "hash"
+    return out
+
+
+def event_observables(events: DataFrame, places: dict[str, str], event: str = "event", id_col: str = "id") -> DataFrame:
+    """(id, kind, value, path): the values of normalized events at the places
+    that their schema types name, through arrays, distinct by kind and value
+    with the first path. A hash's kind follows from its algorithm, or its length."""
+    v = F.col("__v")
+    # the condition, which always holds, keeps the optimizer from copying the parser into every use of its result
+    rows = events.select(F.col(id_col).alias("id"), F.when(F.monotonically_increasing_id() >= 0, F.try_parse_json(event)).alias("__v"))
+    found = []
+    for no, (path, kind) in enumerate(places.items()):
+        if kind == "hash":
+            algorithm, value = path_values(v, f"{path}.algorithm"), path_values(v, f"{path}.value")
+            pairs = F.arrays_zip(algorithm.alias("a"), value.alias("v"))
+            named = lambda x: F.when(F.upper(x["a"]) == "IMPHASH", "imphash").otherwise(F.try_element_at(F.create_map(*[F.lit(y) for kv in {32: "md5", 40: "sha1", 64: "sha256"}.items() for y in kv]), F.length(x["v"])))
+            found.append(F.transform(pairs, lambda x: F.struct(F.lit(no).alias("no"), F.lit(path).alias("path"), named(x).alias("kind"), F.lower(x["v"]).alias("value"))))  # noqa: B023 - built at once
+        else:
+            found.append(F.transform(path_values(v, path), lambda x: F.struct(F.lit(no).alias("no"), F.lit(path).alias("path"), F.lit(kind).alias("kind"), x.alias("value"))))  # noqa: B023
+    each = rows.select("id", F.explode(F.concat(*found)).alias("o")).select("id", "o.*")
+    typed = F.when(F.col("kind") == "domain", T.domain(F.col("value"))).when(F.col("kind") == "ip", F.when(T.ip_hex(F.col("value")).isNotNull(), F.lower("value"))).when(F.col("kind") == "url", T.url(F.col("value"))).otherwise(F.col("value"))
+    good = each.withColumn("value", typed).filter("kind is not null and value is not null and value <> ''")
+    return good.groupBy("id", "kind", "value").agg(F.min_by("path", "no").alias("path"))
+
+
 def valid_at(at: Column) -> Column:
     """Half-open validity; an open end is no end."""
     return (F.col("valid_from").isNull() | (F.col("valid_from") <= at)) & (F.col("valid_until").isNull() | (at < F.col("valid_until")))

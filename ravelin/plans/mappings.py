@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.plans import sigma
-from ravelin.plans.normalize import Definition, source_path
+from ravelin.plans.normalize import Definition, path_values, source_path
 from ravelin.sources.definitions import sources
 
 
@@ -137,19 +137,6 @@ def shipped() -> list[Mapping]:
 # Rules over events
 
 
-def path_values(record: Column, path: str) -> Column:
-    """The texts at a path of a VARIANT, through all arrays on the way."""
-
-    def members(x: Column) -> Column:
-        return F.coalesce(F.try_variant_get(x, "$", "array<variant>"), F.array(x))
-
-    found = members(record)
-    for part in path.split("."):
-        name = "$['" + part.replace("'", "\\'") + "']"
-        found = F.flatten(F.transform(found, lambda x: members(F.try_variant_get(x, name, "variant"))))  # noqa: B023 - built at once
-    return F.array_compact(F.transform(found, lambda x: F.try_variant_get(x, "$", "string")))
-
-
 def select(logsource: dict, mappings: list[Mapping]) -> Mapping:
     """The mapping whose log source says most and agrees; ties are an error."""
     return next(m for m in mappings if m.logsource == sigma.select_mapping(logsource, [{"logsource": m.logsource} for m in mappings])["logsource"])

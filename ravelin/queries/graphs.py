@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ravelin.functions.text import epoch_ms
-from ravelin.operators import graph, observe
-from ravelin.sources import attack
+from ravelin.operators import graph, intel, observe
+from ravelin.operators.search import Schema
+from ravelin.plans import normalize
+from ravelin.queries import rules
+from ravelin.sources import attack, definitions
 from ravelin.sources.adapter import EVENTS_SQL, events, table
 
 DAY = 86_400_000
@@ -78,13 +81,23 @@ IDENTITY_SQL = """WITH RECURSIVE q AS (SELECT 'user:uid:c' || o_custkey AS one,
     UNION ALL SELECT weak, entity, 'alias', min(strong), 'paid', sum(events)::BIGINT, min(first_seen), max(last_seen) FROM al GROUP BY weak, entity)"""
 
 
+def _sysmon(spark, d):
+    return normalize.normalize(rules._sysmon_records(spark, d), definitions.sources()["sysmon"][2])
+
+
+def _observables(spark, d):
+    places = intel.places_of({p for own in Schema.of([definitions.sources()["sysmon"][2]]).classes.values() for p in own})
+    return intel.event_observables(_sysmon(spark, d), places)
+
+
+OBSERVABLES_SQL = f"""WITH {EVENTS_SQL} SELECT id, 'user' AS kind, 'CORP\\' || user_name AS value, CASE WHEN id % 3 = 0 THEN 'process.user.name' ELSE 'actor.user.name' END AS path FROM ev
+  UNION ALL SELECT id, 'file_path', 'C:\\w\\' || source || '.exe', CASE WHEN id % 3 = 0 THEN 'process.file.path' ELSE 'actor.process.file.path' END FROM ev UNION ALL SELECT id, 'ip', src_ip, 'dst_endpoint.ip' FROM ev WHERE id % 3 = 1
+  UNION ALL SELECT id, 'file_path', 'D:\\' || user_name || '.txt', 'file.path' FROM ev WHERE id % 3 = 2 UNION ALL SELECT id, 'md5', md5(user_name), 'process.file.hashes' FROM ev WHERE id % 3 = 0 UNION ALL SELECT id, 'sha256', sha256(user_name), 'process.file.hashes' FROM ev WHERE id % 3 = 0"""
+
+
 def _seen(spark, d):
     """What the system monitor's records show."""
-    from ravelin.plans import normalize
-    from ravelin.queries import rules
-    from ravelin.sources import definitions
-
-    normalized = normalize.normalize(rules._sysmon_records(spark, d), definitions.sources()["sysmon"][2])
+    normalized = _sysmon(spark, d)
     return observe.observe(normalized.join(events(spark, d).select("id", F.col("time").alias("at")), "id"), time_col="at")
 
 
@@ -209,6 +222,7 @@ QUERIES = {
     "identities": (_identities, f"{IDENTITY_SQL} SELECT * FROM r"),
     "identities_decided": (_decided, None),
     "identity_standing": (lambda spark, d: _identities(spark, d).groupBy("standing").agg(F.count("*").alias("identifiers"), F.countDistinct("entity").alias("entities")), f"{IDENTITY_SQL} SELECT standing, count(*) AS identifiers, count(DISTINCT entity) AS entities FROM r GROUP BY 1"),
+    "observables_schema": (_observables, OBSERVABLES_SQL),
     "observed_links": (lambda spark, d: graph.links(observe.links_of(_seen(spark, d)), DAY).select("src", "link", "dst", "hour", "events", F.col("first_seen.id").alias("first_id")), f"""WITH {EVENTS_SQL}, x AS (SELECT id, time, 'host:name:' || host AS m, CASE id % 3 WHEN 0 THEN [{{'s': 'user:name:corp\\' || user_name, 'l': 'ran_on', 'd': 'host:name:' || host}}, {{'s': 'host:name:' || host, 'l': 'ran', 'd': 'file:hash:' || sha256(user_name)}}] WHEN 1 THEN [{{'s': 'host:name:' || host, 'l': 'connected_to', 'd': 'address:ip:' || src_ip}}] ELSE [] END AS ls FROM ev),
       y AS (SELECT id, time, unnest(ls) AS o FROM x) SELECT o.s AS src, o.l AS link, o.d AS dst, time // {DAY} AS hour, count(*) AS events, arg_min(id, time * 1000000 + id) AS first_id FROM y GROUP BY ALL"""),
     "neighbours_in_time": (lambda spark, d: graph.neighbours(_edges(spark, d), _members(spark, d), ["s1", "s2", "s3"], 50, 500, 900), f"WITH {EDGES_SQL} SELECT coalesce('brand:' || p_brand, other) AS neighbour, direction, link, sum(events)::BIGINT AS events, min(first_seen) AS first_seen, max(last_seen) AS last_seen FROM b LEFT JOIN part ON other = 'p' || p_partkey WHERE node IN ('s1', 's2', 's3') AND other NOT IN ('s1', 's2', 's3') AND last_seen >= 500 AND first_seen < 900 GROUP BY ALL ORDER BY last_seen DESC, neighbour, direction, link LIMIT 50"),
