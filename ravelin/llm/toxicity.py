@@ -148,8 +148,8 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
             value[known[f], j] += w
     out = np.zeros((len(words), len(landmarks)), np.float32)
     for part, seen, weight in features(words):
-        for s in range(0, len(part), 512):
-            out[part[s : s + 512]] = np.einsum("bml,m->bl", value[place[seen[s : s + 512]]], weight, optimize=True)
+        for s in range(0, len(part), 64):  # a piece of the driver's memory: words x subsequences x landmarks
+            out[part[s : s + 64]] = np.einsum("bml,m->bl", value[place[seen[s : s + 64]]], weight, optimize=True)
     return out
 
 
