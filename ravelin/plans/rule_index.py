@@ -255,11 +255,11 @@ class _Judge:
     def _scalars(self, values: pa.Array) -> tuple[np.ndarray, list[frozenset]]:
         if self.form == "number":
             v = values.to_numpy(zero_copy_only=False).astype(np.float64)
-            null = np.asarray(values.is_null()) | np.isnan(v)
+            null = np.asarray(values.is_null())
             at = np.searchsorted(self.steps, v, side="left")
             on = (self.steps[np.minimum(at, len(self.steps) - 1)] == v) if len(self.steps) else np.zeros(len(v), bool)
-            step, back = np.unique(np.where(null, -1, 2 * at + on), return_inverse=True)
-            return back.reshape(-1), [self.of_step(s) if s >= 0 else frozenset() for s in step.tolist()]
+            step, back = np.unique(np.where(null, -1, np.where(np.isnan(v), -2, 2 * at + on)), return_inverse=True)
+            return back.reshape(-1), [self.of_step(s) if s >= 0 else self.held if s == -2 else frozenset() for s in step.tolist()]
         if self.form == "flag":
             return np.asarray(values.fill_null(False)).astype(np.int64), [frozenset(), self.held]
         coded = values.dictionary_encode()
@@ -319,10 +319,11 @@ class Builder:
     def test(self, fields, column: str, test: tuple) -> tuple:
         listed = column in fields.arrays
         number = test[0] in NUMBER_TESTS
-        if test[0] == "held" and not number:
-            number = ("number", column) in self.places and ("text", column) not in self.places
+        native = self.types.get(column) in ("tinyint", "smallint", "int", "bigint", "float", "double")
+        if test[0] == "held":  # a text that is no number is there all the same
+            number = native and not listed
         to_number = (lambda c: F.trim(c.cast("string")).try_cast("double")) if number else (lambda c: c.cast("string"))
-        if number and self.types.get(column) in ("tinyint", "smallint", "int", "bigint", "float", "double"):
+        if number and native:
             to_number = lambda c: c.cast("double")
         form = "number" if number else "text"
         make = (lambda: F.transform(F.col(column), to_number)) if listed else (lambda: to_number(F.col(column)))

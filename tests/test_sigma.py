@@ -50,6 +50,17 @@ def test_no_rules_and_no_events(spark):
     assert [r.rules for r in S.match_all(df, [(rule, FIELDS, None)]).collect()] == [[0]]
 
 
+def test_values_that_are_no_numbers_are_there(spark):
+    rows = [(0, "abc", float("nan"), ["x", None]), (1, "7", 7.0, ["7"]), (2, None, None, []), (3, " 8 ", -1.0, None)]
+    df = spark.createDataFrame(rows, "i int, t string, d double, l array<string>")
+    fields = S.Fields({"t": ["t"], "d": ["d"], "l": ["l"]}, [], frozenset(["l"]))
+    detections = [{f"{c}|gte": 5} for c in "tdl"] + [{f"{c}|exists": True} for c in "tdl"] + [{c: None} for c in "tdl"] + [{"t": 7}, {"d|lt": 0}]
+    rules = [S.load({"detection": {"s": d, "condition": "s"}}) for d in detections]
+    found = {r.i: r.rules for r in S.match_all(df, [(r, fields, None) for r in rules]).collect()}
+    single = {r.i: [k for k, x in enumerate(list(r)[1:]) if x] for r in df.select("i", *[S.compile_rule(r, fields).alias(f"r{k}") for k, r in enumerate(rules)]).collect()}
+    assert found == single == {0: [3, 4, 5], 1: [0, 1, 2, 3, 4, 5, 9], 2: [6, 7, 8], 3: [0, 3, 4, 8, 10]}
+
+
 def test_compiled_rules_agree_with_the_reference(spark):
     rng = random.Random(5)
     word = lambda: None if rng.random() < 0.2 else "".join(rng.choice(["a", "b", "A", "ß", "*"]) for _ in range(rng.randint(0, 4)))
