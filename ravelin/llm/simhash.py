@@ -338,7 +338,7 @@ def wide_print(data: bytes, bits: int, blocks: int) -> tuple[bytes, list[int]]:
 def _wide_prints(bits: int, blocks: int):
     def run(batches):
         for rb in batches:
-            found = [wide_print(x, bits, blocks) for x in rb.column(1).to_pylist()]
+            found = [wide_print(x, bits, blocks) for s in range(0, rb.num_rows, 500) for x in rb.column(1).slice(s, 500).to_pylist()]
             yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(2), pa.array([w for w, _ in found], pa.binary()), pa.array([b for _, b in found], pa.list_(pa.int64()))], ["doc_id", "h", "wide", "blocks"])
 
     return run

@@ -360,9 +360,8 @@ def _scorer(model: Model | None, name: str = "score"):
         known: dict[str, float] = {}
         for rb in batches:
             scores: list[float] = []
-            texts = rb.column(1).to_pylist()
-            for s in range(0, len(texts) if model else 0, 500):
-                sets = [words_of(t or "") for t in texts[s : s + 500]]
+            for s in range(0, rb.num_rows if model else 0, 500):
+                sets = [words_of(t or "") for t in rb.column(1).slice(s, 500).to_pylist()]
                 if len(known) > CACHE:
                     known.clear()
                 new = [w for w in set().union(*sets) if w not in known]
