@@ -109,8 +109,10 @@ def match_addresses(observed: DataFrame, networks: DataFrame, lengths: list[int]
     each prefix length in use."""
     if len(lengths) > 129 or any(not 0 <= p <= 128 for p in lengths):
         raise ValueError("a prefix has 0 to 128 bits")
-    tries = let(F.col("address"), lambda a: F.array(*[F.struct(F.lit(p).alias("prefix"), T.hex_mask(a, p).alias("net")) for p in lengths]))
-    return observed.filter("address is not null").withColumn("t", F.explode(tries)).select(*observed.columns, "t.prefix", "t.net").join(networks, ["net", "prefix"])
+    tries = F.array(*[F.struct(F.lit(p).alias("prefix"), T.hex_mask(F.col("address"), p).alias("net")) for p in lengths])
+    # the condition, which always holds, keeps the optimizer from reading the address anew for each prefix
+    once = observed.withColumn("address", F.when(F.monotonically_increasing_id() >= 0, F.col("address"))).filter("address is not null")
+    return once.withColumn("t", F.explode(tries)).select(*observed.columns, "t.prefix", "t.net").join(networks, ["net", "prefix"])
 
 
 def parents(domain: Column) -> Column:
