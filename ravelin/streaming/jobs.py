@@ -89,11 +89,17 @@ def correlate(rows: DataFrame, keys: list[str], span: str, least: int, slide: st
 
 def sessions(rows: DataFrame, keys: list[str], gap: str, delay: str = "1 hour", time_col: str = "time") -> DataFrame:
     """Runs of rows alike in ``keys`` without a pause of ``gap``: (keys, first,
-    last, n). The same for a table and for a stream."""
+    last, n). The same for a table and for a stream; a table's rows without a
+    time are a run of their own, which a stream, waiting for times, leaves out."""
     at = rows.withColumn("at", F.timestamp_millis(time_col))
+    when, timeless = F.col("at"), []
     if rows.isStreaming:
         at = at.withWatermark("at", delay)
-    return at.groupBy(*keys, F.session_window("at", gap)).agg(F.min(time_col).alias("first"), F.max(time_col).alias("last"), F.count("*").alias("n")).drop("session_window")
+    else:
+        when, timeless = F.coalesce("at", F.timestamp_millis(F.lit(0))), [F.isnull("at").alias("__timeless")]
+    # a session window goes on at a pause of exactly its gap
+    window = F.session_window(when, f"{gap} -1 microseconds").alias("session_window")
+    return at.groupBy(*keys, *timeless, window).agg(F.min(time_col).alias("first"), F.max(time_col).alias("last"), F.count("*").alias("n")).drop("session_window", "__timeless")
 
 
 def rematch(stored: DataFrame, ranges: DataFrame, find, folder: str) -> int:

@@ -27,6 +27,12 @@ def test_windows_and_sessions_of_streams_equal_those_of_tables(spark, tmp_path):
         assert want and {tuple(r) for r in spark.read.parquet(out).collect()} == want
 
 
+def test_a_pause_of_the_gap_ends_a_session(spark):
+    table = spark.createDataFrame([("a", 0), ("a", 1000), ("a", 1999), ("b", 0), ("b", 0), ("b", 999), ("c", None), ("c", 0), ("c", None), (None, 5)], "user string, time long")
+    found = {tuple(r) for r in jobs.sessions(table, ["user"], "1 second").collect()}
+    assert found == {("a", 0, 0, 1), ("a", 1000, 1999, 2), ("b", 0, 999, 3), ("c", 0, 0, 1), ("c", None, None, 2), (None, 5, 5, 1)}
+
+
 def test_topics_on_disk_are_published_as_they_come(spark, tmp_path):
     table = rows(spark, 20)
     jobs.publish(table, str(tmp_path / "a"))
