@@ -23,46 +23,70 @@ NOBODY = "s-1-0-0"
 IDS = "array<struct<rank:int,id:string>>"
 
 
-def _member(v: Column, path: str) -> Column:
-    """A text of an event, null if it says nothing."""
-    spelled = "$" + "".join(f"[{p}]" if p.isdigit() else f".{p}" for p in path.split("."))
-    x = F.lower(F.trim(F.try_variant_get(v, spelled, "string")))
-    return F.when(~x.isin(*NOTHING), x)
+#: Members of an object that identifiers are made of.
+USER_MEMBERS = ("uid", "uid_alt", "email_addr", "name", "domain")
+HOST_MEMBERS = ("uid", "hostname", "name", "domain", "mac", "ip")
 
 
-def _ids(*found: Column) -> Column:
+def _at(path: str) -> str:
+    return "$" + "".join(f"[{p}]" if p.isdigit() else f".{p}" for p in path.split("."))
+
+
+def _ranked(found: Column) -> Column:
     """Identifiers by rank, the strongest first, each once."""
-    return F.array_sort(F.array_distinct(F.transform(F.array_compact(F.array(*found)), lambda x: F.struct(T.identity_rank(x).cast("int").alias("rank"), x.alias("id"))))).cast(IDS)
-
-
-def _host(v: Column, path: str) -> tuple[Column, Column]:
-    """(identifiers, address) of a machine or an endpoint."""
-    m = lambda name: _member(v, f"{path}.{name}")
-    is_ip = lambda x: x.rlike(IPV4) | x.rlike(IPV6)
-    name = F.regexp_replace(F.coalesce(m("hostname"), m("name")), r"\.$", "")
-    domain = m("domain")
-    whole = F.when(domain.isNotNull() & (domain != "workgroup") & ~name.contains("."), F.concat(name, F.lit("."), domain)).otherwise(name)
-    mac = F.regexp_replace(m("mac"), "[^0-9a-f]", "")
-    mac = F.when(F.length(mac) == 12, F.regexp_replace(mac, "(..)(?!$)", "$1:"))
-    address = F.coalesce(F.when(is_ip(m("ip")), m("ip")), F.when(is_ip(name), name))
-    found = _ids(F.concat(F.lit("host:uid:"), m("uid")), F.when(~is_ip(name), F.concat(F.lit("host:name:"), whole)), F.concat(F.lit("host:mac:"), mac))
-    return found, F.concat(F.lit("address:ip:"), address)
-
-
-def _user(v: Column, path: str, device: Column) -> Column:
-    """Identifiers of a user, for an event of the machine ``device``."""
-    m = lambda name: _member(v, f"{path}.{name}")
+    return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.struct(T.identity_rank(x).cast("int").alias("rank"), x.alias("id"))))).cast(IDS)
+
+
+def _is_ip(x: Column) -> Column:
+    return x.rlike(IPV4) | x.rlike(IPV6)
+
+
+def _hosts(rows: DataFrame) -> DataFrame:
+    """Of the machine or endpoint whose members are ``__h<i>_<member>``:
+    ``__h<i>``, its identifiers, and ``__a<i>``, its address."""
+    m = lambda i, name: F.col(f"__h{i}_{name}")
+    each = range(len(HOSTS))
+    rows = rows.withColumns({f"__h{i}_called": F.regexp_replace(F.coalesce(m(i, "hostname"), m(i, "name")), r"\.$", "") for i in each} | {f"__h{i}_hex": F.regexp_replace(m(i, "mac"), "[^0-9a-f]", "") for i in each})
+    rows = rows.withColumns({f"__h{i}_numeric": _is_ip(m(i, "called")) for i in each})
+    ids, addresses = {}, {}
+    for i in each:
+        name, domain, mac = m(i, "called"), m(i, "domain"), m(i, "hex")
+        whole = F.when(domain.isNotNull() & (domain != "workgroup") & ~name.contains("."), F.concat(name, F.lit("."), domain)).otherwise(name)
+        mac = F.when(F.length(mac) == 12, F.regexp_replace(mac, "(..)(?!$)", "$1:"))
+        found = _ranked(F.array_compact(F.array(F.concat(F.lit("host:uid:"), m(i, "uid")), F.when(~m(i, "numeric"), F.concat(F.lit("host:name:"), whole)), F.concat(F.lit("host:mac:"), mac))))
+        ids[f"__h{i}"] = F.when(F.col(f"__h{i}_object").isNotNull(), found).otherwise(F.array().cast(IDS))
+        addresses[f"__a{i}"] = F.concat(F.lit("address:ip:"), F.coalesce(F.when(_is_ip(m(i, "ip")), m(i, "ip")), F.when(m(i, "numeric"), name)))
+    return rows.withColumns(ids | addresses)
+
+
+def _users(rows: DataFrame) -> DataFrame:
+    """Of the user whose members are ``__u<i>_<member>``: ``__u<i>``, its
+    identifiers, for an event of the machine ``__h0``."""
+    m = lambda i, name: F.col(f"__u{i}_{name}")
     sid = lambda x: F.when(x.rlike(r"^s-1-\d+(-\d+)*$") & (x != NOBODY), F.concat(F.lit("user:sid:"), x))
     uid = lambda x: F.when(~x.startswith("s-1-") & ~x.rlike(r"^\d+$"), F.concat(F.lit("user:uid:"), x))
-    own = F.array_compact(F.array(*[f(m(n)) for n in ("uid", "uid_alt") for f in (sid, uid)], F.when(m("email_addr").rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$"), F.concat(F.lit("user:email:"), m("email_addr")))))
-    name = m("name")
-    written = F.when(m("domain").isNotNull() & ~name.rlike(r"[\\@]"), F.concat(m("domain"), F.lit("\\"), name)).otherwise(name)
-    named = F.concat(F.lit("user:name:"), written)
-    of_device = F.coalesce(device.startswith("host:name:") & written.contains("\\") & (F.substring_index(written, "\\", 1) == F.substring_index(F.regexp_replace(device, "^host:name:", ""), ".", 1)), F.lit(False))
-    alone = ~F.exists(own, T.identity_strong)
-    local = F.when(of_device | (alone & ~T.identity_strong(named)), F.concat(F.lit("user:local:"), F.regexp_replace(device, "^host:[a-z]*:", ""), F.lit(":"), F.regexp_replace(written, r"^[^\\]*\\", "")))
-    every = F.concat(own, F.array_compact(F.array(local, F.when(~of_device, named))))
-    return F.array_sort(F.array_distinct(F.transform(every, lambda x: F.struct(T.identity_rank(x).cast("int").alias("rank"), x.alias("id"))))).cast(IDS)
+    each = range(len(USERS))
+    there = lambda i, x: F.when(F.col(f"__u{i}_object").isNotNull(), x)
+    made = {"__device": F.get(F.col("__h0"), F.lit(0))["id"]}
+    for i in each:
+        email, name, domain = m(i, "email_addr"), m(i, "name"), m(i, "domain")
+        made[f"__u{i}_own"] = there(i, F.array_compact(F.array(*[f(m(i, n)) for n in ("uid", "uid_alt") for f in (sid, uid)], F.when(email.rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$"), F.concat(F.lit("user:email:"), email)))))
+        made[f"__u{i}_written"] = F.when(domain.isNotNull() & ~name.rlike(r"[\\@]"), F.concat(domain, F.lit("\\"), name)).otherwise(name)
+    rows = rows.withColumns(made)
+    device, made = F.col("__device"), {}
+    for i in each:
+        written = m(i, "written")
+        made[f"__u{i}_here"] = there(i, F.coalesce(device.startswith("host:name:") & written.contains("\\") & (F.substring_index(written, "\\", 1) == F.substring_index(F.regexp_replace(device, "^host:name:", ""), ".", 1)), F.lit(False)))
+        made[f"__u{i}_named"] = F.concat(F.lit("user:name:"), written)
+    rows = rows.withColumns(made)
+    made = {}
+    for i in each:
+        of_device, named = m(i, "here"), m(i, "named")
+        alone = ~F.exists(m(i, "own"), T.identity_strong)
+        local = F.when(of_device | (alone & ~T.identity_strong(named)), F.concat(F.lit("user:local:"), F.regexp_replace(device, "^host:[a-z]*:", ""), F.lit(":"), F.regexp_replace(m(i, "written"), r"^[^\\]*\\", "")))
+        found = _ranked(F.concat(m(i, "own"), F.array_compact(F.array(local, F.when(~of_device, named)))))
+        made[f"__u{i}"] = there(i, found).otherwise(F.array().cast(IDS))
+    return rows.withColumns(made)
 
 
 def _file(v: Column, path: str) -> Column:
@@ -79,10 +103,14 @@ def observe(events: DataFrame, event: str = "event", id_col: str = "id", time_co
     v = F.col("__v")
     # conditions, which always hold, keep the optimizer from copying parsers into every use of their results
     rows = events.select(F.col(id_col).alias("id"), F.col(time_col).alias("time"), F.col(class_col).alias("class_uid"), F.when(F.monotonically_increasing_id() >= 0, F.try_parse_json(event)).alias("__v"))
-    hosts = {p: _host(v, p) for p in HOSTS}
-    rows = rows.withColumns({f"__h{i}": F.when(F.monotonically_increasing_id() >= 0, hosts[p][0]) for i, p in enumerate(HOSTS)} | {f"__a{i}": hosts[p][1] for i, p in enumerate(HOSTS)})
+    # each object is looked up once and each member read once, as columns of their own; objects that are not there cost nothing more
+    objects = {f"__h{i}": (p, HOST_MEMBERS) for i, p in enumerate(HOSTS)} | {f"__u{i}": (p, USER_MEMBERS) for i, p in enumerate(USERS)}
+    rows = rows.withColumns({f"{c}_object": F.try_variant_get(v, _at(p), "variant") for c, (p, _) in objects.items()})
+    rows = rows.withColumns({f"{c}_{n}": F.lower(F.trim(F.try_variant_get(F.col(f"{c}_object"), f"$.{n}", "string"))) for c, (_, names) in objects.items() for n in names})
+    # texts that say nothing are null
+    rows = rows.withColumns({f"{c}_{n}": F.when(~F.col(f"{c}_{n}").isin(*NOTHING), F.col(f"{c}_{n}")) for c, (_, names) in objects.items() for n in names})
+    rows = _users(_hosts(rows))
     first = lambda c: F.get(F.col(c), F.lit(0))["id"]
-    rows = rows.withColumns({f"__u{i}": F.when(F.monotonically_increasing_id() >= 0, _user(v, p, first("__h0"))) for i, p in enumerate(USERS)})
     shape = lambda one, what, other, claim=False: F.struct(one.alias("one"), F.lit(what).alias("what"), other.alias("other"), F.lit(claim).alias("is_claim"))
     found: list[Column] = []
     for c, rule in [(f"__u{i}", "user") for i in range(len(USERS))] + [(f"__h{i}", "host") for i in range(len(HOSTS))]:

@@ -124,8 +124,10 @@ MAPPED = [
 ]
 
 
-def _sysmon_records(spark, d):
-    """Each event as a record of the system monitor, of three kinds."""
+def _sysmon_records(spark, d, rows=None, keep=()):
+    """Each event as a record of the system monitor, of three kinds; of other
+    ``rows`` than the table's, with the columns ``keep`` beside it."""
+    rows = events(spark, d) if rows is None else rows
     system = F.struct(
         F.struct(F.struct(F.lit("Microsoft-Windows-Sysmon").alias("Name")).alias("#attributes")).alias("Provider"),
         F.element_at(F.array(F.lit(1), F.lit(3), F.lit(11)), (F.col("id") % 3 + 1).cast("int")).alias("EventID"),
@@ -143,7 +145,7 @@ def _sysmon_records(spark, d):
         F.when(F.col("id") % 2 == 0, "true").otherwise("false").alias("Initiated"),
         F.concat(F.lit("D:\\"), "user_name", F.lit(".txt")).alias("TargetFilename"),
     )
-    return events(spark, d).select("id", F.to_json(F.struct(F.struct(system.alias("System"), data.alias("EventData")).alias("Event"))).alias("record"))
+    return rows.select("id", *keep, F.to_json(F.struct(F.struct(system.alias("System"), data.alias("EventData")).alias("Event"))).alias("record"))
 
 
 def _mapped(spark, d):
