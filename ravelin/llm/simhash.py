@@ -26,10 +26,17 @@ error is 6 bits, 0.03 in J there. Candidates agree on one of several blocks of a
 second fingerprint, of 3-word shingles, which near copies change less. Blocks
 have as many bits as the number of texts asks for to keep a bucket small, and
 there are so many that ``RECALL`` of the pairs at the limit share one, at
-``BLOCK_NOISE`` differing bits: closer pairs are hardly ever missed. In a long
-bucket members become pivots in turn: what lies within the radius of one is
-linked to it, and by the triangle inequality only rows within twice the radius
-have to be compared with those.
+``BLOCK_NOISE`` differing bits: closer pairs are hardly ever missed. As above, the
+join key is a block's row in the pivot distance table, so equal blocks meet (and
+hardly any other), a bucket is ordered by the distance to the first pivot, and
+survivors of the pivots are verified bit by bit. At this radius the distances of
+whole fingerprints to a pivot tell little, so a pivot's coordinate has a part for
+each 16-bit block: the sum of the parts' differences is no more than the number
+of differing bits (the triangle inequality in each block), and a pair is
+discarded if the largest such sum is above the radius. In a long bucket members
+become pivots in turn: what lies within the radius of one is linked to it, and by
+the triangle inequality only rows within twice the radius have to be compared
+with those.
 
 Scale: one row per *distinct* fingerprint is keyed, copies collapse before
 (``min`` combines map-side): 4 rows a text in one operator; in the other, 16 at
@@ -288,9 +295,11 @@ WIDE = 256
 SIMILARITY, WORDS = 0.8, 5
 #: The share of pairs at the limit that share a block, the share of differing bits there, and the words of the blocks' shingles.
 RECALL, BLOCK_NOISE, BLOCK_WORDS = 0.96, 0.10, 3
-#: Buckets up to this length are compared pair by pair, longer ones by pivots.
+#: Buckets up to this length are compared by the table of the pivots, longer ones by pivots of their own.
 SHORT = 64
 
+_WIDE_PIVOT = np.random.default_rng(20_240_608).integers(0, 2**64, (PIVOTS, WIDE // 64), dtype=np.uint64)
+
 
 def radius_of(similarity: float, bits: int = WIDE) -> int:
     """Differing bits that stand for a Jaccard similarity of sets."""
@@ -335,11 +344,22 @@ def wide_print(data: bytes, bits: int, blocks: int) -> tuple[bytes, list[int]]:
     return wide.tobytes(), (cut.astype(np.int64) << np.arange(bits)).sum(axis=1).tolist()
 
 
+def table_codes(blocks: np.ndarray, bits: int) -> np.ndarray:
+    """The rows of the pivot distance table of blocks of so many bits, each as
+    one number: the distances to the pivots within the block."""
+    code = np.zeros(blocks.shape, np.uint64)
+    for p in _PIVOT:
+        code = code * np.uint64(0x9E3779B97F4A7C15) + np.bitwise_count((blocks ^ p) & _mask(range(bits)))
+    return code
+
+
 def _wide_prints(bits: int, blocks: int):
     def run(batches):
         for rb in batches:
             found = [wide_print(x, bits, blocks) for s in range(0, rb.num_rows, 500) for x in rb.column(1).slice(s, 500).to_pylist()]
-            yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(2), pa.array([w for w, _ in found], pa.binary()), pa.array([b for _, b in found], pa.list_(pa.int64()))], ["doc_id", "h", "wide", "blocks"])
+            codes = table_codes(np.array([b for _, b in found], np.int64).reshape(-1, blocks).view(np.uint64), bits).view(np.int64)
+            lists = pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * np.int32(blocks), pa.array(codes.ravel()))
+            yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(2), pa.array([w for w, _ in found], pa.binary()), lists], ["doc_id", "h", "wide", "blocks"])
 
     return run
 
@@ -348,6 +368,43 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32)
 
 
+def wide_distances(wide: np.ndarray) -> np.ndarray:
+    """The pivot distance table of wide fingerprints: of each pivot the distances
+    within each block of 16 bits, whose sum is the whole distance."""
+    return np.bitwise_count((wide[:, None, :] ^ _WIDE_PIVOT[None, :, :]).view(np.uint16)).view(np.int8)
+
+
+def _near(key: np.ndarray, wide: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Links within runs of equal keys, as a spanning forest of each run."""
+    out: list[tuple[int, int]] = []
+    first = np.bitwise_count(wide ^ _WIDE_PIVOT[0]).sum(axis=1, dtype=np.int32)
+    order = np.lexsort((first, key))
+    key, wide, first = key[order], wide[order], first[order]
+    table_ = wide_distances(wide)
+    n, lag, label, parent = len(key), 0, np.arange(len(key)), {}
+    alive = np.arange(n)
+    while len(alive):  # neighbours in the order of the first pivot, until their distances differ by more than the radius
+        lag += 1
+        alive = alive[alive + lag < n]
+        alive = alive[key[alive] == key[alive + lag]]
+        alive = alive[first[alive + lag] - first[alive] <= radius]
+        i = alive[label[alive] != label[alive + lag]]
+        for k in range(PIVOTS):  # discard by the largest coordinate difference
+            if not len(i):
+                break
+            i = i[np.abs(table_[i, k] - table_[i + lag, k]).sum(axis=1, dtype=np.int32) <= radius]
+        i = i[_apart(wide[i], wide[i + lag]) <= radius]  # verify
+        if len(i):
+            for a, b in zip(i.tolist(), (i + lag).tolist(), strict=True):
+                x, y = _find(parent, a), _find(parent, b)
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    out.append((int(order[a]), int(order[b])))
+            touched = np.fromiter(parent, np.int64, len(parent))
+            label[touched] = [_find(parent, int(x)) for x in touched]
+    return out
+
+
 def _pivoted(wide: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links that connect all pairs within the radius: rows become pivots in
     turn, until none is left."""
@@ -374,14 +431,8 @@ def wide_links(key: np.ndarray, wide: np.ndarray, radius: int) -> list[tuple[int
     sizes = np.diff(np.r_[starts, n])
     for a, size in zip(starts[sizes > SHORT].tolist(), sizes[sizes > SHORT].tolist(), strict=True):
         out += [(a + x, a + y) for x, y in _pivoted(wide[a : a + size], radius)]
-    short = np.repeat((sizes > 1) & (sizes <= SHORT), sizes)
-    alive, lag = np.flatnonzero(short), 0
-    while len(alive):
-        lag += 1
-        alive = alive[alive + lag < n]
-        alive = alive[key[alive] == key[alive + lag]]
-        hit = alive[_apart(wide[alive], wide[alive + lag]) <= radius]
-        out += zip(hit.tolist(), (hit + lag).tolist(), strict=True)
+    short = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= SHORT), sizes))
+    out += [(int(short[x]), int(short[y])) for x, y in _near(key[short], wide[short], radius)]
     return out
 
 

@@ -155,6 +155,29 @@ def test_links_of_wide_fingerprints(short, monkeypatch):
     assert set(map(frozenset, found)) <= set(map(frozenset, every)) and classes(found) == classes(every)
 
 
+def test_wide_pivots_discard_pairs_before_they_are_verified(monkeypatch):
+    rng = np.random.default_rng(4)
+    wide = rng.integers(0, 2**64, (640, 4), dtype=np.uint64)
+    for k in range(1, 640, 2):  # each second row is near the one before
+        wide[k] = wide[k - 1] ^ np.array([0xFF, 0xFF00, 0, 0xFF], np.uint64)
+    key, verified, apart = np.repeat(np.arange(10), 64), [], simhash._apart
+    monkeypatch.setattr(simhash, "_apart", lambda a, b: (verified.append(len(a)), apart(a, b))[1])
+    assert sorted(map(sorted, simhash.wide_links(key, wide, 38))) == [[k, k + 1] for k in range(0, 640, 2)]
+    assert 320 <= sum(verified) < 0.05 * 10 * 64 * 63 / 2
+    # no coordinate differs by more than the fingerprints do
+    d = np.abs(simhash.wide_distances(wide)[1:] - simhash.wide_distances(wide)[:-1]).sum(axis=2)
+    assert (d <= apart(wide[1:], wide[:-1])[:, None]).all()
+    # copies give one link less than there are rows, not all pairs
+    assert len(simhash.wide_links(np.zeros(60, int), np.repeat(wide[:1], 60, axis=0), 38)) == 59
+
+
+@pytest.mark.parametrize("bits", [16, 17, 24, 33])
+def test_keys_of_blocks_are_rows_of_the_pivot_table(bits):
+    blocks = np.unique(np.random.default_rng(bits).integers(0, 2**bits, 50_000, dtype=np.uint64))
+    assert len(np.unique(simhash.table_codes(blocks, bits))) > 0.999 * len(blocks)
+    assert (simhash.table_codes(np.stack([blocks, blocks]), bits)[1] == simhash.table_codes(blocks, bits)).all()
+
+
 def test_null_ids_link_texts(spark, monkeypatch):
     # 9 and 4 are near only the fingerprint of a row without an id; a pair without ids stays null
     fps = [(9, 0), (None, 0b111), (4, 0b111111), (7, -1), (None, 0xFFFF << 20), (None, 0xFFFF << 20 | 1), (None, -2), (3, 0xFF << 50)]
